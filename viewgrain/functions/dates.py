@@ -14,16 +14,16 @@ PARTS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
 
 
 def date_add(part: str, n: int | Column, d: Column) -> Column:
-    """Add ``n`` of any part; months are clipped to the last day."""
+    """Add ``n`` of any part; months are clipped to the last day, and the type is kept."""
     count = F.lit(n) if isinstance(n, int) else n
     if part in ("quarter", "month", "year"):
         months = {"year": 12, "quarter": 3, "month": 1}[part]
-        return d.cast("timestamp") + F.make_interval(months=(count * months).cast("int"))
+        return d + F.make_interval(months=(count * months).cast("int"))
     if part == "week":
-        return d.cast("timestamp") + F.make_interval(weeks=count.cast("int"))
+        return d + F.make_interval(weeks=count.cast("int"))
     if part == "day":
-        return d.cast("timestamp") + F.make_interval(days=count.cast("int"))
-    return d.cast("timestamp") + F.make_dt_interval(secs=count * _SECONDS[part])
+        return d + F.make_interval(days=count.cast("int"))
+    return d + F.make_dt_interval(secs=count * _SECONDS[part])
 
 
 def date_diff(part: str, a: Column, b: Column) -> Column:

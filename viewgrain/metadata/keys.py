@@ -61,35 +61,35 @@ def _by_table_name(columns: DataFrame) -> DataFrame:
     targets = _target_columns(columns)
     found = guessed.join(targets, guessed["guessed"] == targets["to_lower"])
     first = found.groupBy("from_table", "from_column").agg(
-        F.min_by(F.struct("to_table", "id_column", "own_column", "first_key", "names"), "turn").alias("t")
+        F.min_by(F.struct("to_table", "id_column", "own_column", "first_key"), "turn").alias("t")
     )
-    same = F.filter("t.names", lambda n: F.lower(n) == F.lower("from_column"))
-    target = F.coalesce("t.id_column", "t.own_column", F.get(same, F.lit(0)), "t.first_key")
+    referring = first.select("from_table", "from_column", "t.*").where("to_table <> from_table")
+    same = columns.select(
+        F.col("table_name").alias("to_table"), name.alias("__same"), F.col("column_name").alias("same_column")
+    )
+    on = [F.lower("from_column") == same["__same"], referring["to_table"] == same["to_table"]]
+    target = F.coalesce("id_column", "own_column", "same_column", "first_key")
     return (
-        first.where(F.col("t.to_table") != F.col("from_table"))
-        .select("from_table", "from_column", F.col("t.to_table").alias("to_table"), target.alias("to_column"))
+        referring.join(same, on, "left")
+        .select("from_table", "from_column", referring["to_table"], target.alias("to_column"))
         .where("to_column IS NOT NULL")
     )
 
 
 def _target_columns(columns: DataFrame) -> DataFrame:
-    """What a reference to each table may point at. ``names`` keeps only columns that end
-    in _id, the only ones a ``{t}_id`` reference can share its name with."""
+    """What a reference to each table may point at, apart from a column of the same name."""
     name = F.lower("column_name")
+    own = F.concat(F.lower("table_name"), F.lit("_id"))
     return columns.groupBy("table_name").agg(
         F.max(F.when(name == "id", F.col("column_name"))).alias("id_column"),
-        F.max(
-            F.when(name == F.concat(F.lower("table_name"), F.lit("_id")), F.col("column_name"))
-        ).alias("own_column"),
+        F.max(F.when(name == own, F.col("column_name"))).alias("own_column"),
         F.min_by("column_name", F.when(F.col("is_pk"), F.col("position"))).alias("first_key"),
-        F.collect_set(F.when(name.endswith("_id"), F.col("column_name"))).alias("names"),
     ).select(
         F.col("table_name").alias("to_table"),
         F.lower("table_name").alias("to_lower"),
         "id_column",
         "own_column",
         "first_key",
-        "names",
     )
 
 

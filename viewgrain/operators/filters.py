@@ -115,13 +115,13 @@ def _shift(day: dt.date, unit: str, n: int) -> dt.date:
 
 
 def date_range(col: str | Column, start: dt.date, end: dt.date) -> Column:
-    """Half-open range ``start <= col < end``; timestamps literals keep it free of casts."""
-    c = _column(col)
-    return (c >= _midnight(start)) & (c < _midnight(end))
-
+    """Half-open range ``start <= col < end``.
 
-def _midnight(day: dt.date) -> Column:
-    return F.lit(f"{day:%Y-%m-%d} 00:00:00").cast("timestamp")
+    Date literals widen to the column's own type, so the column stays free of casts and
+    the range reaches the scan.
+    """
+    c = _column(col)
+    return (c >= F.lit(start)) & (c < F.lit(end))
 
 
 def in_year(col: str | Column, year: int) -> Column:

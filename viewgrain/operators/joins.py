@@ -1,7 +1,11 @@
-"""Physical joins, deferred relationships, lookups, blends and interval overlaps."""
+"""Physical joins, deferred relationships, lookups, blends and interval overlaps.
+
+A cartesian product has no operator here; Spark's own ``crossJoin`` says it.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -9,11 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.plans.keys import null_safe_join
+from viewgrain.plans.keys import attach_constants, null_safe_join
 from viewgrain.plans.ordered import Order, position
 from viewgrain.plans.settle import settle
 
 JOIN_KINDS = ("inner", "left", "right", "full")
+_TILE_BASE = 4.0
 
 
 def physical_join(
@@ -26,12 +31,6 @@ def physical_join(
     return left.join(right, reduce(Column.__and__, on), how)
 
 
-def cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The cartesian product a workbook may ask for. Its size is the product of both sides,
-    so it belongs on two small tables; no other operator here calls it."""
-    return left.crossJoin(right)
-
-
 @dataclass
 class Model:
     """Tables and the relationships between them; a view joins only what it uses."""
@@ -142,38 +141,36 @@ def overlap_join(
     """Pairs of rows in the same ``by`` group whose half-open intervals overlap.
 
     Each pair comes once, the row that starts first (then the smaller key) on the left.
-    An overlapping pair always has the later start inside the earlier interval, so the
-    rows are dealt into start-time tiles: the earlier interval goes to each tile it
-    covers, the later one only to the tile of its start, and the pair meets there once.
-    The tile width is the mean interval length, which keeps the copies of an ordinary
-    interval few, and a hot group is spread over its tiles.
+    The later start of such a pair lies inside the earlier interval, so the two meet in the
+    time tile of that start. The earlier interval is dealt into tiles about as wide as
+    itself, never more than a few; the later row looks into its tile at each width that
+    occurs, of which there are at most some dozens. A hot group is spread over its tiles,
+    and a few very long intervals do not slow the many short ones down.
     """
     columns = list(dict.fromkeys([key, lo, hi, *keep]))
-    base = df.select(*by, *columns).where(F.col(lo) < F.col(hi))
-    span = base.agg(
-        F.avg(F.col(hi).cast("double") - F.col(lo).cast("double")).alias("__width")
-    ).select(F.greatest(F.coalesce("__width", F.lit(1.0)), F.lit(1e-6)).alias("__width"))
-    sized = base.crossJoin(F.broadcast(span))
-    start = F.col(lo).cast("double")
-    end = F.col(hi).cast("double")
-    first_tile = F.floor(start / F.col("__width"))
-    tiles = F.sequence(first_tile, F.floor(end / F.col("__width")))
-    left = sized.withColumn("__tile", F.explode(tiles)).select(
+    start, end = F.col(lo).cast("double"), F.col(hi).cast("double")
+    power = F.ceil(F.log(end - start) / math.log(_TILE_BASE)).cast("int")
+    base = df.select(*by, *columns).where(F.col(lo) < F.col(hi)).withColumn("__power", power)
+    powers = base.agg(F.collect_set("__power").alias("__powers"))
+
+    def tile(instant: Column) -> Column:
+        return F.floor(instant / F.pow(F.lit(_TILE_BASE), F.col("__power")))
+
+    left = base.withColumn("__tile", F.explode(F.sequence(tile(start), tile(end)))).select(
         *[F.col(b).alias(f"__by_{i}") for i, b in enumerate(by)],
         F.col("__tile").alias("__left_tile"),
+        F.col("__power").alias("__left_power"),
         *[F.col(c).alias(f"{c}_1") for c in columns],
     )
-    right = sized.withColumn("__tile", first_tile).select(
-        *by, "__tile", *[F.col(c).alias(f"{c}_2") for c in columns]
+    right = attach_constants(base.drop("__power"), powers)
+    right = right.withColumn("__power", F.explode("__powers")).select(
+        *by, "__power", tile(start).alias("__tile"), *[F.col(c).alias(f"{c}_2") for c in columns]
     )
     on = [F.col(b).eqNullSafe(F.col(f"__by_{i}")) for i, b in enumerate(by)]
-    on.append(F.col("__tile") == F.col("__left_tile"))
-    before = (F.col(f"{lo}_1") < F.col(f"{lo}_2")) | (
+    on += [F.col("__tile") == F.col("__left_tile"), F.col("__power") == F.col("__left_power")]
+    starts_first = (F.col(f"{lo}_1") < F.col(f"{lo}_2")) | (
         (F.col(f"{lo}_1") == F.col(f"{lo}_2")) & (F.col(f"{key}_1") < F.col(f"{key}_2"))
     )
-    on.append(before & (F.col(f"{lo}_2") < F.col(f"{hi}_1")))
+    on += [starts_first, F.col(f"{lo}_2") < F.col(f"{hi}_1")]
     joined = right.join(left, reduce(Column.__and__, on), "inner")
-    return joined.select(
-        *by, *[f"{c}_1" for c in columns], *[f"{c}_2" for c in columns]
-    )
-
+    return joined.select(*by, *[f"{c}_{side}" for side in (1, 2) for c in columns])

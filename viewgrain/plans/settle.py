@@ -67,7 +67,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
     It chooses between two correct plans only; nothing relies on it for right results.
     """
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame) -> bool:
