@@ -123,25 +123,19 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     each round writes only the edges still open.
     """
     open_edges = settle(edges.select("src", "dst").distinct())
-    nodes = settle(
-        open_edges.select(F.col("src").alias("node"))
-        .union(open_edges.select(F.col("dst").alias("node")))
-        .distinct()
-    )
-    levels, level = [], 0
-    while True:
-        waiting = open_edges.select(F.col("dst").alias("node"))
-        ready = settle(nodes.join(waiting, "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        levels.append(ready.withColumn("level", F.lit(level)))
-        nodes = settle(nodes.join(ready, "node", "left_anti"))
-        open_edges = settle(
-            open_edges.join(ready, open_edges["src"] == ready["node"], "left_anti")
-        )
-        level += 1
-    if not levels:
-        return nodes.withColumn("level", F.lit(0)).limit(0)
+    fed = open_edges.select(F.col("dst").alias("node"))
+    feeding = open_edges.select(F.col("src").alias("node"))
+    ready = settle(feeding.join(fed, "node", "left_anti").distinct())
+    levels = [ready.withColumn("level", F.lit(0))]
+    while not ready.isEmpty():
+        from_ready = open_edges["src"] == ready["node"]
+        closed = open_edges.join(ready, from_ready, "left_semi")
+        still_open = settle(open_edges.join(ready, from_ready, "left_anti"))
+        freed = closed.select(F.col("dst").alias("node")).distinct()
+        waiting = still_open.select(F.col("dst").alias("node"))
+        ready = settle(freed.join(waiting, "node", "left_anti"))
+        open_edges = still_open
+        levels.append(ready.withColumn("level", F.lit(len(levels))))
     return reduce(DataFrame.union, levels)
 
 

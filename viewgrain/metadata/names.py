@@ -9,7 +9,9 @@ of the words. Pairs are found by equi-joins that lose none of them:
   share a character among the first few of a fixed order: the prefix filter of set
   similarity joins, applied per pair of lengths.
 
-A bound from the same character counts then drops most pairs before the ratio is computed.
+A bound from the same character counts then drops pairs before the ratio is computed. With
+a low ``min_conf`` most names that share a frequent word do pass it; that many pairs really
+are compared, and adaptive execution splits such a word over tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from viewgrain.plans.keys import attach_constants
 from viewgrain.plans.settle import settle
 
 # Weights and labels of a score.
@@ -44,13 +47,14 @@ def words(clean: Column) -> Column:
 
 
 def counted_characters(clean: Column) -> Column:
-    """The characters as sortable tokens, a repetition being a token of its own."""
+    """The characters as sortable numbers, a repetition being a number of its own."""
 
     def repeats(c: Column) -> Column:
         n = F.length(clean) - F.length(F.replace(clean, c, F.lit("")))
-        place = F.lpad(F.instr(F.lit(_RARE_FIRST), c).cast("string"), 2, "0")
-        number = lambda i: F.lpad((F.lit(9999) - i).cast("string"), 4, "0")
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(number(i), place, c))
+        listed = F.instr(F.lit(_RARE_FIRST), c)
+        place = F.when(listed > 0, listed).otherwise(F.length(F.lit(_RARE_FIRST)) + 1 + F.ascii(c))
+        # Later repetitions are rarer, so they come first.
+        return F.transform(F.sequence(n, F.lit(1)), lambda i: place - i * 1000)
 
     distinct = F.array_distinct(F.split(clean, ""))
     return F.array_sort(F.flatten(F.transform(distinct, repeats)))
@@ -77,15 +81,23 @@ def match_names(
     # Only the first k names that clean alike can be among the best k.
     rights = _best(rights, "b", [F.col("right_name")], k)
     lefts, rights = settle(lefts), settle(rights)
-    a, b = lefts.select("a").distinct(), rights.select("b").distinct()
+    a = settle(_described(lefts.select("a").distinct(), "a"))
+    b = settle(_described(rights.select("b").distinct(), "b"))
 
     exact = a.join(b, a["a"] == b["b"]).select("a", "b", F.lit(1.0).alias("score"))
-    similar = _candidates(a, b, min_conf)
+    similar = _pairs_by_word(a, b).union(_pairs_by_characters(a, b, min_conf / SEQUENCE_WEIGHT))
+    ratio_at_most = 2.0 * _common("chars") / (F.length("a") + F.length("b"))
+    bound = SEQUENCE_WEIGHT * ratio_at_most + WORD_WEIGHT * _word_overlap()
+    likely = similar.where(F.col("a") != F.col("b")).where(bound >= min_conf - _MARGIN)
+    # The ratio is the costly step: pairs are dealt evenly, whatever names they came from.
+    spark = left.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism
+    )
+    likely = likely.select("a", "b", "a_words", "b_words").repartition(tasks, "a", "b")
     score = SEQUENCE_WEIGHT * sequence_ratio("a", "b") + WORD_WEIGHT * _word_overlap()
-    scored = similar.withColumn("score", score).where(F.col("score") >= min_conf)
-    found = scored.select("a", "b", "score")
-    if min_conf <= 1.0:
-        found = found.union(exact)
+    scored = likely.withColumn("score", score).where(F.col("score") >= min_conf)
+    found = scored.select("a", "b", "score").union(exact)
     rounded = found.withColumn("score", F.round("score", 4))
     named = rounded.join(rights, "b").select("a", "right_name", "score")
     best = _best(named, "a", [F.col("score").desc(), F.col("right_name")], k)
@@ -101,62 +113,59 @@ def _best(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
 
 
-def _word_overlap() -> Column:
-    both, either = F.array_intersect("a_words", "b_words"), F.array_union("a_words", "b_words")
-    return F.coalesce(F.try_divide(F.size(both).cast("double"), F.size(either)), F.lit(0.0))
-
-
-def _candidates(a: DataFrame, b: DataFrame, min_conf: float) -> DataFrame:
-    """(a, b, a_words, b_words) for every pair of different names that can reach ``min_conf``."""
-    pairs = _pairs_by_word(a, b)
-    need = min_conf / SEQUENCE_WEIGHT
-    if need <= 0:
-        raise ValueError("min_conf must be positive")
-    if need <= 1:
-        pairs = pairs.union(_pairs_by_characters(a, b, need))
-    parts = pairs.where("a <> b").distinct().withColumns(
+def _described(names: DataFrame, name: str) -> DataFrame:
+    return names.withColumns(
         {
-            "a_words": words(F.col("a")),
-            "b_words": words(F.col("b")),
-            "__common": F.size(
-                F.array_intersect(counted_characters(F.col("a")), counted_characters(F.col("b")))
-            ),
+            f"{name}_words": words(F.col(name)),
+            f"{name}_chars": counted_characters(F.col(name)),
+            f"{name}_len": F.length(name),
         }
     )
-    ratio_at_most = 2.0 * F.col("__common") / (F.length("a") + F.length("b"))
-    bound = SEQUENCE_WEIGHT * ratio_at_most + WORD_WEIGHT * _word_overlap()
-    return parts.where(bound >= min_conf - _MARGIN)
 
 
-def _pairs_by_word(a: DataFrame, b: DataFrame) -> DataFrame:
-    left = a.select("a", F.explode(words(F.col("a"))).alias("word"))
-    right = b.select("b", F.explode(words(F.col("b"))).alias("word"))
-    return left.join(right, "word").select("a", "b")
+def _common(what: str) -> Column:
+    return F.size(F.array_intersect(f"a_{what}", f"b_{what}"))
 
 
-def _pairs_by_characters(a: DataFrame, b: DataFrame, need: float) -> DataFrame:
-    return (
-        _prefixes(a, "a", need, own="la", other="lb")
-        .join(_prefixes(b, "b", need, own="lb", other="la"), ["token", "la", "lb"])
-        .select("a", "b")
-    )
+def _first_common(what: str) -> Column:
+    return F.get(F.array_intersect(f"a_{what}", f"b_{what}"), F.lit(0))
 
 
-def _prefixes(names: DataFrame, name: str, need: float, own: str, other: str) -> DataFrame:
-    """(name, token, lengths): for each length a partner may have, the tokens of which a
-    pair with a Dice overlap of ``need`` must share one."""
-    n = F.length(name)
-    shortest = F.ceil(n * need / (2 - need) - _MARGIN)
-    longest = F.floor(n * (2 - need) / need + _MARGIN)
-    sized = names.where(n > 0).select(
-        name,
-        n.alias(own),
-        counted_characters(F.col(name)).alias("tokens"),
-        F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)).alias(other),
-    )
-    common = F.ceil((F.col(own) + F.col(other)) * need / 2 - _MARGIN)
-    first = F.greatest(F.col(own) - common + 1, F.lit(0)).cast("int")
-    prefix = F.slice("tokens", F.lit(1), first)
-    return sized.select(
-        name, F.col(own).cast("bigint"), F.col(other).cast("bigint"), F.explode(prefix).alias("token")
-    )
+def _word_overlap() -> Column:
+    either = F.size(F.array_union("a_words", "b_words"))
+    return F.coalesce(F.try_divide(_common("words").cast("double"), either), F.lit(0.0))
+
+
+_PAIR = ["a", "b", "a_words", "b_words", "a_chars", "b_chars"]
+
+
+def _pairs_by_word(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with a word in common, each at the first of its common words only."""
+    left = a.withColumn("word", F.explode("a_words"))
+    right = b.withColumn("word", F.explode("b_words"))
+    return left.join(right, "word").where(_first_common("words") == F.col("word")).select(*_PAIR)
+
+
+def _pairs_by_characters(a: DataFrame, b: DataFrame, need: float) -> DataFrame:
+    """Pairs without a common word whose characters overlap enough for a ratio of ``need``,
+    each at the first of its common characters only."""
+    if need <= 0:
+        raise ValueError("min_conf must be positive")
+    left = _prefixes(a, "a", need, "b_len", b)
+    right = _prefixes(b, "b", need, "a_len", a)
+    met = left.join(right, ["token", "a_len", "b_len"])
+    met = met.where(~F.arrays_overlap("a_words", "b_words"))
+    return met.where(_first_common("chars") == F.col("token")).select(*_PAIR)
+
+
+def _prefixes(names: DataFrame, name: str, need: float, other: str, others: DataFrame) -> DataFrame:
+    """A row per length a partner may have and per character token of which a pair with a
+    Dice overlap of ``need`` must share one."""
+    own, partner = F.col(f"{name}_len"), F.col(other)
+    # The distinct lengths of names are few: no more than the longest name is long.
+    lengths = others.agg(F.collect_set(other).alias("__lengths"))
+    sized = attach_constants(names, lengths).withColumn(other, F.explode("__lengths"))
+    common = F.ceil((own + partner) * need / 2 - _MARGIN)
+    possible = sized.where((own > 0) & (partner > 0) & (common <= F.least(own, partner)))
+    prefix = F.slice(f"{name}_chars", F.lit(1), (own - common + 1).cast("int"))
+    return possible.drop("__lengths").withColumn("token", F.explode(prefix))

@@ -229,8 +229,9 @@ def moving(
         return blocks.rows.withColumns(_over(values, blocks.window(), start, end))
     numbered = _number(blocks)
     tile = max(block_rows(df.sparkSession), abs(start) + 1, abs(end) + 1)
+    ahead, behind = max(end, 0), min(start, 0)
     tiles = F.sequence(
-        F.floor((F.col(POSITION) - end) / tile), F.floor((F.col(POSITION) - start) / tile)
+        F.floor((F.col(POSITION) - ahead) / tile), F.floor((F.col(POSITION) - behind) / tile)
     )
     spread = numbered.withColumn("__tile", F.explode(tiles))
     in_tile = W.partitionBy(*[_quoted(c) for c in partition], "__tile").orderBy(POSITION)
