@@ -12,7 +12,7 @@ from viewgrain.operators.view import worksheet
 
 
 @query("""
-    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price,
+    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 6) AS avg_price,
            min(l_discount) AS min_disc, max(l_tax) AS max_tax, count(l_partkey) AS n, count(DISTINCT l_suppkey) AS suppliers
     FROM lineitem GROUP BY ALL
 """)
@@ -22,7 +22,7 @@ def basic_aggregates(spark, folder):
         ["l_returnflag", "l_linestatus"],
         {
             "sum_qty": F.round(F.sum("l_quantity"), 2),
-            "avg_price": F.round(F.avg("l_extendedprice"), 4),
+            "avg_price": F.round(F.avg("l_extendedprice"), 6),
             "min_disc": F.min("l_discount"),
             "max_tax": F.max("l_tax"),
             "n": F.count("l_partkey"),
@@ -165,7 +165,7 @@ def orders_metrics(spark, folder) -> MetricView:
         },
         measures={
             "total_orders": F.count_distinct("o_orderkey"),
-            "avg_value": F.round(F.avg("o_totalprice"), 4),
+            "avg_value": F.round(F.avg("o_totalprice"), 6),
             "open_rate": F.round(
                 agg.ratio(agg.count_where(F.col("o_orderstatus") == "O"), F.count("o_orderkey")), 6
             ),
@@ -179,7 +179,7 @@ def orders_metrics(spark, folder) -> MetricView:
 
 @query("""
     SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS "year", count(DISTINCT o_orderkey) AS total_orders,
-           round(avg(o_totalprice), 4) AS avg_value, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(o_orderkey), 6) AS open_rate
+           round(avg(o_totalprice), 6) AS avg_value, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(o_orderkey), 6) AS open_rate
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
     WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND o_totalprice > 5000 GROUP BY ALL
 """)

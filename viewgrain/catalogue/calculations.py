@@ -128,9 +128,9 @@ def lookups(spark, folder):
 
 
 @query("""
-    WITH v AS (SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) AS avg_price, count(DISTINCT o_custkey) AS customers
+    WITH v AS (SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 6) AS avg_price, count(DISTINCT o_custkey) AS customers
                FROM orders GROUP BY ALL),
-         t AS (SELECT o_orderstatus AS s, round(avg(o_totalprice), 4) AS total_avg, count(DISTINCT o_custkey) AS total_customers FROM orders GROUP BY 1)
+         t AS (SELECT o_orderstatus AS s, round(avg(o_totalprice), 6) AS total_avg, count(DISTINCT o_custkey) AS total_customers FROM orders GROUP BY 1)
     SELECT o_orderstatus, o_orderpriority, avg_price, customers, total_avg, total_customers FROM v JOIN t ON o_orderstatus = s
 """)
 def total_from_rows(spark, folder):
@@ -138,9 +138,9 @@ def total_from_rows(spark, folder):
     view = worksheet(
         orders,
         ["o_orderstatus", "o_orderpriority"],
-        {"avg_price": F.round(F.avg("o_totalprice"), 4), "customers": F.count_distinct("o_custkey")},
+        {"avg_price": F.round(F.avg("o_totalprice"), 6), "customers": F.count_distinct("o_custkey")},
     )
-    view = tc.total(view, orders, F.round(F.avg("o_totalprice"), 4), "total_avg", ["o_orderstatus"])
+    view = tc.total(view, orders, F.round(F.avg("o_totalprice"), 6), "total_avg", ["o_orderstatus"])
     return tc.total(view, orders, F.count_distinct("o_custkey"), "total_customers", ["o_orderstatus"])
 
 

@@ -9,13 +9,18 @@ from viewgrain.functions.dates import date_part
 from viewgrain.operators import overlays, shapes
 from viewgrain.operators.view import worksheet
 
-N = F.count(F.lit(1))
-TOTAL = F.round(F.sum("o_totalprice"), 2)
+
+def row_count():
+    return F.count(F.lit(1))
+
+
+def total():
+    return F.round(F.sum("o_totalprice"), 2)
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def chart_bar(spark, folder):
-    return shapes.bar(table(spark, folder, "orders"), "o_orderpriority", {"n": N}, color="o_orderstatus")
+    return shapes.bar(table(spark, folder, "orders"), "o_orderpriority", {"n": row_count()}, color="o_orderstatus")
 
 
 @query("""
@@ -23,7 +28,7 @@ def chart_bar(spark, folder):
     FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL)
 """)
 def chart_bar_100(spark, folder):
-    view = shapes.bar_100(table(spark, folder, "orders"), "o_orderpriority", "o_orderstatus", N, "n")
+    view = shapes.bar_100(table(spark, folder, "orders"), "o_orderpriority", "o_orderstatus", row_count(), "n")
     return view.withColumn("share", F.round("share", 6))
 
 
@@ -32,7 +37,7 @@ def chart_bar_100(spark, folder):
     FROM orders GROUP BY ALL
 """)
 def chart_line(spark, folder):
-    view = shapes.line(table(spark, folder, "orders"), "o_orderdate", "month", {"total": TOTAL}, color="o_orderstatus")
+    view = shapes.line(table(spark, folder, "orders"), "o_orderdate", "month", {"total": total()}, color="o_orderstatus")
     return view.withColumn("month", F.col("month").cast("date"))
 
 
@@ -40,7 +45,7 @@ def chart_line(spark, folder):
     SELECT o_custkey, round(sum(o_totalprice), 2) AS x, count(*) AS y FROM orders GROUP BY 1
 """)
 def chart_scatter(spark, folder):
-    return shapes.scatter(table(spark, folder, "orders"), {"x": TOTAL}, {"y": N}, ["o_custkey"])
+    return shapes.scatter(table(spark, folder, "orders"), {"x": total()}, {"y": row_count()}, ["o_custkey"])
 
 
 @query("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem")
@@ -53,14 +58,14 @@ def chart_scatter_raw(spark, folder):
     SELECT c_mktsegment, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)
 """)
 def chart_pie(spark, folder):
-    view = shapes.pie(table(spark, folder, "customer"), "c_mktsegment", N, "n")
+    view = shapes.pie(table(spark, folder, "customer"), "c_mktsegment", row_count(), "n")
     return view.withColumn("share", F.round("share", 6))
 
 
-@query("SELECT p_brand, p_type, round(avg(p_retailprice), 4) AS price FROM part GROUP BY ALL")
+@query("SELECT p_brand, p_type, round(avg(p_retailprice), 6) AS price FROM part GROUP BY ALL")
 def chart_heatmap(spark, folder):
     return shapes.heatmap(
-        table(spark, folder, "part"), "p_brand", "p_type", F.round(F.avg("p_retailprice"), 4), "price"
+        table(spark, folder, "part"), "p_brand", "p_type", F.round(F.avg("p_retailprice"), 6), "price"
     )
 
 
@@ -98,7 +103,7 @@ def chart_boxplot(spark, folder):
 
 @query("SELECT round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'")
 def chart_counter(spark, folder):
-    return shapes.counter(table(spark, folder, "orders"), TOTAL, "total", [F.col("o_orderstatus") == "F"])
+    return shapes.counter(table(spark, folder, "orders"), total(), "total", [F.col("o_orderstatus") == "F"])
 
 
 @query("""
@@ -120,7 +125,7 @@ def chart_table(spark, folder):
     FROM part GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand), (p_type), ())
 """)
 def chart_pivot(spark, folder):
-    return shapes.pivot(table(spark, folder, "part"), ["p_brand"], ["p_type"], {"n": N})
+    return shapes.pivot(table(spark, folder, "part"), ["p_brand"], ["p_type"], {"n": row_count()})
 
 
 @query("""
@@ -131,7 +136,7 @@ def chart_combo(spark, folder):
     return shapes.combo(
         table(spark, folder, "orders"),
         ("yr", date_part("year", F.col("o_orderdate"))),
-        {"total": TOTAL},
+        {"total": total()},
         {"customers": F.count_distinct("o_custkey")},
     )
 
@@ -145,7 +150,7 @@ def chart_combo(spark, folder):
 def chart_geo_bar(spark, folder):
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
     rows = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
-    return shapes.geo_bar(rows, "n_name", {"Customers": N, "Total_Balance": F.round(F.sum("c_acctbal"), 2)})
+    return shapes.geo_bar(rows, "n_name", {"Customers": row_count(), "Total_Balance": F.round(F.sum("c_acctbal"), 2)})
 
 
 @query("""
@@ -154,7 +159,7 @@ def chart_geo_bar(spark, folder):
 """)
 def chart_waterfall(spark, folder):
     rows = table(spark, folder, "orders").withColumn("yr", date_part("year", F.col("o_orderdate")))
-    out = shapes.waterfall(rows, "yr", TOTAL, "total")
+    out = shapes.waterfall(rows, "yr", total(), "total")
     return out.withColumns({"start": F.round("start", 2), "end": F.round("end", 2)})
 
 
@@ -163,7 +168,7 @@ def chart_waterfall(spark, folder):
     FROM (SELECT event_type, count(DISTINCT user_id) * 1000 + count(*) AS n FROM events GROUP BY 1)
 """)
 def chart_funnel(spark, folder):
-    size = F.count_distinct("user_id") * 1000 + N
+    size = F.count_distinct("user_id") * 1000 + row_count()
     out = shapes.funnel(table(spark, folder, "events"), "event_type", size, "n")
     return out.withColumns({c: F.round(c, 6) for c in ("of_first", "of_previous")})
 
@@ -193,7 +198,7 @@ def chart_gantt(spark, folder):
 """)
 def chart_bullet(spark, folder):
     done = F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
-    out = shapes.bullet(table(spark, folder, "orders"), "o_orderpriority", F.round(done, 2), TOTAL)
+    out = shapes.bullet(table(spark, folder, "orders"), "o_orderpriority", F.round(done, 2), total())
     return out.withColumn("attainment", F.round("attainment", 6))
 
 
@@ -204,7 +209,7 @@ def chart_bullet(spark, folder):
 """)
 def chart_crosstab_text(spark, folder):
     cells = shapes.crosstab_text(
-        table(spark, folder, "customer"), ["c_nationkey"], "c_mktsegment", N, ["BUILDING", "MACHINERY"]
+        table(spark, folder, "customer"), ["c_nationkey"], "c_mktsegment", row_count(), ["BUILDING", "MACHINERY"]
     )
     return cells.na.fill(0, ["BUILDING", "MACHINERY"])
 
@@ -213,7 +218,7 @@ def yearly(spark, folder):
     return worksheet(
         table(spark, folder, "orders"),
         ["o_orderpriority", ("yr", date_part("year", F.col("o_orderdate")))],
-        {"total": TOTAL},
+        {"total": total()},
     )
 
 
@@ -223,7 +228,7 @@ _YEARLY = """
 
 
 @query(_YEARLY + """
-    SELECT o_orderpriority, yr, total, CAST(1000000 AS DOUBLE) AS goal, round(avg(total) OVER (), 2) AS table_avg,
+    SELECT o_orderpriority, yr, total, CAST(1000000 AS DOUBLE) AS goal, round(avg(total) OVER (), 5) AS table_avg,
       median(total) OVER (PARTITION BY o_orderpriority) AS pane_median, max(total) OVER (PARTITION BY o_orderpriority) AS pane_max
     FROM v
 """)
@@ -233,7 +238,7 @@ def reference_lines(spark, folder):
     view = overlays.reference_line(view, dims, "total", "avg", "table", "table_avg")
     view = overlays.reference_line(view, dims, "total", "median", "pane", "pane_median")
     view = overlays.reference_line(view, dims, "total", "max", "pane", "pane_max")
-    return view.withColumn("table_avg", F.round("table_avg", 2))
+    return view.withColumn("table_avg", F.round("table_avg", 5))
 
 
 @query(_YEARLY + """

@@ -13,7 +13,10 @@ from viewgrain.operators.lod import fixed
 from viewgrain.operators.tablecalc import index, percent_of_total
 from viewgrain.operators.view import OrderOfOperations, worksheet
 
-N = {"n": F.count(F.lit(1))}
+
+def row_count():
+    return {"n": F.count(F.lit(1))}
+
 ANCHOR = dt.date(2024, 1, 30)
 
 
@@ -28,7 +31,7 @@ def customer_nation(spark, folder):
 """)
 def include_members(spark, folder):
     keep = f.isin_members("c_mktsegment", ["BUILDING", "MACHINERY", "%null%"])
-    return worksheet(table(spark, folder, "customer"), ["c_mktsegment"], N, [keep])
+    return worksheet(table(spark, folder, "customer"), ["c_mktsegment"], row_count(), [keep])
 
 
 @query("""
@@ -37,7 +40,7 @@ def include_members(spark, folder):
 """)
 def exclude_members(spark, folder):
     drop = [f.notin_members("p_type", ["ECONOMY", "PROMO", None]), f.notin_members("p_size", [1, 2, 3])]
-    return worksheet(table(spark, folder, "part"), ["p_type", "p_size"], N, drop)
+    return worksheet(table(spark, folder, "part"), ["p_type", "p_size"], row_count(), drop)
 
 
 @query("""
@@ -49,7 +52,7 @@ def exclude_tuples(spark, folder):
     drop = f.exclude_tuples(
         {"c_mktsegment": ["BUILDING", "HOUSEHOLD"], "n_name": ["NATION_1", "NATION_2", "NATION_3"]}
     )
-    return worksheet(customer_nation(spark, folder), ["c_mktsegment", "n_name"], N, [drop])
+    return worksheet(customer_nation(spark, folder), ["c_mktsegment", "n_name"], row_count(), [drop])
 
 
 @query("""
@@ -65,7 +68,7 @@ def exclude_union(spark, folder):
             {"c_mktsegment": ["FURNITURE", "MACHINERY"], "n_name": ["NATION_7"]},
         ]
     )
-    return worksheet(customer_nation(spark, folder), ["c_mktsegment", "n_name"], N, [drop])
+    return worksheet(customer_nation(spark, folder), ["c_mktsegment", "n_name"], row_count(), [drop])
 
 
 @query("""
@@ -73,7 +76,7 @@ def exclude_union(spark, folder):
 """)
 def range_filter(spark, folder):
     keep = [f.in_range("p_size", 10, 20), f.in_range("p_retailprice", hi=1500.0)]
-    return worksheet(table(spark, folder, "part"), ["p_size"], N, keep)
+    return worksheet(table(spark, folder, "part"), ["p_size"], row_count(), keep)
 
 
 @query("""
@@ -93,7 +96,7 @@ def relative_date(spark, folder):
     out = None
     for label, (unit, n) in spans.items():
         keep = f.relative_date("ts", unit, n, ANCHOR)
-        part = worksheet(events, [("span", F.lit(label)), "event_type"], N, [keep])
+        part = worksheet(events, [("span", F.lit(label)), "event_type"], row_count(), [keep])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -120,7 +123,7 @@ def wildcards(spark, folder):
     passed = F.filter(
         F.array(*[F.when(keep, F.lit(mode)) for mode, keep in modes.items()]), lambda m: m.isNotNull()
     )
-    return worksheet(part.select("p_name", F.explode(passed).alias("mode")), ["mode", "p_name"], N)
+    return worksheet(part.select("p_name", F.explode(passed).alias("mode")), ["mode", "p_name"], row_count())
 
 
 @query("""
@@ -131,7 +134,7 @@ def year_as_range(spark, folder):
     return worksheet(
         table(spark, folder, "orders"),
         ["o_orderstatus"],
-        {**N, "total": F.round(F.sum("o_totalprice"), 2)},
+        {**row_count(), "total": F.round(F.sum("o_totalprice"), 2)},
         [f.in_year("o_orderdate", 1997)],
     )
 
@@ -167,7 +170,7 @@ def condition_members(spark, folder):
 """)
 def top_customers(spark, folder):
     rows = f.top_members(table(spark, folder, "orders"), "o_custkey", F.count(F.lit(1)), 10)
-    return worksheet(rows, ["o_custkey"], {**N, "total": F.round(F.sum("o_totalprice"), 2)})
+    return worksheet(rows, ["o_custkey"], {**row_count(), "total": F.round(F.sum("o_totalprice"), 2)})
 
 
 @query("""
@@ -180,7 +183,7 @@ def bottom_customers_strict(spark, folder):
         table(spark, folder, "orders"), "o_custkey", F.round(F.sum("o_totalprice"), 2), 7,
         ascending=True, ties="strict",
     )
-    return worksheet(rows, ["o_custkey"], {**N, "total": F.round(F.sum("o_totalprice"), 2)})
+    return worksheet(rows, ["o_custkey"], {**row_count(), "total": F.round(F.sum("o_totalprice"), 2)})
 
 
 @query("""
@@ -196,7 +199,7 @@ def set_filters(spark, folder):
     out = None
     for side, invert in (("in", False), ("out", True)):
         rows = f.set_filter(orders, "o_custkey", members, invert)
-        part = worksheet(rows, [("side", F.lit(side))], {**N, "total": F.round(F.sum("o_totalprice"), 2)})
+        part = worksheet(rows, [("side", F.lit(side))], {**row_count(), "total": F.round(F.sum("o_totalprice"), 2)})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -236,7 +239,7 @@ def cross_filter(spark, folder):
     }
     out = None
     for name, df in f.cross_filter(frames, {"nationkey": [1, 2, 3]}).items():
-        part = worksheet(df, [], N).withColumn("dataset", F.lit(name))
+        part = worksheet(df, [], row_count()).withColumn("dataset", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -258,7 +261,7 @@ def entitlement(spark, folder):
         table(spark, folder, "customer"), "c_nationkey", grants.union(own),
         user="Supplier#000000003", groups=["managers"],
     )
-    return worksheet(rows, ["c_mktsegment"], {**N, "balance": F.round(F.sum("c_acctbal"), 2)})
+    return worksheet(rows, ["c_mktsegment"], {**row_count(), "balance": F.round(F.sum("c_acctbal"), 2)})
 
 
 @query("""
@@ -279,7 +282,7 @@ def order_of_operations(spark, folder):
     view = OrderOfOperations(
         dims=["o_orderpriority", "o_orderstatus"],
         measures={
-            **N,
+            **row_count(),
             "total": F.round(F.sum("o_totalprice"), 2),
             "best_customer": F.round(F.max("customer_total"), 2),
         },
@@ -302,6 +305,6 @@ def order_of_operations(spark, folder):
     SELECT * FROM (SELECT c_mktsegment, n, round(n / sum(n) OVER (), 6) AS share FROM v) WHERE n > 290
 """)
 def table_calc_filter(spark, folder):
-    view = worksheet(table(spark, folder, "customer"), ["c_mktsegment"], N)
+    view = worksheet(table(spark, folder, "customer"), ["c_mktsegment"], row_count())
     shares = percent_of_total(view, "n", "share", [])
     return shares.withColumn("share", F.round("share", 6)).where("n > 290")

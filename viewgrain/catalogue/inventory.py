@@ -11,7 +11,9 @@ from viewgrain.catalogue import query, table
 from viewgrain.metadata import fields, formulas, graph, inventory, keys, names
 from viewgrain.operators.view import worksheet
 
-N = F.count(F.lit(1))
+
+def row_count():
+    return F.count(F.lit(1))
 
 
 def catalog(spark, folder):
@@ -395,7 +397,7 @@ def complexity(spark, folder):
         table(spark, folder, "lineitem"),
         [("worksheet", F.col("l_orderkey"))],
         {
-            "field_count": N,
+            "field_count": row_count(),
             "calc_count": F.count_if(F.col("l_returnflag") == "A"),
             "lod_count": F.count_if(F.col("l_discount") >= 0.1),
             "table_calc_count": F.count_if(F.col("l_tax") >= 0.08),
@@ -492,5 +494,5 @@ def auto_aggregation(spark, folder):
         pick(0).alias("field"), pick(1).alias("datatype"), pick(2).alias("role"), pick(3).alias("default_aggregation")
     )
     return worksheet(
-        fields.auto_aggregation(inventory_fields), ["field", "semantic", "aggregation"], {"n": N}
+        fields.auto_aggregation(inventory_fields), ["field", "semantic", "aggregation"], {"n": row_count()}
     )

@@ -9,8 +9,13 @@ from viewgrain.functions.dates import date_part
 from viewgrain.operators import lod
 from viewgrain.operators.view import worksheet
 
-YEAR = ("yr", date_part("year", F.col("o_orderdate")))
-MONTH = ("mn", date_part("month", F.col("o_orderdate")))
+
+def year():
+    return ("yr", date_part("year", F.col("o_orderdate")))
+
+
+def month():
+    return ("mn", date_part("month", F.col("o_orderdate")))
 
 
 def customers(spark, folder):
@@ -66,7 +71,7 @@ def fixed_distinct(spark, folder):
 
 
 @query("""
-    SELECT n_name, round(avg(v), 4) AS avg_customer_sales FROM (
+    SELECT n_name, round(avg(v), 6) AS avg_customer_sales FROM (
       SELECT n_name, o_custkey, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY 1
 """)
@@ -75,7 +80,7 @@ def include_avg_per_nation(spark, folder):
         orders_by_nation(spark, folder), ["n_name"], ["o_custkey"],
         F.sum("o_totalprice"), F.avg, "avg_customer_sales",
     )
-    return view.withColumn("avg_customer_sales", F.round("avg_customer_sales", 4))
+    return view.withColumn("avg_customer_sales", F.round("avg_customer_sales", 6))
 
 
 @query("""
@@ -86,7 +91,7 @@ def include_avg_per_nation(spark, folder):
 """)
 def exclude_month(spark, folder):
     return lod.exclude(
-        table(spark, folder, "orders"), [YEAR, MONTH], ["mn"],
+        table(spark, folder, "orders"), [year(), month()], ["mn"],
         F.round(F.sum("o_totalprice"), 2), "year_total",
         {"total": F.round(F.sum("o_totalprice"), 2)},
     )
@@ -95,18 +100,18 @@ def exclude_month(spark, folder):
 @query("""
     WITH f AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1),
          m AS (SELECT DISTINCT o_orderstatus, o_custkey FROM orders)
-    SELECT o_orderstatus, round(avg(t), 2) AS avg_total FROM m JOIN f USING (o_custkey) GROUP BY 1
+    SELECT o_orderstatus, round(avg(t), 5) AS avg_total FROM m JOIN f USING (o_custkey) GROUP BY 1
 """)
 def fixed_in_view(spark, folder):
     view = lod.fixed_in_view(
         table(spark, folder, "orders"), ["o_orderstatus"], ["o_custkey"],
         F.sum("o_totalprice"), F.avg, "avg_total",
     )
-    return view.withColumn("avg_total", F.round("avg_total", 2))
+    return view.withColumn("avg_total", F.round("avg_total", 5))
 
 
 @query("""
-    SELECT c_mktsegment, round(avg(t), 4) AS avg_customer_total, max(n) AS most_orders FROM (
+    SELECT c_mktsegment, round(avg(t), 5) AS avg_customer_total, max(n) AS most_orders FROM (
       SELECT c_mktsegment, o_custkey, sum(o_totalprice) AS t, count(*) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) GROUP BY 1
 """)
@@ -117,7 +122,7 @@ def nested_avg_customer(spark, folder):
         rows,
         [
             (["c_mktsegment", "o_custkey"], {"t": F.sum("o_totalprice"), "n": F.count(F.lit(1))}),
-            (["c_mktsegment"], {"avg_customer_total": F.round(F.avg("t"), 4), "most_orders": F.max("n")}),
+            (["c_mktsegment"], {"avg_customer_total": F.round(F.avg("t"), 5), "most_orders": F.max("n")}),
         ],
     )
 
@@ -133,7 +138,7 @@ def cohort_first_year(spark, folder):
     rows = lod.cohort(orders, "o_custkey", "o_orderdate", "first_date")
     return worksheet(
         rows,
-        [("cohort", date_part("year", F.col("first_date"))), YEAR],
+        [("cohort", date_part("year", F.col("first_date"))), year()],
         {
             "n": F.count(F.lit(1)),
             "customers": F.count_distinct("o_custkey"),

@@ -13,11 +13,13 @@ from viewgrain.operators.view import worksheet
 from viewgrain.plans.settle import shared_folder
 from viewgrain.sources import custom_query, export_csv, read_files, safe_names
 
-PRICES = {
-    "Total_Price": F.round(F.sum("l_extendedprice"), 2),
-    "Total_Quantity": F.round(F.sum("l_quantity"), 2),
-    "Line_Count": F.count(F.lit(1)),
-}
+
+def prices():
+    return {
+        "Total_Price": F.round(F.sum("l_extendedprice"), 2),
+        "Total_Quantity": F.round(F.sum("l_quantity"), 2),
+        "Line_Count": F.count(F.lit(1)),
+    }
 
 
 @query("""
@@ -28,7 +30,7 @@ PRICES = {
     UNION ALL SELECT l_returnflag, l_linestatus, 'Line Count', c FROM w
 """)
 def unpivot_measures(spark, folder):
-    return reshape.unpivot_measures(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], PRICES)
+    return reshape.unpivot_measures(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], prices())
 
 
 @query("""
@@ -37,7 +39,7 @@ def unpivot_measures(spark, folder):
     UNION ALL SELECT 'Line Count', CAST(count(*) AS DOUBLE) FROM lineitem
 """)
 def unpivot_totals(spark, folder):
-    return reshape.unpivot_measures(table(spark, folder, "lineitem"), [], PRICES)
+    return reshape.unpivot_measures(table(spark, folder, "lineitem"), [], prices())
 
 
 @query("""
@@ -48,7 +50,7 @@ def unpivot_totals(spark, folder):
     UNION ALL SELECT l_suppkey, 'Total Quantity', q FROM w
 """)
 def unpivot_top(spark, folder):
-    measures = {n: PRICES[n] for n in ("Total_Price", "Total_Quantity")}
+    measures = {n: prices()[n] for n in ("Total_Price", "Total_Quantity")}
     return reshape.unpivot_top(table(spark, folder, "lineitem"), ["l_suppkey"], measures, 12)
 
 

@@ -21,7 +21,9 @@ from viewgrain.operators.joins import (
 from viewgrain.operators.reshape import group_members, recode, recode_from, set_flag
 from viewgrain.operators.view import detail, manual_order, top_rows, with_calc, worksheet
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def sales_model(spark, folder) -> Model:
@@ -50,7 +52,7 @@ def ws_region_year(spark, folder):
     return worksheet(
         rows,
         ["r_name", ("yr", date_part("year", F.col("o_orderdate")))],
-        {"revenue": F.round(F.sum(REVENUE), 2), "n": F.count(F.lit(1))},
+        {"revenue": F.round(F.sum(revenue()), 2), "n": F.count(F.lit(1))},
         filters=[
             isin_members("r_name", ["ASIA", "EUROPE", "AMERICA"]),
             date_range("o_orderdate", dt.date(1996, 1, 1), dt.date(1999, 1, 1)),
@@ -149,7 +151,7 @@ def detail_rows(spark, folder):
     FROM lineitem GROUP BY 1
 """)
 def calculated_field(spark, folder):
-    rows = with_calc(table(spark, folder, "lineitem"), "charge", REVENUE * (1 + F.col("l_tax")))
+    rows = with_calc(table(spark, folder, "lineitem"), "charge", revenue() * (1 + F.col("l_tax")))
     return worksheet(
         rows,
         ["l_returnflag"],
@@ -247,7 +249,7 @@ def set_in_out(spark, folder):
 
 
 @query("""
-    SELECT p_brand, p_type, p_size, count(*) AS n, round(avg(p_retailprice), 4) AS avg_price
+    SELECT p_brand, p_type, p_size, count(*) AS n, round(avg(p_retailprice), 6) AS avg_price
     FROM part GROUP BY ALL
 """)
 def encoding_channels(spark, folder):
@@ -258,7 +260,7 @@ def encoding_channels(spark, folder):
             "color": ["p_type"],
             "detail": ["p_size"],
             "size": {"n": F.count(F.lit(1))},
-            "label": {"avg_price": F.round(F.avg("p_retailprice"), 4)},
+            "label": {"avg_price": F.round(F.avg("p_retailprice"), 6)},
         },
     )
 

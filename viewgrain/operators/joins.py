@@ -130,11 +130,6 @@ def join_rank_back(df: DataFrame, dim: str, aggregate: Column, name: str) -> Dat
     return null_safe_join(df, member_rank(df, dim, aggregate, name), [dim])
 
 
-def join_model(fact: DataFrame, *dims: tuple[DataFrame, Mapping[str, str]]) -> DataFrame:
-    """Inner-join several tables to a fact in turn."""
-    return reduce(lambda out, d: physical_join(out, d[0], d[1]), dims, fact)
-
-
 def overlap_join(
     df: DataFrame, lo: str, hi: str, by: Sequence[str], key: str, keep: Sequence[str] = ()
 ) -> DataFrame:

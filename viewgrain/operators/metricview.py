@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from viewgrain.operators.filters import filter_rows
 from viewgrain.operators.joins import lookup_join
@@ -72,6 +71,3 @@ class MetricView:
     def counter(self, measure: str, where: Sequence[Column] = ()) -> DataFrame:
         return self.query([], [measure], where=where)
 
-
-def record_rows() -> Column:
-    return F.count(F.lit(1))

@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewgrain.operators.filters import keep_members, rank_members
-from viewgrain.plans.keys import group
+from viewgrain.plans.keys import group, null_safe_join
 
 
 def metric_label(name: str) -> str:
     return name.replace("_", " ")
 
 
+def _wide(df: DataFrame, dims: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    return group(
+        df, list(dims), *[m.cast("double").alias(metric_label(n)) for n, m in measures.items()]
+    )
+
+
+def _long(wide: DataFrame, dims: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    labels = [F.col(f"`{metric_label(n)}`") for n in measures]
+    return wide.unpivot([F.col(f"`{d}`") for d in dims], labels, "Metric", "Value")
+
+
 def unpivot_measures(
     df: DataFrame, dims: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:
@@ -25,11 +36,7 @@ def unpivot_measures(
     The source is aggregated once, wide, and the result is unpivoted; a measure that is
     NULL in a cell keeps its row.
     """
-    wide = group(
-        df, list(dims), *[m.cast("double").alias(metric_label(n)) for n, m in measures.items()]
-    )
-    labels = [F.col(f"`{metric_label(n)}`") for n in measures]
-    return wide.unpivot([F.col(f"`{d}`") for d in dims], labels, "Metric", "Value")
+    return _long(_wide(df, dims, measures), dims, measures)
 
 
 def unpivot_top(
@@ -37,9 +44,15 @@ def unpivot_top(
 ) -> DataFrame:
     """Unpivoted measures for the ``n`` members of the first dimension with the largest sum
     of all measures; the members are chosen once for all measures."""
+    wide = _wide(df, dims, measures)
+    if len(dims) == 1:
+        # The cells are the members: the first n of them need no second pass and no join.
+        total = reduce(Column.__add__, [F.col(f"`{metric_label(m)}`") for m in measures])
+        first = wide.orderBy(total.desc_nulls_last(), F.col(dims[0]).asc_nulls_first()).limit(n)
+        return _long(first, dims, measures)
     total = reduce(Column.__add__, [m.cast("double") for m in measures.values()])
     members = rank_members(df, dims[0], total, n, ties="strict")
-    return keep_members(unpivot_measures(df, dims, measures), dims[0], members.select(dims[0]))
+    return keep_members(_long(wide, dims, measures), dims[0], members.select(dims[0]))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -94,8 +107,6 @@ def recode(df: DataFrame, col: str, aliases: Mapping) -> DataFrame:
 
 def recode_from(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
     """``recode`` with the (value, alias) pairs in a table of any size."""
-    from viewgrain.plans.keys import null_safe_join
-
     value, alias = aliases.columns
     named = aliases.select(F.col(value).alias(col), F.col(alias).alias("__alias"))
     joined = null_safe_join(df, named, [col])
@@ -115,8 +126,6 @@ def group_members(
 
 def set_flag(df: DataFrame, col: str, members: DataFrame, name: str) -> DataFrame:
     """Whether each row's member is in the set."""
-    from viewgrain.plans.keys import null_safe_join
-
     marked = members.select(F.col(members.columns[0]).alias(col)).distinct()
     joined = null_safe_join(df, marked.withColumn("__in", F.lit(True)), [col])
     return joined.withColumn(name, F.col("__in").isNotNull()).drop("__in")

@@ -74,8 +74,3 @@ def is_small(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get(SETTLE_BYTES, str(_DEFAULT_SETTLE_BYTES)))
     return estimated_bytes(df) <= limit
 
-
-def settle_if_large(df: DataFrame) -> DataFrame:
-    """Settle a result whose estimated size is large, leave a small one lazy."""
-    return df if is_small(df) else settle(df)
-
