@@ -165,7 +165,7 @@ def orders_metrics(spark, folder) -> MetricView:
         },
         measures={
             "total_orders": F.count_distinct("o_orderkey"),
-            "avg_value": F.round(F.avg("o_totalprice"), 6),
+            "avg_value": agg.ratio(F.round(F.sum("o_totalprice"), 2), F.count("o_totalprice")),
             "open_rate": F.round(
                 agg.ratio(agg.count_where(F.col("o_orderstatus") == "O"), F.count("o_orderkey")), 6
             ),
@@ -179,7 +179,7 @@ def orders_metrics(spark, folder) -> MetricView:
 
 @query("""
     SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS "year", count(DISTINCT o_orderkey) AS total_orders,
-           round(avg(o_totalprice), 6) AS avg_value, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(o_orderkey), 6) AS open_rate
+           round(sum(o_totalprice), 2) / count(o_totalprice) AS avg_value, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(o_orderkey), 6) AS open_rate
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
     WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND o_totalprice > 5000 GROUP BY ALL
 """)

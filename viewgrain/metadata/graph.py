@@ -119,24 +119,29 @@ def lineage_bases(edges: DataFrame, targets: DataFrame) -> DataFrame:
 def topo_levels(edges: DataFrame) -> DataFrame:
     """(node, level) by the longest path from a node nothing feeds.
 
-    Nodes on a cycle, or fed by one, have no level and are left out. One round per level;
-    each round writes only the edges still open.
+    Nodes on a cycle, or fed by one, have no level and are left out. Each round takes the
+    edges out of the last level off the count of open edges of their targets, and writes
+    one row per node.
     """
-    open_edges = settle(edges.select("src", "dst").distinct())
-    fed = open_edges.select(F.col("dst").alias("node"))
-    feeding = open_edges.select(F.col("src").alias("node"))
-    ready = settle(feeding.join(fed, "node", "left_anti").distinct())
-    levels = [ready.withColumn("level", F.lit(0))]
-    while not ready.isEmpty():
-        from_ready = open_edges["src"] == ready["node"]
-        closed = open_edges.join(ready, from_ready, "left_semi")
-        still_open = settle(open_edges.join(ready, from_ready, "left_anti"))
-        freed = closed.select(F.col("dst").alias("node")).distinct()
-        waiting = still_open.select(F.col("dst").alias("node"))
-        ready = settle(freed.join(waiting, "node", "left_anti"))
-        open_edges = still_open
-        levels.append(ready.withColumn("level", F.lit(len(levels))))
-    return reduce(DataFrame.union, levels)
+    links = settle(edges.select("src", "dst").distinct())
+    ends = links.select(F.col("dst").alias("node"), F.lit(1).alias("one"))
+    starts = links.select(F.col("src").alias("node"), F.lit(0).alias("one"))
+    counted = ends.union(starts).groupBy("node").agg(F.sum("one").alias("open"))
+    nodes = settle(counted.withColumn("level", F.when(F.col("open") == 0, F.lit(0))))
+    level = 0
+    while not nodes.where(F.col("level") == level).isEmpty():
+        ready = nodes.where(F.col("level") == level).select("node")
+        level += 1
+        closed = links.join(ready, links["src"] == ready["node"], "left_semi")
+        taken = closed.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("__taken"))
+        still_open = F.col("open") - F.coalesce("__taken", F.lit(0))
+        reached = F.when(F.col("level").isNull() & (still_open == 0), F.lit(level))
+        nodes = settle(
+            nodes.join(taken, "node", "left").select(
+                "node", still_open.alias("open"), F.coalesce("level", reached).alias("level")
+            )
+        )
+    return nodes.where("level IS NOT NULL").select("node", "level")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -8,9 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewgrain.plans.settle import settle
+
 PAIR = ["from_table", "from_column", "to_table", "to_column"]
 # Confidence per kind of evidence.
-DECLARED, EXPLICIT_JOIN, RELATIONSHIP, SAME_KEY_NAME, TABLE_ID_NAME = 1.0, 0.9, 0.85, 0.7, 0.6
+CONFIDENCE = {
+    "declared": 1.0,
+    "join": 0.9,
+    "relationship": 0.85,
+    "same_key": 0.7,
+    "table_id": 0.6,
+}
 
 
 def infer_keys(
@@ -25,21 +33,27 @@ def infer_keys(
     in ``PAIR``. A column ``{t}_id`` refers to table t, else its singular, else its plural;
     any other column refers to each primary key of the same name in another table.
     """
-    given = [
-        (declared, "declared", DECLARED),
-        (joins, "join", EXPLICIT_JOIN),
-        (relationships, "relationship", RELATIONSHIP),
+    # Read several times below, and often the result of a longer query.
+    columns = settle(columns.select("table_name", "column_name", "is_pk", "position"))
+    found = {
+        "declared": declared,
+        "join": joins,
+        "relationship": relationships,
+        "same_key": _by_key_name(columns),
+        "table_id": _by_table_name(columns),
+    }
+    parts = [
+        df.select(*PAIR, F.lit(CONFIDENCE[kind]).alias("confidence"))
+        for kind, df in found.items()
+        if df is not None
     ]
-    parts = [_evidence(df.select(*PAIR), kind, c) for df, kind, c in given if df is not None]
-    parts.append(_evidence(_by_table_name(columns), "table_id", TABLE_ID_NAME))
-    parts.append(_evidence(_by_key_name(columns), "same_key", SAME_KEY_NAME))
-    best = F.max(F.struct("confidence", "kind")).alias("best")
-    merged = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(best)
-    return merged.select(*PAIR, "best.kind", "best.confidence")
-
-
-def _evidence(pairs: DataFrame, kind: str, confidence: float) -> DataFrame:
-    return pairs.withColumns({"kind": F.lit(kind), "confidence": F.lit(confidence)})
+    merged = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(
+        F.max("confidence").alias("confidence")
+    )
+    kind = F
+    for name, confidence in CONFIDENCE.items():
+        kind = kind.when(F.col("confidence") == confidence, F.lit(name))
+    return merged.select(*PAIR, kind.alias("kind"), "confidence")
 
 
 def _by_table_name(columns: DataFrame) -> DataFrame:
