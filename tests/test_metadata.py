@@ -207,3 +207,10 @@ def test_lookup_refuses_a_key_that_is_not_unique(spark):
     with pytest.raises(ValueError, match="not unique"):
         lookup_join(fact, dim, {"k": "k"})
     assert rows(lookup_join(fact, dim.where("n = 'a'"), {"k": "k"})) == [(1, "a"), (2, None)]
+
+
+def test_model_keeps_the_first_of_two_columns_with_one_name(spark):
+    left = spark.createDataFrame([(1, "l")], "id int, note string")
+    right = spark.createDataFrame([(1, "r", 7)], "id int, note string, extra int")
+    model = Model("left", {"left": left, "right": right}).relate("left", "right", {"id": "id"})
+    assert rows(model.view(["id", "note", "extra"])) == [(1, "l", 7)]

@@ -496,3 +496,46 @@ def auto_aggregation(spark, folder):
     return worksheet(
         fields.auto_aggregation(inventory_fields), ["field", "semantic", "aggregation"], {"n": row_count()}
     )
+
+
+@query("WITH " + _DATASETS + """
+    SELECT 'ERROR' AS severity, 'bounds_right' AS rule, count(*) AS n FROM w WHERE x + width > 6
+    UNION ALL SELECT 'ERROR', 'bounds_height', count(*) FROM w WHERE height < 1
+    UNION ALL SELECT 'WARNING', 'widget_type', count(*) FROM w WHERE type = 'sankey'
+""")
+def rule_summary(spark, folder):
+    summary = inventory.rule_summary(inventory.check_rules(*datasets_and_widgets(spark, folder)))
+    return summary.where(F.col("rule").isin("bounds_right", "bounds_height", "widget_type"))
+
+
+@query("""
+    SELECT min('u' || o_orderkey) AS dataset, 'SELECT * FROM t WHERE c = ' || o_custkey AS query FROM orders GROUP BY 2
+""")
+def dedupe_kept(spark, folder):
+    datasets = table(spark, folder, "orders").select(
+        F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("dataset"),
+        F.concat(F.lit("SELECT * FROM t WHERE c = "), F.col("o_custkey").cast("string")).alias("query"),
+    )
+    kept, _ = inventory.dedupe_queries(datasets, datasets.select(F.col("dataset").alias("widget"), "dataset"))
+    return kept
+
+
+@query("""
+    WITH a AS (SELECT * FROM customer WHERE c_acctbal > 0), b AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')
+    SELECT 'added' AS change, count(*) AS n FROM b WHERE c_acctbal <= 0
+    UNION ALL SELECT 'removed', count(*) FROM a WHERE c_mktsegment = 'BUILDING'
+""")
+def reconcile_keys(spark, folder):
+    customer = table(spark, folder, "customer")
+    return inventory.reconcile_keys(
+        customer.where("c_acctbal > 0"), customer.where("c_mktsegment <> 'BUILDING'"), ["c_custkey"]
+    )
+
+
+@query("WITH " + _CATALOG + """
+    SELECT table_name, CAST(count(*) AS BIGINT) AS columns, count(*) FILTER (WHERE is_pk) AS keys FROM c GROUP BY 1
+""")
+def catalog_summary(spark, folder):
+    return worksheet(
+        catalog(spark, folder), ["table_name"], {"columns": row_count(), "keys": F.count_if(F.col("is_pk"))}
+    )

@@ -56,10 +56,18 @@ class Model:
         joined = self.tables[self.base]
         for _, child, keys in steps:
             if child in needed:
-                how = "left" if self.keep_unmatched else "inner"
-                joined = physical_join(joined, self.tables[child], keys, how)
+                joined = self._attach(joined, child, keys)
         return joined.select(*fields)
 
+    def _attach(self, joined: DataFrame, child: str, keys: dict[str, str]) -> DataFrame:
+        # A column name that is already there stays with the table joined before.
+        right = self.tables[child]
+        taken = {c: f"__{child}_{c}" for c in right.columns if c in joined.columns}
+        pairs = {l: taken.get(r, r) for l, r in keys.items()}
+        how = "left" if self.keep_unmatched else "inner"
+        out = physical_join(joined, right.withColumnsRenamed(taken), pairs, how)
+        return out.drop(*taken.values())
+
     def _owner(self, name: str) -> str:
         for table, df in self.tables.items():
             if name in df.columns:
