@@ -4,10 +4,13 @@ same, the SQL that checks it."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from viewgrain.plans.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -27,7 +30,11 @@ _AREAS = (
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def tuned(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(tune(spark), folder)
+
+        _QUERIES[fn.__name__] = tuned
         if sql is not None:
             _SQL[fn.__name__] = sql
         return fn

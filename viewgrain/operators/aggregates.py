@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from viewgrain.functions.logic import safe_div
 from viewgrain.plans.keys import attach, group
-from viewgrain.plans.ordered import Order, per_partition, position, running
+from viewgrain.plans.ordered import Order, position, running
 from viewgrain.plans.settle import block_rows, is_small, settle
 
 
@@ -82,7 +82,7 @@ def percentiles_of_counts(
             *[F.percentile("__value", F.lit(p), F.col("__n")).alias(n) for n, p in wanted.items()],
         )
     through = running(counts, {"__through": ("sum", F.col("__n"))}, dims, [Order("__value")])
-    placed = per_partition(through, {"__total": F.sum("__n")}, dims)
+    placed = attach(through, group(counts, dims, F.sum("__n").alias("__total")), dims)
     after = F.col("__through")
     before = after - F.col("__n")
     picks = []

@@ -130,7 +130,7 @@ def rank(
     ranked = ordered.running(values, {"__through": ("sum", F.col("__ties"))}, partition, order)
     first = F.col("__through") - F.col("__ties") + 1
     if kind == "percentile":
-        ranked = ordered.per_partition(ranked, {"__rows": F.sum("__ties")}, partition)
+        ranked = attach(ranked, group(source, partition, F.count(F.lit(1)).alias("__rows")), partition)
         place = F.coalesce(safe_div(first - 1, F.col("__rows") - 1), F.lit(0.0))
     else:
         place = first if kind == "rank" else F.col("__through")
