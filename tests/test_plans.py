@@ -78,3 +78,40 @@ def test_cut_windows_are_bounded_by_block(orders, large):
 def test_tune(spark):
     tune(spark)
     assert all(spark.conf.get(k) == v for k, v in SETTINGS.items())
+
+
+@pytest.fixture
+def tiny_skew_limits(spark):
+    """Skew limits so low that a hot key of a few thousand rows counts, and no broadcasts."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    }
+    tune(spark)
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key in conf:
+        spark.conf.unset(key)
+
+
+def skewed(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 5000)
+    return spark.range(0, 60_000, 1, 8).select(key.alias("k"), F.col("id").alias("v"), F.hash("id").alias("h"))
+
+
+@pytest.mark.parametrize(
+    "job",
+    [
+        lambda df: lod.fixed(df, ["k"], {"t": F.sum("v")}),
+        lambda df: worksheet(f.condition_members(df, "k", F.count(F.lit(1)), lambda n: n > 5), ["k"], {"t": F.sum("v")}),
+        lambda df: worksheet(lod.fixed(df, ["k"], {"t": F.sum("v")}), ["k"], {"m": F.max("t")}),
+    ],
+)
+def test_a_hot_null_key_is_split(spark, tiny_skew_limits, job):
+    df = skewed(spark)
+    out = job(df)
+    out.collect()
+    assert "skew=true" in plan_of(out)

@@ -43,9 +43,7 @@ def percentiles(
     """
     dims = list(dims)
     if is_small(df):
-        return group(
-            df, dims, *[F.percentile(F.col(c), p).alias(n) for n, (c, p) in wanted.items()]
-        )
+        return _builtin_percentiles(df, dims, wanted, F.lit(1))
     out = group(df, dims, F.count(F.lit(1)).alias("__rows"))
     for column in dict.fromkeys(c for c, _ in wanted.values()):
         mine = {n: p for n, (c, p) in wanted.items() if c == column}
@@ -53,6 +51,23 @@ def percentiles(
     return out.drop("__rows")
 
 
+def _builtin_percentiles(
+    df: DataFrame, dims: list[str], wanted: Mapping[str, tuple[str, float]], frequency: Column
+) -> DataFrame:
+    """One aggregate per column, which gives all its percentiles at once."""
+    names: dict[str, list[str]] = {}
+    for name, (column, _) in wanted.items():
+        names.setdefault(column, []).append(name)
+    aggregates = [
+        F.percentile(c, F.array(*[F.lit(float(wanted[n][1])) for n in mine]), frequency).alias(f"__of_{c}")
+        for c, mine in names.items()
+    ]
+    places = {n: (c, i) for c, mine in names.items() for i, n in enumerate(mine)}
+    return group(df, dims, *aggregates).select(
+        *dims, *[F.get(f"__of_{places[n][0]}", F.lit(places[n][1])).alias(n) for n in wanted]
+    )
+
+
 def median(df: DataFrame, dims: Sequence[str], column: str, name: str) -> DataFrame:
     return percentiles(df, dims, {name: (column, 0.5)})
 
@@ -76,11 +91,8 @@ def percentiles_of_counts(
 ) -> DataFrame:
     """Percentiles from (dims, __value, __n) rows."""
     if counts.count() <= block_rows(counts.sparkSession):
-        return group(
-            counts,
-            dims,
-            *[F.percentile("__value", F.lit(p), F.col("__n")).alias(n) for n, p in wanted.items()],
-        )
+        of_value = {n: ("__value", p) for n, p in wanted.items()}
+        return _builtin_percentiles(counts, dims, of_value, F.col("__n"))
     through = running(counts, {"__through": ("sum", F.col("__n"))}, dims, [Order("__value")])
     placed = attach(through, group(counts, dims, F.sum("__n").alias("__total")), dims)
     after = F.col("__through")
