@@ -63,29 +63,25 @@ def _by_table_name(columns: DataFrame) -> DataFrame:
         F.col("column_name").alias("from_column"),
         F.expr("left(lower(column_name), length(column_name) - 3)").alias("ref"),
     )
-    singular = F.when(F.col("ref").endswith("s"), F.expr("left(ref, length(ref) - 1)"))
-    guesses = F.array(
-        F.struct(F.lit(1).alias("turn"), F.col("ref").alias("table")),
-        F.struct(F.lit(2).alias("turn"), singular.alias("table")),
-        F.struct(F.lit(3).alias("turn"), F.concat("ref", F.lit("s")).alias("table")),
-    )
-    guessed = wanted.withColumn("guess", F.explode(guesses)).select(
-        "from_table", "from_column", "guess.turn", F.col("guess.table").alias("guessed")
-    )
-    targets = _target_columns(columns)
-    found = guessed.join(targets, guessed["guessed"] == targets["to_lower"])
-    first = found.groupBy("from_table", "from_column").agg(
-        F.min_by(F.struct("to_table", "id_column", "own_column", "first_key"), "turn").alias("t")
-    )
-    referring = first.select("from_table", "from_column", "t.*").where("to_table <> from_table")
+    # The ways to refer to a table: its name, its plural, and its singular, in that order.
+    # They are spelled out per table, so each column needs one lookup.
+    table = F.col("to_lower")
+    singular = F.when(table.endswith("s"), F.expr("left(to_lower, length(to_lower) - 1)"))
+    forms = [table, F.concat(table, F.lit("s")), singular]
+    spelled = F.array(*[F.struct(F.lit(i).alias("turn"), f.alias("ref")) for i, f in enumerate(forms)])
+    target = F.struct("to_table", "id_column", "own_column", "first_key")
+    named = _target_columns(columns).withColumn("form", F.explode(spelled)).where("form.ref IS NOT NULL")
+    first = named.groupBy(F.col("form.ref").alias("ref")).agg(F.min_by(target, "form.turn").alias("t"))
+    referring = wanted.join(first, "ref").select("from_table", "from_column", "t.*")
+    referring = referring.where("to_table <> from_table")
     same = columns.select(
         F.col("table_name").alias("to_table"), name.alias("__same"), F.col("column_name").alias("same_column")
     )
     on = [F.lower("from_column") == same["__same"], referring["to_table"] == same["to_table"]]
-    target = F.coalesce("id_column", "own_column", "same_column", "first_key")
+    column = F.coalesce("id_column", "own_column", "same_column", "first_key")
     return (
         referring.join(same, on, "left")
-        .select("from_table", "from_column", referring["to_table"], target.alias("to_column"))
+        .select("from_table", "from_column", referring["to_table"], column.alias("to_column"))
         .where("to_column IS NOT NULL")
     )
 
