@@ -16,12 +16,16 @@ def row_count():
     return F.count(F.lit(1))
 
 
+def item_names(key):
+    """Table and key column of a part: some tables have plural names, some keys are no id."""
+    plural = F.when(F.col(key) % 3 == 1, "s").otherwise("")
+    return F.concat(F.lit("item"), key, plural), F.when(F.col(key) % 2 == 0, "id").otherwise("serial")
+
+
 def catalog(spark, folder):
     """One table per part, supplier, nation and customer, with reference columns between them."""
     part, supplier = table(spark, folder, "part"), table(spark, folder, "supplier")
-    item_table = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("item"), "p_partkey", F.lit("s")))
-    item_table = item_table.otherwise(F.concat(F.lit("item"), "p_partkey"))
-    item_key = F.when(F.col("p_partkey") % 2 == 0, "id").otherwise("serial")
+    item_table, item_key = item_names("p_partkey")
     pairs = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
     parts = [
         part.select(item_table.alias("table_name"), item_key.alias("column_name"), F.lit(True).alias("is_pk"), F.lit(1).alias("position")),
@@ -58,8 +62,8 @@ _CATALOG = """
     r AS (SELECT table_name AS f, column_name AS fc, left(lower(column_name), length(column_name) - 3) AS ref FROM c WHERE lower(column_name) LIKE '%\\_id' ESCAPE '\\'),
     n AS (SELECT f, fc, coalesce(a.table_name, b.table_name) AS tt, coalesce(a.pk, b.pk) AS tc FROM r
           LEFT JOIN t a ON lower(a.table_name) = ref LEFT JOIN t b ON lower(b.table_name) = ref || 's' WHERE coalesce(a.table_name, b.table_name) IS NOT NULL),
-    j AS (SELECT DISTINCT 'Vendor' || l_suppkey AS f, 'Item' || l_partkey || '_ID' AS fc, 'item' || l_partkey AS tt, 'id' AS tc
-          FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 6 = 0),
+    j AS (SELECT DISTINCT 'Vendor' || l_suppkey AS f, 'Item' || l_partkey || '_ID' AS fc, 'item' || l_partkey || CASE WHEN l_partkey % 3 = 1 THEN 's' ELSE '' END AS tt,
+          CASE WHEN l_partkey % 2 = 0 THEN 'id' ELSE 'serial' END AS tc FROM lineitem WHERE l_quantity >= 49),
     k AS (SELECT a.table_name AS f, a.column_name AS fc, b.table_name AS tt, b.column_name AS tc FROM c a JOIN c b
           ON lower(a.column_name) = lower(b.column_name) AND b.is_pk AND NOT a.is_pk AND a.table_name <> b.table_name AND lower(a.column_name) NOT LIKE '%\\_id' ESCAPE '\\'),
     u AS (SELECT *, 'table_id' AS kind, 0.6::DOUBLE AS confidence FROM n UNION ALL SELECT *, 'join', 0.9 FROM j UNION ALL SELECT *, 'same_key', 0.7 FROM k)
@@ -67,12 +71,13 @@ _CATALOG = """
     FROM u GROUP BY ALL
 """)
 def infer_keys(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_quantity >= 49 AND l_partkey % 6 = 0")
+    lines = table(spark, folder, "lineitem").where("l_quantity >= 49")
+    item_table, item_key = item_names("l_partkey")
     joins = lines.select(
         F.concat(F.lit("Vendor"), "l_suppkey").alias("from_table"),
         F.concat(F.lit("Item"), "l_partkey", F.lit("_ID")).alias("from_column"),
-        F.concat(F.lit("item"), "l_partkey").alias("to_table"),
-        F.lit("id").alias("to_column"),
+        item_table.alias("to_table"),
+        item_key.alias("to_column"),
     ).distinct()
     return keys.infer_keys(catalog(spark, folder), joins=joins)
 

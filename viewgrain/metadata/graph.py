@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewgrain.metadata.formulas import formula_refs
 from viewgrain.plans.settle import settle
 
 EDGE_COLUMNS = ["src", "dst", "edge_type"]
@@ -33,8 +34,10 @@ def lineage_edges(
     the calculations it names in brackets; a worksheet takes a calculation before a column
     of the same name, source by source.
     """
-    from viewgrain.metadata.formulas import formula_refs
-
+    # Each of these is read by several kinds of edges.
+    calcs = settle(calcs.select("source", "table", "calc", "formula"))
+    columns = settle(columns.select("source", "table", "column").distinct())
+    fields = settle(worksheet_fields.select("worksheet", "field").distinct())
     table = node_id("TBL", "source", "table")
     calc = node_id("CF", "source", "calc")
     known = tables.select("source", "table").distinct()
@@ -61,8 +64,7 @@ def lineage_edges(
         fields.join(column_nodes.join(calc_fields, ["source", "field"], "left_anti"), "field")
         .select(node_id("COL", "source", "field").alias("src"), sheet.alias("dst"))
     )
-    sheets = worksheet_fields.select("worksheet").distinct()
-    sheet_dashboard = dashboard_sheets.join(sheets, "worksheet", "left_semi").select(
+    sheet_dashboard = dashboard_sheets.join(fields, "worksheet", "left_semi").select(
         sheet.alias("src"), node_id("DB", "dashboard").alias("dst")
     )
     typed = {

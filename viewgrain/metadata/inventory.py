@@ -171,39 +171,59 @@ def check_rules(datasets: DataFrame, widgets: DataFrame) -> DataFrame:
     datasets(dataset, query), widgets(widget, dataset, type, x, width, height).
     """
     query, x, width = F.col("query"), F.col("x"), F.col("width")
-
-    def broken(df: DataFrame, key: str, rule: str, severity: str, condition: Column, message: str):
-        return df.where(condition).select(
-            F.lit(rule).alias("rule"),
-            F.lit(severity).alias("severity"),
-            F.col(key).alias("key"),
-            F.lit(message).alias("message"),
-        )
-
-    def doubled(df: DataFrame, key: str, rule: str, message: str):
-        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-        return broken(counted, key, rule, "ERROR", F.col("__n") > 1, message)
-
-    always = F.lit(True)
+    of_datasets = [
+        ("empty_query", "ERROR", F.coalesce(query, F.lit("")) == "", "query is empty"),
+        ("pseudo_field", "ERROR", query.rlike(PSEUDO_FIELDS), "query uses a pseudo-field"),
+        ("internal_id", "ERROR", query.rlike(INTERNAL_IDS), "query uses an internal id"),
+        ("unresolved_table", "ERROR", query.rlike(UNRESOLVED_TABLES), "table is not mapped"),
+    ]
+    of_widgets = [
+        ("bounds_x", "ERROR", (x < 0) | (x > GRID_COLUMNS - 1), "x is outside the grid"),
+        ("bounds_width", "ERROR", (width < 1) | (width > GRID_COLUMNS), "width is outside the grid"),
+        ("bounds_right", "ERROR", x + width > GRID_COLUMNS, "widget passes the right edge"),
+        ("bounds_height", "ERROR", F.col("height") < 1, "height is below 1"),
+        ("widget_type", "WARNING", ~F.col("type").isin(WIDGET_TYPES), "chart type is not supported"),
+    ]
     dangling = widgets.where(F.col("dataset").isNotNull()).join(
         datasets.select("dataset"), "dataset", "left_anti"
     )
+    always = F.lit(True)
     parts = [
-        broken(datasets, "dataset", "empty_query", "ERROR", F.coalesce(query, F.lit("")) == "", "query is empty"),
-        broken(datasets, "dataset", "pseudo_field", "ERROR", query.rlike(PSEUDO_FIELDS), "query uses a pseudo-field"),
-        broken(datasets, "dataset", "internal_id", "ERROR", query.rlike(INTERNAL_IDS), "query uses an internal id"),
-        broken(datasets, "dataset", "unresolved_table", "ERROR", query.rlike(UNRESOLVED_TABLES), "table is not mapped"),
-        broken(dangling, "widget", "reference", "ERROR", always, "dataset does not exist"),
-        broken(widgets, "widget", "bounds_x", "ERROR", (x < 0) | (x > GRID_COLUMNS - 1), "x is outside the grid"),
-        broken(widgets, "widget", "bounds_width", "ERROR", (width < 1) | (width > GRID_COLUMNS), "width is outside the grid"),
-        broken(widgets, "widget", "bounds_right", "ERROR", x + width > GRID_COLUMNS, "widget passes the right edge"),
-        broken(widgets, "widget", "bounds_height", "ERROR", F.col("height") < 1, "height is below 1"),
-        broken(widgets, "widget", "widget_type", "WARNING", ~F.col("type").isin(WIDGET_TYPES), "chart type is not supported"),
-        doubled(datasets, "dataset", "duplicate_dataset", "dataset name is used twice"),
-        doubled(widgets, "widget", "duplicate_widget", "widget id is used twice"),
+        _broken(datasets, "dataset", of_datasets),
+        _broken(widgets, "widget", of_widgets),
+        _broken(dangling, "widget", [("reference", "ERROR", always, "dataset does not exist")]),
+        _broken(
+            _doubled(datasets, "dataset"),
+            "dataset",
+            [("duplicate_dataset", "ERROR", always, "dataset name is used twice")],
+        ),
+        _broken(
+            _doubled(widgets, "widget"),
+            "widget",
+            [("duplicate_widget", "ERROR", always, "widget id is used twice")],
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _broken(df: DataFrame, key: str, rules: Sequence[tuple[str, str, Column, str]]) -> DataFrame:
+    """A row per broken rule; all rules of a table are tested in one pass over it."""
+    found = [
+        F.when(
+            condition,
+            F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(text).alias("message")),
+        )
+        for rule, severity, condition, text in rules
+    ]
+    issues = F.explode(F.filter(F.array(*found), lambda issue: issue.isNotNull()))
+    return df.select(F.col(key).alias("key"), issues.alias("issue")).select(
+        "issue.rule", "issue.severity", "key", "issue.message"
+    )
+
+
+def _doubled(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+
+
 def rule_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
