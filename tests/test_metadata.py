@@ -6,7 +6,6 @@ from difflib import SequenceMatcher
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from viewgrain.metadata import fields, formulas, graph, inventory, keys, names
 from viewgrain.operators.joins import Model, lookup_join, overlap_join
