@@ -30,11 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _signature(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Settled before the join, so that adaptive execution can split a hub's edges.
+        smallest = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = settle(
             both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = settle(moved.unionByName(lowest.withColumnRenamed("m", "b")).distinct())
         now = _signature(current)

@@ -71,12 +71,13 @@ def duplicates(
     rows = with_row_key(
         texts.select("doc_id", recipe.alias("recipe"), F.sha2(F.encode("normal", "UTF-8"), 256).alias("text_sha256"))
     )
-    groups = rows.groupBy("recipe").agg(
+    grouped = rows.groupBy("recipe").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min("doc_id").alias("keep_id"),
         F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row"),
     )
-    joined = rows.join(groups, "recipe")  # a hot group is split by adaptive execution
+    # Settled, so that both sides of the join are shuffled and a hot group can be split.
+    joined = rows.join(settle(grouped), "recipe")
     return joined.select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )

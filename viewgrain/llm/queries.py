@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewgrain.llm import exact, html, mixing, packing, quality, sharding, simhash
+from viewgrain.llm import chat, exact, html, lines, mixing, packing, pii, quality, sharding, simhash
 from viewgrain.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,21 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_decisions(table(spark, folder, "documents"))
+
+
 @query()
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("fp")
 
 
+@query()
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversations(table(spark, folder, "conversations"))
+
+
 @query()
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.per_row(mixing.mix(table(spark, folder, "documents")))
@@ -80,6 +90,20 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extracted.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.personal_data(docs, pii.train(pii.labelled(docs)))
+    counts = [F.size(pii.of_kind("base", kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.encode(pii.joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 @query()
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).drop("doc", "clean_text", "lost_chars")

@@ -252,10 +252,10 @@ def near_duplicates(
     prints = settle(fingerprints(docs, key, text, shingle))
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     classes = settle(components(links(nodes, budget)))
-    owner = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
+    owner = settle(nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = owner.groupBy("component").agg(F.min("least").alias("component_id"))
+    ))
+    smallest = settle(owner.groupBy("component").agg(F.min("least").alias("component_id")))
     named = settle(owner.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id"))
     return prints.join(named, F.col("fp") == F.col("__fp")).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
