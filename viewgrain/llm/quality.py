@@ -131,29 +131,37 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     parted = split.select("*", has_word.alias("worded")).select(
         "*", F.filter("worded", lambda x: bad_line(x)).alias("bad")
     )
+    left = F.array_join(F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), x)), "\n")
     solid = lambda c: F.length(F.regexp_replace(c, f"{SPACE}+", "")).cast("long")
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))
+    # An explode of one element: a filter on the measures must not be pushed below them, where
+    # it would repeat their expressions in full for every place that refers to a word.
     measured = parted.select(
-        *["doc", "doc_id", "lines", "bad"],
-        F.size("words").cast("long").alias("n_words"),
-        solid(F.col("text")).alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        solid(F.array_join("bad", "")).alias("lost_chars"),
-    )
+        "doc",
+        "doc_id",
+        F.explode(
+            F.array(
+                F.struct(
+                    F.size("words").cast("long").alias("n_words"),
+                    solid(F.col("text")).alias("word_chars"),
+                    symbols.cast("long").alias("n_symbols"),
+                    (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
+                    repeated_words(F.col("words")).alias("n_repeat_words"),
+                    solid(F.array_join("bad", "")).alias("lost_chars"),
+                    F.when(F.size("bad") == 0, F.col("text")).otherwise(left).alias("clean_text"),
+                )
+            )
+        ).alias("m"),
+    ).select("doc", "doc_id", "m.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
     too_much = F.col("lost_chars") * 100 > F.col("word_chars") * MOST_LOST_PERCENT
-    clean = F.when(
-        F.size("bad") > 0, F.array_join(F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), x)), "\n")
-    ).otherwise(F.array_join("lines", "\n"))
     return measured.select(
         *["doc", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars"],
         failed.alias("base_failed"),
         (~failed & ~too_much).alias("kept"),
-        clean.alias("clean_text"),
+        "clean_text",
     )
 
 
