@@ -269,7 +269,9 @@ def _without_templates(read: DataFrame, least_pages: int, least_share: float) ->
         .select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
     )
     hits = seen.join(recurring, F.col("host").eqNullSafe(F.col("__host")) & (F.col("hash") == F.col("__hash")))
-    deleted = hits.groupBy(F.col("row").alias("__row")).agg(F.collect_list("at").alias("deleted"))  # of one page
+    # Settled, so that the planner knows its size: where few pages have a template left in what
+    # they keep, their texts need no shuffle.
+    deleted = settle(hits.groupBy(F.col("row").alias("__row")).agg(F.collect_list("at").alias("deleted")))  # of one page
     joined = read.join(deleted, F.col("row") == F.col("__row"), "left")
     written = F.pandas_udf(_written, "string")
     return joined.withColumn("text", written("parents", "block", "node", "piece", "deleted"))
