@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import SPACE, text_of
+from viewgrain.llm.common import text_of
 from viewgrain.plans.settle import settle
 
 #: With one edit, lines of five words or more are four fifths alike; shorter ones must be equal.
@@ -44,13 +44,14 @@ def _unplaced(place: Column) -> tuple[Column, Column]:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, f"{SPACE}+"), lambda w: w != "")
+    """The words of a line whose white space is evened out."""
+    return F.split(line, " ")
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, line_no, place, line_id, line: every line with a word, white space evened out."""
     split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
-    even = F.trim(F.regexp_replace("raw", f"{SPACE}+", " "))
+    even = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
     return (
         split.select("doc_id", "line_no", even.alias("line"))
         .where("line <> ''")
@@ -58,32 +59,35 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _hash(words: Column) -> Column:
-    return F.xxhash64(F.array_join(words, " "))
+def _part(line: Column, n: Column) -> Column:
+    """The first ``n`` words of a line, or the last ``-n``."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _halves(line: Column, n: Column) -> Column:
     """Keys of the first and last half of the words, for a partner of as many or one word less."""
 
     def of(length: Column) -> Column:
         half = F.floor(length / 2).cast("int")
-        first = F.xxhash64(F.lit("first"), length, _hash(F.slice(words, 1, half)))
         rest = (length - half).cast("int")
-        last = F.xxhash64(F.lit("last"), length, _hash(F.slice(words, n - rest + 1, rest)))
+        first = F.xxhash64(F.lit("first"), length, _part(line, half))
+        last = F.xxhash64(F.lit("last"), length, _part(line, -rest))
         return F.array(first, last)
 
     return F.concat(of(n), of(n - 1))
 
 
-def _variants(words: Column, n: Column) -> Column:
-    """(key, whole): the line less the word at each place, and the whole line."""
+def _variants(line: Column, n: Column) -> Column:
+    """(at, key): the line less the word at each place, and the whole line at place 0."""
+
+    def without(i: Column) -> Column:
+        before, after = _part(line, i - 1), _part(line, i - n)
+        return F.when(i == 1, after).when(i == n, before).otherwise(F.concat(before, F.lit(" "), after))
+
     less = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            i.alias("at"), _hash(F.concat(F.slice(words, 1, i - 1), F.slice(words, i + 1, n - i))).alias("key")
-        ),
+        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(without(i)).alias("key"))
     )
-    return F.concat(less, F.array(F.struct(F.lit(0).alias("at"), _hash(words).alias("key"))))
+    return F.concat(less, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(line).alias("key"))))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -110,19 +114,17 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
     """
     distinct = settle(places.groupBy("line_id").agg(F.min("place").alias("first")))
     long = _lines(docs, key, text).where(F.size(_words(F.col("line"))) >= LEAST_WORDS)
-    worded = long.select("line_id", _words(F.col("line")).alias("words"))
-    halves = settle(
-        worded.select("line_id", F.explode(_halves(F.col("words"), F.size("words"))).alias("half")).distinct()
-    )
+    n = F.size(_words(F.col("line")))
+    halves = settle(long.select("line_id", F.explode(_halves(F.col("line"), n)).alias("half")).distinct())
     ends = halves.groupBy("half").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     shared = settle(ends.where("low <> high").select("half"))
     able = settle(halves.join(shared, "half").select("line_id").distinct().join(distinct, "line_id"))
     candidates = settle(
         long.select("line_id", "place", "line")
         .join(able.withColumnRenamed("line_id", "__id"), (F.col("line_id") == F.col("__id")) & (F.col("place") == F.col("first")))
-        .select("line_id", "first", _words(F.col("line")).alias("words"))
+        .select("line_id", "first", "line")
     )
-    keyed = candidates.select("line_id", "first", F.explode(_variants(F.col("words"), F.size("words"))).alias("v")).select(
+    keyed = candidates.select("line_id", "first", F.explode(_variants(F.col("line"), n)).alias("v")).select(
         "line_id", "first", "v.at", "v.key"
     )
     variants = settle(keyed)
@@ -138,8 +140,8 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
         .where("other < first")
         .distinct()
     )
-    mine = candidates.select("line_id", F.col("words").alias("mine"))
-    theirs = candidates.select(F.col("first").alias("other"), F.col("words").alias("theirs"))
+    mine = candidates.select("line_id", _words(F.col("line")).alias("mine"))
+    theirs = candidates.select(F.col("first").alias("other"), _words(F.col("line")).alias("theirs"))
     near = (
         found.join(mine, "line_id")
         .join(theirs, "other")
