@@ -22,8 +22,11 @@ def zn(x: Column) -> Column:
 
 
 def to_int(x: Column) -> Column:
-    """Whole number, truncated toward zero; text such as ``3.7`` counts, other text is NULL."""
-    return x.try_cast("double").try_cast("bigint")
+    """Whole number, truncated toward zero; text such as ``3.7`` counts, other text is NULL.
+
+    Whole numbers, also as text, are exact over the full range of a bigint.
+    """
+    return F.coalesce(x.try_cast("bigint"), x.try_cast("double").try_cast("bigint"))
 
 
 def to_float(x: Column) -> Column:

@@ -16,7 +16,7 @@ EDGE_COLUMNS = ["src", "dst", "edge_type"]
 
 def node_id(prefix: str, *parts: str):
     """``PREFIX::a::b`` from column names; NULL if a part is."""
-    return F.concat_ws("::", F.lit(prefix), *parts)
+    return F.concat(F.lit(prefix), *[piece for p in parts for piece in (F.lit("::"), F.col(p))])
 
 
 def lineage_edges(
@@ -56,7 +56,6 @@ def lineage_edges(
     sheet = node_id("WS", "worksheet")
     column_nodes = columns.select("source", F.col("column").alias("field")).distinct()
     calc_fields = calc_nodes.select("source", F.col("calc").alias("field"))
-    fields = worksheet_fields.select("worksheet", "field").distinct()
     calc_sheet = fields.join(calc_fields, "field").select(
         node_id("CF", "source", "field").alias("src"), sheet.alias("dst")
     )

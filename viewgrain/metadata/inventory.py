@@ -103,9 +103,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     Only keys and a hash of the rest are shuffled; NULL is a key like any other.
     """
     keys = list(keys)
-    rest = [c for c in old.columns if c not in keys]
+    rest = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
+        # A column that one side lacks counts as NULL there.
+        df = df.withColumns({c: F.lit(None) for c in rest if c not in df.columns})
         return df.select(*keys, _row_hash(rest).alias("__hash"), F.lit(name).alias("__side"))
 
     both = hashed(old, "old").unionByName(hashed(new, "new"))
@@ -126,12 +128,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     """(item, a, b, equal): row counts, then order-free column and row fingerprints.
 
-    Each side is one map-side-combined aggregate, whatever its size.
+    Each side is one map-side-combined aggregate, whatever its size. A column that one side
+    lacks has a row of its own that is not equal; the row fingerprint covers common columns.
     """
     names = [c for c in a.columns if c in b.columns]
 
     def prints(df: DataFrame) -> DataFrame:
-        items = {f"column {c}": _row_hash([c]) for c in names} | {"row": _row_hash(names)}
+        items = {f"column {c}": _row_hash([c]) for c in df.columns} | {"row": _row_hash(names)}
         one = df.agg(
             F.count(F.lit(1)).cast("string").alias("row count"),
             *[

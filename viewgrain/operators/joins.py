@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viewgrain.plans.keys import attach_constants, null_safe_join
 from viewgrain.plans.ordered import Order, position
@@ -152,7 +153,10 @@ def overlap_join(
     """
     columns = list(dict.fromkeys([key, lo, hi, *keep]))
     start, end = F.col(lo).cast("double"), F.col(hi).cast("double")
-    power = F.ceil(F.log(end - start) / math.log(_TILE_BASE)).cast("int")
+    # Numbers are subtracted before the cast: large ones may be one and the same double.
+    numeric = isinstance(df.schema[lo].dataType, T.NumericType) and isinstance(df.schema[hi].dataType, T.NumericType)
+    length = (F.col(hi) - F.col(lo)).cast("double") if numeric else end - start
+    power = F.ceil(F.log(length) / math.log(_TILE_BASE)).cast("int")
     base = df.select(*by, *columns).where(F.col(lo) < F.col(hi)).withColumn("__power", power)
     powers = base.agg(F.collect_set("__power").alias("__powers"))
 

@@ -88,12 +88,10 @@ def crosstab(
     rows: Sequence[str],
     col: str,
     measure: Column,
-    values: Sequence | None = None,
+    values: Sequence,
 ) -> DataFrame:
-    """One column per member of ``col``. With ``values`` given no job looks them up."""
-    grouped = df.groupBy(*rows)
-    pivoted = grouped.pivot(col, list(values)) if values is not None else grouped.pivot(col)
-    return pivoted.agg(measure)
+    """One column per member of ``col`` in ``values``; all others are left to a plain groupBy."""
+    return df.groupBy(*rows).pivot(col, list(values)).agg(measure)
 
 
 def recode(df: DataFrame, col: str, aliases: Mapping) -> DataFrame:
@@ -106,9 +104,12 @@ def recode(df: DataFrame, col: str, aliases: Mapping) -> DataFrame:
 
 
 def recode_from(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
-    """``recode`` with the (value, alias) pairs in a table of any size."""
+    """``recode`` with the (value, alias) pairs in a table of any size.
+
+    A value that is listed more than once takes the smallest of its aliases, so no row doubles.
+    """
     value, alias = aliases.columns
-    named = aliases.select(F.col(value).alias(col), F.col(alias).alias("__alias"))
+    named = aliases.groupBy(F.col(value).alias(col)).agg(F.min(alias).alias("__alias"))
     joined = null_safe_join(df, named, [col])
     return joined.withColumn(col, F.coalesce("__alias", col)).drop("__alias")
 

@@ -113,11 +113,12 @@ def frame_columns(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def search_tables(columns: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Tables whose name contains ``text``, whatever the case; the first ``limit`` by name."""
+def search_tables(columns: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Tables whose full name contains ``text``, whatever the case: all, or the first ``limit``."""
     place = ["catalog_name", "schema_name", "table_name"]
-    found = columns.where(F.lower("table_name").contains(text.lower())).select(*place).distinct()
-    return found.orderBy(*place).limit(limit)
+    full = F.lower(F.concat_ws(".", *place))
+    found = columns.where(full.contains(text.lower())).select(*place).distinct().orderBy(*place)
+    return found if limit is None else found.limit(limit)
 
 
 def find_column(columns: DataFrame, name: str) -> DataFrame:
