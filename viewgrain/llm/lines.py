@@ -16,6 +16,10 @@ edit, the first or the second half of the shorter is the beginning or the end of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,9 @@ from viewgrain.plans.settle import settle
 
 #: With one edit, lines of five words or more are four fifths alike; shorter ones must be equal.
 LEAST_WORDS = 5
+#: An odd number, so that it has an inverse modulo 2 to the 64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 #: What a NULL doc_id counts as in a place: one less than any long.
@@ -77,17 +84,37 @@ def _halves(line: Column, n: Column) -> Column:
     return F.concat(of(n), of(n - 1))
 
 
-def _variants(line: Column, n: Column) -> Column:
-    """(at, key): the line less the word at each place, and the whole line at place 0."""
-
-    def without(i: Column) -> Column:
-        before, after = _part(line, i - 1), _part(line, i - n)
-        return F.when(i == 1, after).when(i == n, before).otherwise(F.concat(before, F.lit(" "), after))
+def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line_id, first, at, key): the line less the word at each place, the whole line at place 0.
 
-    less = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(without(i)).alias("key"))
-    )
-    return F.concat(less, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(line).alias("key"))))
+    A key is the sum of the words' hashes, each times BASE to the power of its place. Words
+    after the one left out move up by one place, which is a division by BASE, so prefix sums
+    give all variants of a line in time linear in its words, however long it is.
+    """
+    for batch in batches:
+        words = batch.column("words")
+        hashes = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n)
+        starts = ends - n
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(hashes)) - starts[row]
+        powers = np.cumprod(np.full(int(n.max(initial=0)) + 1, BASE, dtype=np.uint64))
+        weighted = hashes * powers[at]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
+        whole = sums[ends] - sums[starts]
+        before = sums[:-1] - sums[starts][row]
+        less = before + (whole[row] - before - weighted) * BASE_INVERSE
+        owner = pa.array(np.concatenate([row, np.arange(len(n))]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("line_id").take(owner),
+                batch.column("first").take(owner),
+                pa.array(np.concatenate([at + 1, np.zeros(len(n), np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([less, whole]).view(np.int64)),
+            ],
+            names=["line_id", "first", "at", "key"],
+        )
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -113,9 +140,8 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
     is earlier.
     """
     distinct = settle(places.groupBy("line_id").agg(F.min("place").alias("first")))
-    long = _lines(docs, key, text).where(F.size(_words(F.col("line"))) >= LEAST_WORDS)
-    n = F.size(_words(F.col("line")))
-    halves = settle(long.select("line_id", F.explode(_halves(F.col("line"), n)).alias("half")).distinct())
+    long = _lines(docs, key, text).withColumn("n", F.size(_words(F.col("line")))).where(F.col("n") >= LEAST_WORDS)
+    halves = settle(long.select("line_id", F.explode(_halves(F.col("line"), F.col("n"))).alias("half")).distinct())
     ends = halves.groupBy("half").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     shared = settle(ends.where("low <> high").select("half"))
     able = settle(halves.join(shared, "half").select("line_id").distinct().join(distinct, "line_id"))
@@ -124,10 +150,8 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
         .join(able.withColumnRenamed("line_id", "__id"), (F.col("line_id") == F.col("__id")) & (F.col("place") == F.col("first")))
         .select("line_id", "first", "line")
     )
-    keyed = candidates.select("line_id", "first", F.explode(_variants(F.col("line"), n)).alias("v")).select(
-        "line_id", "first", "v.at", "v.key"
-    )
-    variants = settle(keyed)
+    hashed = candidates.select("line_id", "first", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    variants = settle(hashed.mapInArrow(_variant_keys, "line_id binary, first decimal(38,0), at int, key bigint"))
     less, whole = variants.where("at > 0"), variants.where("at = 0")
     by_place = settle(less.groupBy("key", "at").agg(F.min("first").alias("other")))
     replaced = less.join(by_place, ["key", "at"])
