@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import text_of
+from viewgrain.llm.common import SPACE, WORD, text_of
 from viewgrain.plans.settle import settle
 
 #: With one edit, lines of five words or more are four fifths alike; shorter ones must be equal.
@@ -55,14 +55,17 @@ def _words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, line_no, place, line_id, line: every line with a word, white space evened out."""
+def _lines(docs: DataFrame, key: str, text: str, words: int = 1) -> DataFrame:
+    """doc_id, line_no, place, line_id, line: the lines of so many words or more, white space evened out.
+
+    The test looks at the raw line, up to the last of those words, so that no filter evens a
+    line out once more.
+    """
     split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
+    split = split.where(F.col("raw").rlike(rf"^(?:{SPACE}*+{WORD}+){{{words}}}"))
     even = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    return (
-        split.select("doc_id", "line_no", even.alias("line"))
-        .where("line <> ''")
-        .select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), F.unhex(F.md5("line")).alias("line_id"), "line")
+    return split.select("doc_id", "line_no", even.alias("line")).select(
+        "doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), F.unhex(F.md5("line")).alias("line_id"), "line"
     )
 
 
@@ -140,7 +143,7 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
     is earlier.
     """
     distinct = settle(places.groupBy("line_id").agg(F.min("place").alias("first")))
-    long = _lines(docs, key, text).withColumn("n", F.size(_words(F.col("line")))).where(F.col("n") >= LEAST_WORDS)
+    long = _lines(docs, key, text, LEAST_WORDS).withColumn("n", F.size(_words(F.col("line"))))
     halves = settle(long.select("line_id", F.explode(_halves(F.col("line"), F.col("n"))).alias("half")).distinct())
     ends = halves.groupBy("half").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     shared = settle(ends.where("low <> high").select("half"))
