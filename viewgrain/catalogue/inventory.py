@@ -418,7 +418,7 @@ def complexity(spark, folder):
     , e AS (SELECT workbook, count(*) AS expressions, count(*) FILTER (WHERE formula LIKE '{FIXED%') AS lod,
       count(*) FILTER (WHERE formula LIKE 'RUNNING_SUM%') AS table_calc FROM f GROUP BY 1),
     s AS (SELECT p_brand AS workbook, count(*) AS worksheets FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-    q AS (SELECT p_brand AS workbook, count(*) AS parameters FROM part WHERE p_size > 45 GROUP BY 1)
+    q AS (SELECT p_brand AS workbook, count(*) AS parameters FROM part GROUP BY 1)
     SELECT workbook, coalesce(worksheets, 0) AS worksheets, coalesce(expressions, 0) AS expressions, coalesce(expressions - lod - table_calc, 0) AS standard,
       coalesce(lod, 0) AS lod, coalesce(table_calc, 0) AS table_calc, coalesce(parameters, 0) AS parameters
     FROM e FULL JOIN s USING (workbook) FULL JOIN q USING (workbook)
@@ -426,7 +426,7 @@ def complexity(spark, folder):
 def migration_summary(spark, folder):
     part, lines = table(spark, folder, "part"), table(spark, folder, "lineitem")
     sheets = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(F.col("p_brand").alias("workbook"))
-    parameters = part.where("p_size > 45").select(F.col("p_brand").alias("workbook"))
+    parameters = part.select(F.col("p_brand").alias("workbook"))
     return inventory.migration_summary(sheets, formula_rows(spark, folder), parameters)
 
 

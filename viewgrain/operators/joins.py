@@ -47,52 +47,64 @@ class Model:
         return self
 
     def view(self, fields: Iterable[str]) -> DataFrame:
-        """The base table joined to every table on the way to one of ``fields``."""
+        """The base table joined to every table on the way to one of ``fields``.
+
+        Several relationships between the same two tables must all hold. Relationships that
+        form a circle, a field of a table that none reaches, and a field that several tables
+        have without being related on it are refused.
+        """
         fields = list(dict.fromkeys(fields))
         steps = self._steps()
         needed = {self._owner(f) for f in fields} - {self.base}
+        lost = needed - {child for _, child, _ in steps}
+        if lost:
+            raise ValueError(f"no relationship leads from {self.base!r} to {sorted(lost)}")
         for parent, child, _ in reversed(steps):
             if child in needed and parent != self.base:
                 needed.add(parent)
         joined = self.tables[self.base]
-        for _, child, keys in steps:
+        for _, child, pairs in steps:
             if child in needed:
-                joined = self._attach(joined, child, keys)
+                joined = self._attach(joined, child, pairs)
         return joined.select(*fields)
 
-    def _attach(self, joined: DataFrame, child: str, keys: dict[str, str]) -> DataFrame:
+    def _attach(self, joined: DataFrame, child: str, pairs: list[tuple[str, str]]) -> DataFrame:
         # A column name that is already there stays with the table joined before.
         right = self.tables[child]
         taken = {c: f"__{child}_{c}" for c in right.columns if c in joined.columns}
-        pairs = {l: taken.get(r, r) for l, r in keys.items()}
+        right = right.withColumnsRenamed(taken)
+        on = [joined[l] == right[taken.get(r, r)] for l, r in pairs]
         how = "left" if self.keep_unmatched else "inner"
-        out = physical_join(joined, right.withColumnsRenamed(taken), pairs, how)
-        return out.drop(*taken.values())
+        return joined.join(right, reduce(Column.__and__, on), how).drop(*taken.values())
 
     def _owner(self, name: str) -> str:
-        for table, df in self.tables.items():
-            if name in df.columns:
-                return table
-        raise ValueError(f"no table has a column {name!r}")
-
-    def _steps(self) -> list[tuple[str, str, dict[str, str]]]:
-        """Edges in an order that always attaches a table not yet joined to one that is."""
-        reached, steps, open_edges = {self.base}, [], list(self.edges)
-        progress = True
-        while progress:
-            progress = False
-            for edge in list(open_edges):
-                one, other, keys = edge
-                if one in reached and other not in reached:
-                    steps.append((one, other, keys))
-                    reached.add(other)
-                elif other in reached and one not in reached:
-                    steps.append((other, one, {r: l for l, r in keys.items()}))
-                    reached.add(one)
-                elif not (one in reached and other in reached):
-                    continue
-                open_edges.remove(edge)
-                progress = True
+        owners = [table for table, df in self.tables.items() if name in df.columns]
+        if not owners:
+            raise ValueError(f"no table has a column {name!r}")
+        links = [{one, other} for one, other, keys in self.edges if keys.get(name) == name]
+        same = {owners[0]}
+        for _ in links:
+            same = same.union(*[link for link in links if link & same])
+        if not set(owners) <= same:
+            raise ValueError(f"{name!r} is a column of several tables: {owners}")
+        return self.base if self.base in owners else owners[0]
+
+    def _steps(self) -> list[tuple[str, str, list[tuple[str, str]]]]:
+        """(parent, child, key pairs) in an order that attaches each table to one joined before."""
+        related: dict[frozenset[str], tuple[str, str, list[tuple[str, str]]]] = {}
+        for one, other, keys in self.edges:
+            first, _, pairs = related.setdefault(frozenset((one, other)), (one, other, []))
+            pairs.extend(keys.items() if first == one else [(r, l) for l, r in keys.items()])
+        reached, steps, waiting = {self.base}, [], list(related.values())
+        while near := [e for e in waiting if e[0] in reached or e[1] in reached]:
+            one, other, pairs = near[0]
+            waiting.remove(near[0])
+            if one in reached and other in reached:
+                raise ValueError(f"the relationship of {one!r} and {other!r} closes a circle")
+            if other in reached:
+                one, other, pairs = other, one, [(r, l) for l, r in pairs]
+            steps.append((one, other, pairs))
+            reached.add(other)
         return steps
 
 

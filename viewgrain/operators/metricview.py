@@ -32,7 +32,8 @@ class MetricView:
     dimensions: Mapping[str, Dimension]
     measures: Mapping[str, Column]
     lookups: Mapping[str, Lookup] = field(default_factory=dict)
-    checked: bool = False
+    #: Whether a lookup whose key is not unique is refused; it would multiply measures.
+    checked: bool = True
 
     def rows(self, dims: Iterable[str]) -> DataFrame:
         """The source joined to the lookups that the named dimensions need, and no others."""

@@ -168,8 +168,14 @@ def previous_value(
     multiply: str | Column | None = None,
 ) -> DataFrame:
     """``multiply * PREVIOUS_VALUE(seed) + add``, the self-referring forms that compose."""
-    a = F.lit(1.0) if multiply is None else _value(multiply)
     b = F.lit(0.0) if add is None else _value(add)
+    if multiply is None:  # a running sum, NULL from the first NULL on
+        b = b.cast("double")
+        parts = {"__sum": ("sum", b), "__gaps": ("sum", F.when(b.isNull(), 1).otherwise(0))}
+        summed = ordered.running(view, parts, partition, order)
+        value = F.when(F.col("__gaps") == 0, F.col("__sum") + float(seed))
+        return summed.withColumn(name, F.nullif(value, F.lit(float("nan")))).drop(*parts)
+    a = _value(multiply)
     return ordered.fold_affine(view, name, a, b, seed, partition, order)
 
 

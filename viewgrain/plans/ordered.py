@@ -93,7 +93,8 @@ def lay_out(df: DataFrame, partition: Sequence[str], order: Sequence[str | Order
     partition = list(partition)
     keys = total_order(df, partition, order)
     limit = block_rows(df.sparkSession)
-    if is_small(df):
+    # Files may be small and their rows many, so a low estimate is confirmed by counting.
+    if is_small(df) and df.count() <= limit:
         return Blocks(df, partition, keys, cut=False)
     kept = settle(df)
     n = kept.count()
@@ -171,7 +172,7 @@ def up_to(
 
 def _shifted(blocks: Blocks, values: dict[str, tuple[str, Column]]) -> DataFrame:
     """Running values inside each block, combined with those of the earlier blocks."""
-    inner = _over(values, blocks.window(), W.unboundedPreceding, 0)
+    inner = blocks.rows.withColumns(_over(values, blocks.window(), W.unboundedPreceding, 0))
     per_block = blocks.rows.groupBy(*[_quoted(c) for c in blocks.scope]).agg(
         *[AGGREGATE[kind](value).alias(n) for n, (kind, value) in values.items()]
     )
@@ -185,9 +186,13 @@ def _shifted(blocks: Blocks, values: dict[str, tuple[str, Column]]) -> DataFrame
         *[_quoted(c) for c in blocks.scope],
         *[_MERGE[kind](n).over(earlier).alias(f"__before_{n}") for n, (kind, _) in values.items()],
     )
-    joined = null_safe_join(blocks.rows.withColumns(inner), before, blocks.scope)
+    joined = null_safe_join(inner, before, blocks.scope)
+    # A sum of sums is a wider decimal than the sum that one window gives.
     return joined.withColumns(
-        {n: _COMBINE[kind](F.col(n), F.col(f"__before_{n}")) for n, (kind, _) in values.items()}
+        {
+            n: _COMBINE[kind](F.col(n), F.col(f"__before_{n}")).cast(inner.schema[n].dataType)
+            for n, (kind, _) in values.items()
+        }
     ).drop(*[f"__before_{n}" for n in values])
 
 
