@@ -125,3 +125,38 @@ def test_hot_partition_is_cut(view, large):
         blocks = lay_out(view, ["g"], ["i"])
         sizes = [r["count"] for r in blocks.rows.groupBy(BLOCK).count().collect()]
     assert blocks.cut and len(sizes) >= 4 and max(sizes) < 40
+
+
+def test_result_types_do_not_depend_on_size(view, large):
+    typed = view.selectExpr("g", "i", "cast(v as decimal(10,2)) d", "i n", "v x", "date_add(date'2020-01-01', i) t")
+    calcs = [("sum", "d"), ("sum", "n"), ("sum", "x"), ("min", "t"), ("max", "d"), ("count", "d")]
+    for kind, value in calcs:
+        for end in (0, 2):
+            calc = lambda: tc.window_value(typed, kind, value, "o", ["g"], ["i"], None, end)  # noqa: E731, B023
+            small = calc()
+            with large():
+                cut = calc()
+                assert cut.schema["o"].dataType == small.schema["o"].dataType, (kind, value)
+                assert rows(cut) == rows(small)
+
+
+def test_many_rows_in_few_bytes_are_cut(spark, tmp_path):
+    from viewgrain.plans.ordered import lay_out
+    from viewgrain.plans.settle import is_small
+
+    spark.range(5000).selectExpr("1 AS one", "id % 2 AS two").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.viewgrain.blockRows", "1000")
+    try:
+        assert is_small(df) and lay_out(df, ["one"], ["two"]).cut
+    finally:
+        spark.conf.unset("spark.viewgrain.blockRows")
+
+
+def test_additive_previous_value_needs_no_python(spark, large):
+    view = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 1.0)], "i int, v double")
+    out = tc.previous_value(view, "o", [], ["i"], 10.0, "v")
+    assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.o for r in out.orderBy("i").collect()] == [11.0, 13.0, None, None]
+    with large(block_rows=2):
+        assert [r.o for r in tc.previous_value(view, "o", [], ["i"], 10.0, "v").orderBy("i").collect()] == [11.0, 13.0, None, None]
