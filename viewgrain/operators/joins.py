@@ -50,8 +50,9 @@ class Model:
         """The base table joined to every table on the way to one of ``fields``.
 
         Several relationships between the same two tables must all hold. Relationships that
-        form a circle, a field of a table that none reaches, and a field that several tables
-        have without being related on it are refused.
+        form a circle and a field of a table that none reaches are refused. A field of the base
+        is taken from there; one that several other tables have is refused unless they are
+        related on it.
         """
         fields = list(dict.fromkeys(fields))
         steps = self._steps()
@@ -81,13 +82,15 @@ class Model:
         owners = [table for table, df in self.tables.items() if name in df.columns]
         if not owners:
             raise ValueError(f"no table has a column {name!r}")
+        if self.base in owners:
+            return self.base
         links = [{one, other} for one, other, keys in self.edges if keys.get(name) == name]
         same = {owners[0]}
         for _ in links:
             same = same.union(*[link for link in links if link & same])
         if not set(owners) <= same:
             raise ValueError(f"{name!r} is a column of several tables: {owners}")
-        return self.base if self.base in owners else owners[0]
+        return owners[0]
 
     def _steps(self) -> list[tuple[str, str, list[tuple[str, str]]]]:
         """(parent, child, key pairs) in an order that attaches each table to one joined before."""
