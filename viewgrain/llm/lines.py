@@ -16,14 +16,17 @@ edit, the first or the second half of the shorter is the beginning or the end of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import SPACE, WORD, text_of
+from viewgrain.llm.common import text_of
 from viewgrain.plans.settle import settle
 
 #: With one edit, lines of five words or more are four fifths alike; shorter ones must be equal.
@@ -31,7 +34,7 @@ LEAST_WORDS = 5
 #: An odd number, so that it has an inverse modulo 2 to the 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
+HALVES = ["half0", "half1", "half2", "half3"]
 
 #: What a NULL doc_id counts as in a place: one less than any long.
 _NO_DOC = str(-(1 << 63) - 1)
@@ -55,36 +58,84 @@ def _words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def _lines(docs: DataFrame, key: str, text: str, words: int = 1) -> DataFrame:
-    """doc_id, line_no, place, line_id, line: the lines of so many words or more, white space evened out.
-
-    The test looks at the raw line, up to the last of those words, so that no filter evens a
-    line out once more.
-    """
-    split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
-    split = split.where(F.col("raw").rlike(rf"^(?:{SPACE}*+{WORD}+){{{words}}}"))
-    even = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    return split.select("doc_id", "line_no", even.alias("line")).select(
-        "doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("place"), F.unhex(F.md5("line")).alias("line_id"), "line"
-    )
-
+#: Lines that one Arrow batch carries back from Python.
+LINES_OUT = 10_000
 
-def _part(line: Column, n: Column) -> Column:
-    """The first ``n`` words of a line, or the last ``-n``."""
-    return F.call_function("substring_index", line, F.lit(" "), n)
 
+def _numbered(batch: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+    """(rows, line numbers, words) of the lines of so many words or more, ``LINES_OUT`` at a time.
 
-def _halves(line: Column, n: Column) -> Column:
+    ``bytes.split`` parts words at exactly the white space of ``SPACE``, and a text is walked
+    line by line, so a very long one never lies in memory as a list of all its words.
+    """
+    rows: list[int] = []
+    numbers: list[int] = []
+    parts: list[list[bytes]] = []
+    for row, text in enumerate(batch.column("text")):
+        for number, raw in enumerate(io.BytesIO(text.as_py())):
+            words = raw.split()
+            if len(words) >= least:
+                rows.append(row)
+                numbers.append(number)
+                parts.append(words)
+                if len(rows) == LINES_OUT:
+                    yield rows, numbers, parts
+                    rows, numbers, parts = [], [], []
+    if rows:
+        yield rows, numbers, parts
+
+
+def _line_id(words: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
+
+
+def _half_keys(words: list[bytes]) -> Iterator[int]:
     """Keys of the first and last half of the words, for a partner of as many or one word less."""
+    for length in (len(words), len(words) - 1):
+        half = length // 2
+        yield xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * length)
+        yield xxhash.xxh64_intdigest(b" ".join(words[half - length :]), 2 * length + 1)
 
-    def of(length: Column) -> Column:
-        half = F.floor(length / 2).cast("int")
-        rest = (length - half).cast("int")
-        first = F.xxhash64(F.lit("first"), length, _part(line, half))
-        last = F.xxhash64(F.lit("last"), length, _part(line, -rest))
-        return F.array(first, last)
 
-    return F.concat(of(n), of(n - 1))
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, line_no, line_id and four half keys, NULL for lines too short for a partner."""
+    for batch in batches:
+        for rows, numbers, parts in _numbered(batch, 1):
+            long = np.array([len(words) >= LEAST_WORDS for words in parts])
+            keys = [k for words, fits in zip(parts, long) for k in (_half_keys(words) if fits else (0, 0, 0, 0))]
+            halves = np.array(keys, np.uint64).view(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    pa.array(numbers, pa.int32()),
+                    pa.array([_line_id(words) for words in parts], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(halves[:, i]), mask=~long) for i in range(4)],
+                ],
+                names=["doc_id", "line_no", "line_id", *HALVES],
+            )
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, line_no, line_id, line: the lines that can have a partner, white space evened out."""
+    for batch in batches:
+        for rows, numbers, parts in _numbered(batch, LEAST_WORDS):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    pa.array(numbers, pa.int32()),
+                    pa.array([_line_id(words) for words in parts], pa.binary()),
+                    pa.array([b" ".join(words) for words in parts], pa.binary()).cast(pa.string()),
+                ],
+                names=["doc_id", "line_no", "line_id", "line"],
+            )
+
+
+def _lines(docs: DataFrame, key: str, text: str, task: Callable, columns: str) -> DataFrame:
+    """The rows of ``task`` over all texts, each with its place."""
+    whole = docs.select(F.col(key).alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    kind = whole.schema["doc_id"].dataType.simpleString()
+    found = whole.mapInArrow(task, f"doc_id {kind}, line_no int, line_id binary, {columns}")
+    return found.withColumn("place", _place(F.col("doc_id"), F.col("line_no")))
 
 
 def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,24 +193,26 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
     ``keep`` is the first place of the earliest line within the edit bound, its own if none
     is earlier.
     """
-    distinct = settle(places.groupBy("line_id").agg(F.min("place").alias("first")))
-    long = _lines(docs, key, text, LEAST_WORDS).withColumn("n", F.size(_words(F.col("line"))))
-    halves = settle(long.select("line_id", F.explode(_halves(F.col("line"), F.col("n"))).alias("half")).distinct())
-    ends = halves.groupBy("half").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"))
-    shared = settle(ends.where("low <> high").select("half"))
-    able = settle(halves.join(shared, "half").select("line_id").distinct().join(distinct, "line_id"))
+    halves = [F.min(half).alias(half) for half in HALVES]  # the same in all equal lines
+    distinct = settle(places.groupBy("line_id").agg(F.min("place").alias("first"), *halves))
+    half = distinct.where(F.col(HALVES[0]).isNotNull()).select("line_id", "first", F.explode(F.array(*HALVES)).alias("half"))
+    shared = settle(half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"))
+    able = settle(half.join(shared, "half").groupBy("line_id").agg(F.min("first").alias("first")))
+    long = _lines(docs, key, text, _spelled, "line string")
     candidates = settle(
         long.select("line_id", "place", "line")
         .join(able.withColumnRenamed("line_id", "__id"), (F.col("line_id") == F.col("__id")) & (F.col("place") == F.col("first")))
         .select("line_id", "first", "line")
     )
     hashed = candidates.select("line_id", "first", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
-    variants = settle(hashed.mapInArrow(_variant_keys, "line_id binary, first decimal(38,0), at int, key bigint"))
+    emitted = settle(hashed.mapInArrow(_variant_keys, "line_id binary, first decimal(38,0), at int, key bigint"))
+    again = settle(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    variants = settle(emitted.join(again, "key"))  # most keys are met once and lead nowhere
     less, whole = variants.where("at > 0"), variants.where("at = 0")
     by_place = settle(less.groupBy("key", "at").agg(F.min("first").alias("other")))
     replaced = less.join(by_place, ["key", "at"])
     shorter = whole.select("key", F.col("first").alias("other"))
-    longer = settle(less.groupBy("key").agg(F.min("first").alias("other")))
+    longer = by_place.groupBy("key").agg(F.min("other").alias("other"))
     found = (
         replaced.select("line_id", "first", "other")
         .unionByName(less.join(shorter, "key").select("line_id", "first", "other"))
@@ -187,8 +240,8 @@ def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     white space evened out; a NULL text has none. Rows that repeat one doc_id share places,
     so their lines are kept or dropped together. An empty table gives an empty one.
     """
-    places = settle(_lines(docs, key, text).drop("line"))
-    joined = places.join(settle(earlier_lines(docs, places, key, text)), "line_id")
+    places = settle(_lines(docs, key, text, _described, ", ".join(f"{half} bigint" for half in HALVES)))
+    joined = places.drop(*HALVES).join(settle(earlier_lines(docs, places, key, text)), "line_id")
     keep_doc, keep_line = _unplaced(F.col("keep"))
     return joined.select(
         "doc_id",
