@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import io
-from collections.abc import Callable, Iterator
+import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,12 @@ def _unplaced(place: Column) -> tuple[Column, Column]:
     return F.when(doc != F.lit(_NO_DOC).cast("decimal(20,0)"), doc).cast("long"), line.cast("int")
 
 
-def _words(line: Column) -> Column:
-    """The words of a line whose white space is evened out."""
-    return F.split(line, " ")
-
-
 #: Lines that one Arrow batch carries back from Python.
 LINES_OUT = 10_000
 
 
-def _numbered(batch: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
-    """(rows, line numbers, words) of the lines of so many words or more, ``LINES_OUT`` at a time.
+def _numbered(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+    """(rows, line numbers, words) of the lines that have a word, ``LINES_OUT`` at a time.
 
     ``bytes.split`` parts words at exactly the white space of ``SPACE``, and a text is walked
     line by line, so a very long one never lies in memory as a list of all its words.
@@ -74,7 +70,7 @@ def _numbered(batch: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], li
     for row, text in enumerate(batch.column("text")):
         for number, raw in enumerate(io.BytesIO(text.as_py())):
             words = raw.split()
-            if len(words) >= least:
+            if words:
                 rows.append(row)
                 numbers.append(number)
                 parts.append(words)
@@ -85,59 +81,71 @@ def _numbered(batch: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], li
         yield rows, numbers, parts
 
 
-def _line_id(words: list[bytes]) -> bytes:
-    return hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
-
+def _half_keys(line: bytes, words: list[bytes]) -> list[int]:
+    """Keys of the first and last half of the words, for a partner of as many or one word less.
 
-def _half_keys(words: list[bytes]) -> Iterator[int]:
-    """Keys of the first and last half of the words, for a partner of as many or one word less."""
-    for length in (len(words), len(words) - 1):
-        half = length // 2
-        yield xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * length)
-        yield xxhash.xxh64_intdigest(b" ".join(words[half - length :]), 2 * length + 1)
+    The halves of ``n`` and of ``n - 1`` words begin and end on either side of one word, so
+    they are cut from the line at the two ends of that word.
+    """
+    n = len(words)
+    middle = (n - 1) // 2
+    ahead = len(b" ".join(words[:middle]))
+    behind = ahead + len(words[middle]) + 2
+    first, rest = line[:ahead], line[behind:]
+    if n % 2:
+        half, last = first, line[ahead + 1 :]
+    else:
+        half, last = line[: behind - 1], rest
+    key = xxhash.xxh64_intdigest
+    return [key(half, 2 * n), key(last, 2 * n + 1), key(first, 2 * n - 2), key(rest, 2 * n - 1)]
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, line_no, line_id and four half keys, NULL for lines too short for a partner."""
     for batch in batches:
-        for rows, numbers, parts in _numbered(batch, 1):
+        for rows, numbers, parts in _numbered(batch):
+            lines = [b" ".join(words) for words in parts]
             long = np.array([len(words) >= LEAST_WORDS for words in parts])
-            keys = [k for words, fits in zip(parts, long) for k in (_half_keys(words) if fits else (0, 0, 0, 0))]
+            keys: list[int] = []
+            for line, words in zip(lines, parts):
+                keys += _half_keys(line, words) if len(words) >= LEAST_WORDS else (0, 0, 0, 0)
             halves = np.array(keys, np.uint64).view(np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(rows, pa.int64())),
                     pa.array(numbers, pa.int32()),
-                    pa.array([_line_id(words) for words in parts], pa.binary()),
+                    pa.array([hashlib.md5(line, usedforsecurity=False).digest() for line in lines], pa.binary()),
                     *[pa.array(np.ascontiguousarray(halves[:, i]), mask=~long) for i in range(4)],
                 ],
                 names=["doc_id", "line_no", "line_id", *HALVES],
             )
 
 
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, line_no, line_id, line: the lines that can have a partner, white space evened out."""
-    for batch in batches:
-        for rows, numbers, parts in _numbered(batch, LEAST_WORDS):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                    pa.array(numbers, pa.int32()),
-                    pa.array([_line_id(words) for words in parts], pa.binary()),
-                    pa.array([b" ".join(words) for words in parts], pa.binary()).cast(pa.string()),
-                ],
-                names=["doc_id", "line_no", "line_id", "line"],
-            )
-
-
-def _lines(docs: DataFrame, key: str, text: str, task: Callable, columns: str) -> DataFrame:
-    """The rows of ``task`` over all texts, each with its place."""
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, line_no, place, line_id and half keys of every line that has a word."""
     whole = docs.select(F.col(key).alias("doc_id"), text_of(text).cast("binary").alias("text"))
     kind = whole.schema["doc_id"].dataType.simpleString()
-    found = whole.mapInArrow(task, f"doc_id {kind}, line_no int, line_id binary, {columns}")
+    halves = ", ".join(f"{half} bigint" for half in HALVES)
+    found = whole.mapInArrow(_described, f"doc_id {kind}, line_no int, line_id binary, {halves}")
     return found.withColumn("place", _place(F.col("doc_id"), F.col("line_no")))
 
 
+def _spelled(docs: DataFrame, able: DataFrame, key: str, text: str) -> DataFrame:
+    """line_id, first, line: the lines at the first places of ``able``, white space evened out.
+
+    Rows that repeat a doc_id share places, so the line has to be the one named as well; that
+    is asked of the lines found by place once they are written, as a filter would otherwise
+    become one more key of the join and have every line evened out.
+    """
+    doc, line_no = _unplaced(F.col("first"))
+    wanted = able.select("line_id", "first", doc.alias("__doc"), line_no.alias("__no"))
+    split = docs.select(F.col(key).alias("__key"), F.posexplode(F.split(text_of(text), "\n")).alias("__at", "raw"))
+    placed = split.join(wanted, F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__no")))
+    found = settle(placed.select("line_id", "first", "raw"))
+    even = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    return found.select("line_id", "first", even.alias("line")).where(F.unhex(F.md5("line")) == F.col("line_id"))
+
+
 def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line_id, first, at, key): the line less the word at each place, the whole line at place 0.
 
@@ -171,20 +179,23 @@ def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether two lists of words differ by at most one word put in, left out or replaced.
+def within_one_edit(a: list, b: list) -> bool:
+    """Whether two lists of words differ by at most one word put in, left out or replaced."""
+    if len(a) == len(b):
+        return sum(map(operator.ne, a, b)) <= 1
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    if len(long) > len(short) + 1:
+        return False
+    at = next((i for i, differs in enumerate(map(operator.ne, long, short)) if differs), len(short))
+    return long[at + 1 :] == short[at:]
 
-    All words but at most one lie in the common beginning or the common end.
-    """
-
-    def same_start(x: Column, y: Column) -> Column:
-        both = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
-        first = F.array_position(both, F.lit(False))
-        return F.when(first > 0, first - 1).otherwise(F.size(both)).cast("int")
 
-    longer = F.greatest(F.size(a), F.size(b))
-    ends = same_start(F.reverse(a), F.reverse(b))
-    return (F.abs(F.size(a) - F.size(b)) <= 1) & (same_start(a, b) + ends >= longer - 1)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (line_id, other) whose lines are within the edit bound."""
+    for batch in batches:
+        pairs = zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist())
+        near = pa.array([within_one_edit(a.split(b" "), b.split(b" ")) for a, b in pairs], pa.bool_())
+        yield batch.select(["line_id", "other"]).filter(near)
 
 
 def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,13 +209,8 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
     half = distinct.where(F.col(HALVES[0]).isNotNull()).select("line_id", "first", F.explode(F.array(*HALVES)).alias("half"))
     shared = settle(half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"))
     able = settle(half.join(shared, "half").groupBy("line_id").agg(F.min("first").alias("first")))
-    long = _lines(docs, key, text, _spelled, "line string")
-    candidates = settle(
-        long.select("line_id", "place", "line")
-        .join(able.withColumnRenamed("line_id", "__id"), (F.col("line_id") == F.col("__id")) & (F.col("place") == F.col("first")))
-        .select("line_id", "first", "line")
-    )
-    hashed = candidates.select("line_id", "first", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    candidates = _spelled(docs, able, key, text)
+    hashed = candidates.select("line_id", "first", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
     emitted = settle(hashed.mapInArrow(_variant_keys, "line_id binary, first decimal(38,0), at int, key bigint"))
     again = settle(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     variants = settle(emitted.join(again, "key"))  # most keys are met once and lead nowhere
@@ -220,15 +226,11 @@ def earlier_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text:
         .where("other < first")
         .distinct()
     )
-    mine = candidates.select("line_id", _words(F.col("line")).alias("mine"))
-    theirs = candidates.select(F.col("first").alias("other"), _words(F.col("line")).alias("theirs"))
-    near = (
-        found.join(mine, "line_id")
-        .join(theirs, "other")
-        .where(within_one_edit(F.col("mine"), F.col("theirs")))
-        .groupBy("line_id")
-        .agg(F.min("other").alias("keep"))
-    )
+    mine = candidates.select("line_id", F.col("line").cast("binary").alias("mine"))
+    theirs = candidates.select(F.col("first").alias("other"), F.col("line").cast("binary").alias("theirs"))
+    pairs = found.join(mine, "line_id").join(theirs, "other").select("line_id", "other", "mine", "theirs")
+    verified = pairs.mapInArrow(_verified, "line_id binary, other decimal(38,0)")
+    near = verified.groupBy("line_id").agg(F.min("other").alias("keep"))
     return distinct.join(near, "line_id", "left").select("line_id", "first", F.coalesce("keep", "first").alias("keep"))
 
 
@@ -240,7 +242,7 @@ def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     white space evened out; a NULL text has none. Rows that repeat one doc_id share places,
     so their lines are kept or dropped together. An empty table gives an empty one.
     """
-    places = settle(_lines(docs, key, text, _described, ", ".join(f"{half} bigint" for half in HALVES)))
+    places = settle(_lines(docs, key, text))
     joined = places.drop(*HALVES).join(settle(earlier_lines(docs, places, key, text)), "line_id")
     keep_doc, keep_line = _unplaced(F.col("keep"))
     return joined.select(
