@@ -135,12 +135,13 @@ def _spelled(docs: DataFrame, able: DataFrame, key: str, text: str) -> DataFrame
 
     Rows that repeat a doc_id share places, so the line has to be the one named as well; that
     is asked of the lines found by place once they are written, as a filter would otherwise
-    become one more key of the join and have every line evened out.
+    become one more key of the join and have every line evened out. The places grow with the
+    corpus, so they are merged with the lines at every size rather than broadcast at small ones.
     """
     doc, line_no = _unplaced(F.col("first"))
     wanted = able.select("line_id", "first", doc.alias("__doc"), line_no.alias("__no"))
     split = docs.select(F.col(key).alias("__key"), F.posexplode(F.split(text_of(text), "\n")).alias("__at", "raw"))
-    placed = split.join(wanted, F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__no")))
+    placed = split.join(wanted.hint("merge"), F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__at") == F.col("__no")))
     found = settle(placed.select("line_id", "first", "raw"))
     even = F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
     return found.select("line_id", "first", even.alias("line")).where(F.unhex(F.md5("line")) == F.col("line_id"))
