@@ -51,3 +51,14 @@ def test_shared_paragraphs_of_articles_stay(session):
 def test_broken_markup_does_not_raise(source):
     page = html.parse(source)
     assert len(html.subtree_hashes(page)) == len(page.names)
+
+
+def test_pages_without_html_or_with_several_roots_are_different_pages(session):
+    head = "<!DOCTYPE html><head><title>T</title></head><body><div>Unmarked menu</div><p>Text {}.</p></body>"
+    roots = "<div>Unmarked menu</div><p>Text {}.</p>"
+    rows = [(i, f"http://d.example/{i}", head.format(i)) for i in range(8)]
+    rows += [(100 + i, f"http://e.example/{i}", roots.format(i)) for i in range(8)]
+    rows += [(200 + i, f"http://f.example/{i}", roots.format(0)) for i in range(8)]  # one page
+    got = texts(session, rows)
+    assert all(got[i] == got[100 + i] == f"Text {i}." for i in range(8))
+    assert all(got[200 + i] == "Unmarked menu\nText 0." for i in range(8))

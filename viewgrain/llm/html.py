@@ -177,6 +177,13 @@ def subtree_hashes(page: Page) -> list[int]:
     return hashes
 
 
+def identity(page: Page, hashes: list[int]) -> int:
+    """A hash of all that stands outermost on a page, which may lack html or body tags."""
+    roots = [hashes[n] for n, up in enumerate(page.parents) if up < 0 and hashes[n]]
+    value = xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in roots))
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
 def _read(batches):
     """For each page: its key, host counts' input, and what is needed to write its text."""
     for batch in batches:
@@ -202,7 +209,7 @@ def _read(batches):
                 for n in order
             ]
             rows["hashes"].append([0 if free else hashes[n] for n, free in zip(order, exempt)])
-            rows["body"].append(hashes[0] if hashes else 0)
+            rows["body"].append(identity(page, hashes))
             rows["parents"].append([place.get(page.parents[n], -1) for n in order])
             rows["block"].append([page.blocks[i] for i in keep])
             rows["node"].append([place[page.nodes[i]] for i in keep])
