@@ -62,3 +62,15 @@ def test_pages_without_html_or_with_several_roots_are_different_pages(session):
     got = texts(session, rows)
     assert all(got[i] == got[100 + i] == f"Text {i}." for i in range(8))
     assert all(got[200 + i] == "Unmarked menu\nText 0." for i in range(8))
+
+
+def test_marks_are_whole_and_spare_what_holds_an_article(session):
+    rows = [
+        (1, "x", "<article class='post no-sidebar'><p>One.</p><div class='sidebar-left'>Side</div></article>"),
+        (2, "x", "<main class='comments-open'><p>Two.</p><ul id='comment-list'><li>First!</ul></main>"),
+        (3, "x", "<div class='content-sidebar-wrap'><main><p>Three.</p></main><div class='widget sidebar'>Side</div></div>"),
+        (4, "x", "<div id='sidebar'><main><p>Four.</p></main></div>"),
+        (5, "x", "<div class='no-ads'><p>Five.</p></div><div class='site-footer'>Foot</div><div class='comments_open'>Six.</div>"),
+        (6, "x", "<div class='header'><article><p>Seven.</p></article></div><nav><article>Eight</article></nav>"),
+    ]
+    assert texts(session, rows) == {1: "One.", 2: "Two.", 3: "Three.", 4: "Four.", 5: "Five.\nSix.", 6: "Seven."}

@@ -47,7 +47,7 @@ CLOSES = {
 }
 #: Elements past which such an implied end does not look.
 FENCES = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "main", "body", "html", "blockquote", "nav", "aside", "footer", "header", "form"}
-#: Words of class, id and role that mark what is not main text.
+#: Words of class, id and role that mark what is not main text, unless it holds an article.
 MARKED = {
     *("ad ads advert advertisement advertisements adverts adsense sponsor sponsored promo promotion banner").split(),
     *("cookie cookies consent gdpr notice notices popup modal overlay disclaimer").split(),
@@ -57,6 +57,11 @@ MARKED = {
 }
 #: Marked only outside the article, where it is the head of the page rather than of the text.
 PAGE_HEADS = {"header", "topbar"}
+#: A class, id or role is marked as a whole, or by its first part (``sidebar-left``), past parts
+#: that say where on the page it is (``site-footer``); not where its last part is a state of the
+#: page (``comments-open``).
+PLACES = {"site", "page", "main", "left", "right", "top", "bottom", "primary", "secondary", "global", "wp", "widget"}
+STATES = {"open", "opened", "closed", "enabled", "disabled", "active", "inactive", "none", "off", "on", "free"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -65,7 +70,18 @@ _TOKEN = re.compile(
     re.S,
 )
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_:.]+")
+
+
+def _marks(attrs: str, among: set[str]) -> bool:
+    for found in _MARK.finditer(attrs):
+        for token in "".join(g or "" for g in found.groups()).lower().split():
+            parts = [p for p in _PART.split(token) if p]
+            while len(parts) > 1 and parts[0] in PLACES:
+                del parts[0]
+            if parts and parts[0] in among and (len(parts) == 1 or parts[-1] not in STATES):
+                return True
+    return False
 
 
 @dataclass
@@ -79,19 +95,32 @@ class Page:
     blocks: list[int] = field(default_factory=list)
     nodes: list[int] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
+    marked: list[bool] = field(default_factory=list)
+    heads: list[bool] = field(default_factory=list)
 
     def add(self, name: str, parent: int, attrs: str) -> int:
-        up_main = self.in_main[parent] if parent >= 0 else False
-        marks = {w for m in _MARK.finditer(attrs) for w in _WORD.findall("".join(g or "" for g in m.groups()).lower())}
-        out = name in NEVER or bool(marks & MARKED) or (not up_main and (name in PAGE_HEADS or bool(marks & PAGE_HEADS)))
-        if name in ("html", "body"):
-            out = False
         self.names.append(name)
         self.parents.append(parent)
-        self.dropped.append(out or (parent >= 0 and self.dropped[parent]))
-        self.in_main.append(up_main or (name in MAIN and not self.dropped[-1]))
+        self.marked.append(_marks(attrs, MARKED))
+        self.heads.append(name in PAGE_HEADS or _marks(attrs, PAGE_HEADS))
         return len(self.names) - 1
 
+    def settle(self) -> Page:
+        """Decide what is dropped, once it is known which elements hold an article."""
+        holds = [name in MAIN for name in self.names]
+        for n in range(len(holds) - 1, -1, -1):  # children come after their parents
+            if holds[n] and self.parents[n] >= 0:
+                holds[self.parents[n]] = True
+        for n, name in enumerate(self.names):
+            up = self.parents[n]
+            up_main = up >= 0 and self.in_main[up]
+            out = name in NEVER or (not holds[n] and (self.marked[n] or (not up_main and self.heads[n])))
+            if name in ("html", "body"):
+                out = False
+            self.dropped.append(out or (up >= 0 and self.dropped[up]))
+            self.in_main.append(up_main or (name in MAIN and not self.dropped[-1]))
+        return self
+
 
 def _parts(source: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes); kind is text, start or end. Raw elements are skipped."""
@@ -155,7 +184,7 @@ def parse(source: str) -> Page:
             if name in FENCES:
                 break
         stack.append(page.add(what, stack[-1] if stack else -1, attrs))
-    return page
+    return page.settle()
 
 
 def subtree_hashes(page: Page) -> list[int]:
