@@ -74,3 +74,12 @@ def test_marks_are_whole_and_spare_what_holds_an_article(session):
         (6, "x", "<div class='header'><article><p>Seven.</p></article></div><nav><article>Eight</article></nav>"),
     ]
     assert texts(session, rows) == {1: "One.", 2: "Two.", 3: "Three.", 4: "Four.", 5: "Five.\nSix.", 6: "Seven."}
+
+
+def test_sections_of_a_host_have_templates_of_their_own(session):
+    page = "<body><div>Notice of section {}</div><div><p>Text number {}.</p></div></body>"
+    rows = [(i, f"http://g.example/{i % 4}/{i}", page.format(i % 4, i)) for i in range(80)]
+    rows += [(100 + i, f"http://h.example/{i}", page.format(min(i, 76), i)) for i in range(80)]  # on four of 80
+    got = texts(session, rows)
+    assert all(got[i] == f"Text number {i}." for i in range(80))
+    assert all(got[100 + i] == f"Notice of section {min(i, 76)}\nText number {i}." for i in range(80))

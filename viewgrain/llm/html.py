@@ -24,7 +24,9 @@ from viewgrain.llm.common import text_of, with_row_key
 from viewgrain.plans.settle import settle
 
 #: A subtree is a template if it is on at least so many different pages of its host, and on
-#: at least this share of them.
+#: at least this share of them, of few pages. The share falls as the host grows: of n pages,
+#: no more than the root of LEAST_PAGES * LEAST_SHARE * n are asked for (123 of 10,000), so the
+#: block of one section counts on a large host too.
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
 
 # Element names of HTML by their role here.
@@ -297,11 +299,12 @@ def _without_templates(read: DataFrame, least_pages: int, least_share: float) ->
     different = read.select(F.col("page.host").alias("host"), "body").distinct()
     n_pages = different.groupBy(F.col("host").alias("__host")).agg(F.count(F.lit(1)).alias("n_pages"))
     seen = read.select("row", F.col("page.host").alias("host"), "body", F.posexplode("hashes").alias("at", "hash")).where("hash <> 0")
+    enough = F.least(F.col("n_pages") * least_share, F.sqrt(F.col("n_pages") * (least_pages * least_share)))
     on_pages = seen.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     recurring = settle(
         on_pages.where(F.col("n") >= least_pages)
         .join(n_pages, F.col("host").eqNullSafe(F.col("__host")))
-        .where(F.col("n") >= F.col("n_pages") * least_share)
+        .where(F.col("n") >= enough)
         .select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
     )
     hits = seen.join(recurring, F.col("host").eqNullSafe(F.col("__host")) & (F.col("hash") == F.col("__hash")))
