@@ -84,3 +84,12 @@ def test_components_of_a_chain_a_star_and_a_loop(session):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 501), (501, 500)]
     got = {r.node: r.component for r in components(session.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {500: 500, 501: 500}
+
+
+def test_one_row_of_each_with_repeated_and_missing_ids(session):
+    same, other, third = ("many words of one text " * 9, "quite different content stands here " * 9, "nothing of either is in this one " * 9)
+    rows = [(1, same), (2, same), (2, other), (None, same), (None, third), (None, third), (7, third + "\n"), (8, "no copy of this"), (8, "no copy of this")]
+    rows += [(None, "only without ids"), (None, "only without ids"), (None, "alone without an id")]
+    left = simhash.one_of_each(session.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, same), (2, other), (7, third + "\n"), (8, "no copy of this"), (None, "only without ids"), (None, "alone without an id")]
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, want))

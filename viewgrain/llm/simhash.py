@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import text_of
+from viewgrain.llm.common import text_of, with_row_key
 from viewgrain.llm.components import components
 from viewgrain.plans.settle import settle
 
@@ -238,6 +238,15 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return dealt.groupBy("trie", "depth", "a", "b").applyInArrow(traverse, "a long, b long")
 
 
+def _owners(prints: DataFrame, budget: int) -> DataFrame:
+    """fp, least, component: the component of each fingerprint, and its smallest doc_id."""
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = settle(components(links(nodes, budget)))
+    return settle(nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    ))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET
 ) -> DataFrame:
@@ -250,11 +259,7 @@ def near_duplicates(
     gives an empty one.
     """
     prints = settle(fingerprints(docs, key, text, shingle))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    classes = settle(components(links(nodes, budget)))
-    owner = settle(nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    ))
+    owner = _owners(prints, budget)
     smallest = settle(owner.groupBy("component").agg(F.min("least").alias("component_id")))
     named = settle(owner.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id"))
     return prints.join(named, F.col("fp") == F.col("__fp")).select(
@@ -263,8 +268,19 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id."""
+    """The row of ``docs`` that stays of each component: the one with the smallest doc_id, NULL last.
+
+    Rows are told apart by a key of their own, so ids that repeat or are NULL neither remove
+    other documents nor keep copies.
+    """
     names = docs.columns
-    decided = settle(near_duplicates(docs, key, text))
-    gone = decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rows = with_row_key(docs, "__row")
+    # Id and row together are the key that goes with a fingerprint.
+    keyed = rows.select(F.struct(F.col(f"`{key}`").alias("id"), "__row").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    prints = settle(fingerprints(keyed, "__key", "__text"))
+    owner = _owners(prints, BUDGET).select(F.col("fp").alias("__fp"), "component")
+    own = settle(prints.join(owner, F.col("fp") == F.col("__fp")).select("doc_id.id", "doc_id.__row", "component"))
+    first = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("__stays"))
+    gone = settle(own.join(first, F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone")))
+    left = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in names])
