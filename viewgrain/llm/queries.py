@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewgrain.llm import chat, exact, html, lines, mixing, packing, pii, quality, sharding, simhash
+from viewgrain.llm import chat, exact, html, lexical, lines, mixing, packing, pii, quality, repair, sharding, simhash, superminhash
 from viewgrain.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,46 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).drop("doc", "clean_text", "lost_chars")
+
+
+@query(
+    r"""
+    WITH RECURSIVE
+         w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+         s AS (SELECT DISTINCT r, CASE WHEN len(t) < 3 THEN array_to_string(t, ' ') ELSE t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] END AS s
+               FROM (SELECT r, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM w WHERE len(t) > 0)),
+         n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+         p AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+         l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+         c AS (SELECT r AS a, r AS b FROM w UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+         k AS (SELECT c.a AS r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.b GROUP BY c.a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+    FROM w JOIN k USING (r) LEFT JOIN n USING (r)
+    """
+)
+def op11_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+         i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+         q AS (SELECT i, item_id, term, count(*) AS qtf FROM (SELECT i, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+         a AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+         tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+         w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY term, n_docs),
+         m AS (SELECT r, doc_id, CAST(75 + (25 * len(t) * n_docs) // n_terms AS BIGINT) AS m FROM d, a WHERE len(t) > 0),
+         s AS (SELECT i, item_id, r, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+               FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+         k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS k FROM s WHERE score > 0)
+    SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM k WHERE k <= 20
+    """
+)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
