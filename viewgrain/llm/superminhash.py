@@ -181,25 +181,36 @@ def _fits(small: Column, large: Column) -> Column:
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """node, size, key, n: the buckets with more than one member, and how many that is."""
     rows = classes.select("node", "size", F.explode("bands").alias("key"))
-    counted = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(counted, "key")
 
 
-def leader_pairs(shared: DataFrame) -> DataFrame:
+def leader_pairs(shared: DataFrame, weight: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's leader.
 
-    The leader is the member whose buckets are fullest, which in a group of copies of one
-    text is that text or what is closest to it.
+    The leader is the member of most ``weight``: whose buckets are fullest, which in a group
+    of copies of one text is that text or what is closest to it.
     """
-    weight = settle(shared.groupBy("node").agg(F.sum("n").alias("weight")))
-    leaders = settle(
-        shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("lead"))
-    )
+    leaders = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("lead"))
     joined = shared.join(leaders, "key").where(F.col("node") != F.col("lead.node"))
     fitting = joined.where(_fits(F.least("size", "lead.size"), F.greatest("size", "lead.size")))
     return fitting.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
+def joined_to(first: DataFrame, weight: DataFrame) -> DataFrame:
+    """node, component: the node of most weight that a node links with, or itself.
+
+    Nodes of one component here are linked; others may be too, which only costs a comparison.
+    """
+    both = first.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        first.select(F.col("b").alias("node"), F.col("a").alias("other"))
+    )
+    heavy = both.join(weight.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.max(F.struct("weight", "other")).alias("top"))
+    return weight.join(heavy, "node", "left").select(
+        "node", F.greatest(F.struct("weight", F.col("node").alias("other")), F.col("top"))["other"].alias("component")
+    )
+
+
 def _shingles(frame: DataFrame) -> DataFrame:
     """One row per shingle of a set: the bytes, cut in Python, go no further than this."""
 
@@ -226,7 +237,7 @@ def rare_shingle_pairs(open_sets: DataFrame) -> DataFrame:
     link, so this loses none. Shingles met in one component only are left out.
     """
     tokens = settle(_shingles(open_sets))
-    common = settle(
+    common = (
         tokens.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"), (F.min("component") < F.max("component")).alias("crosses"))
         .where("df > 1")
@@ -266,17 +277,16 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     again = _texts(docs, key, text).join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
     full = again.mapInArrow(_full_sets, "set_id binary, shingles binary")
     sets = settle(full.join(members, "set_id").select("node", "size", "shingles").dropDuplicates(["node"]))
-    first = settle(verified(leader_pairs(shared), sets))
-    parts = settle(components(first).withColumnRenamed("node", "__node"))
-    grouped = shared.join(parts, F.col("node") == F.col("__node"), "left").select("node", "key", F.coalesce("component", "node").alias("component"))
+    weight = settle(shared.groupBy("node").agg(F.sum("n").alias("weight")))
+    first = settle(verified(leader_pairs(shared, weight), sets))
+    grouped = shared.join(joined_to(first, weight), "node").select("node", "key", "component")
     still = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
     # A bucket of two is settled by its one pair.
-    open_keys = settle(still.where("low < high and n > 2").select("key"))
+    open_keys = still.where("low < high and n > 2").select("key")
     open_nodes = settle(grouped.join(open_keys, "key").select("node", "component").distinct())
     if open_nodes.isEmpty():
         return first
-    more = verified(settle(rare_shingle_pairs(sets.join(open_nodes, "node"))), sets)
-    return first.unionByName(more)
+    return first.unionByName(verified(rare_shingle_pairs(sets.join(open_nodes, "node")), sets))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,14 +308,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")),
         "node",
     )
-    found = settle(components(links(docs, classes, key, text)).withColumnRenamed("node", "__node"))
+    found = components(settle(links(docs, classes, key, text))).withColumnRenamed("node", "__node")
     named = settle(
         classes.join(found, F.col("node") == F.col("__node"), "left").select(
             F.col("set_id").alias("__set"), "least", F.coalesce("component", "node").alias("component")
         )
     )
-    smallest = settle(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    owner = settle(named.join(smallest, "component").select("__set", "component_id"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    owner = named.join(smallest, "component").select("__set", "component_id")
     joined = described.drop("bands").join(owner, F.col("set_id") == F.col("__set"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select(
