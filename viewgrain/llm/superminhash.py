@@ -197,18 +197,23 @@ def leader_pairs(shared: DataFrame, weight: DataFrame) -> DataFrame:
     return fitting.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
+#: Links that a node looks along for the heaviest node around it.
+HOPS = 3
+
+
 def joined_to(first: DataFrame, weight: DataFrame) -> DataFrame:
-    """node, component: the node of most weight that a node links with, or itself.
+    """node, component: the node of most weight within ``HOPS`` links, or itself.
 
     Nodes of one component here are linked; others may be too, which only costs a comparison.
     """
     both = first.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         first.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
-    heavy = both.join(weight.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.max(F.struct("weight", "other")).alias("top"))
-    return weight.join(heavy, "node", "left").select(
-        "node", F.greatest(F.struct("weight", F.col("node").alias("other")), F.col("top"))["other"].alias("component")
-    )
+    around = weight.select("node", F.struct("weight", "node").alias("top"))
+    for _ in range(HOPS):
+        seen = both.join(around.select(F.col("node").alias("other"), "top"), "other").select("node", "top")
+        around = settle(around.unionByName(seen).groupBy("node").agg(F.max("top").alias("top")))
+    return around.select("node", F.col("top.node").alias("component"))
 
 
 def _shingles(frame: DataFrame) -> DataFrame:
