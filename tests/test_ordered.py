@@ -160,3 +160,57 @@ def test_additive_previous_value_needs_no_python(spark, large):
     assert [r.o for r in out.orderBy("i").collect()] == [11.0, 13.0, None, None]
     with large(block_rows=2):
         assert [r.o for r in tc.previous_value(view, "o", [], ["i"], 10.0, "v").orderBy("i").collect()] == [11.0, 13.0, None, None]
+
+
+FRAMES = [("sum", -30, 25), ("min", -14, 14), ("max", 0, 20), ("count", -25, -1), ("sum", 8, 30), ("avg", -50, 60),
+          ("max", -40, -35), ("count", 33, 36), ("min", 20, 20), ("sum", None, 3), ("min", -9, None), ("max", None, None)]
+
+
+def test_one_layout_gives_frames_of_any_width(view, large):
+    """Frames inside a tile, over ten blocks, far away and open, all from one addressing."""
+
+    def all_values():
+        calcs = tc.Calculations(view, ["g"], ["i"])
+        for n, (kind, start, end) in enumerate(FRAMES):
+            calcs.window(kind, "v", f"w{n}", start, end)
+        return calcs.running("sum", "v", "r").index("k").first("a").last("z").size("n").share("v", "s").lookup("v", "l", -12).view()
+
+    small = rows(all_values())
+    with large(block_rows=3):
+        assert rows(all_values()) == small
+    groups = by_group(view)
+    for r in all_values().collect():
+        values = [v for _, v in groups[r.g]]
+        at = [i for i, _ in groups[r.g]].index(r.i)
+        for n, (kind, start, end) in enumerate(FRAMES):
+            first = 0 if start is None else max(at + start, 0)
+            last = len(values) if end is None else max(at + end + 1, 0)
+            near = [v for v in values[first:last] if v is not None]
+            want = {"sum": sum, "min": min, "max": max, "count": len, "avg": lambda x: sum(x) / len(x)}[kind]
+            assert r[f"w{n}"] == pytest.approx(want(near) if near or kind == "count" else None), (r, kind, start, end)
+
+
+def test_many_calculations_write_the_view_once(view, large, monkeypatch):
+    from viewgrain.plans import ordered
+
+    written = []
+    real = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df: written.append(df) or real(df))
+    with large():
+        calcs = tc.Calculations(view, ["g"], ["i"])
+        for n, (kind, start, end) in enumerate(FRAMES):
+            calcs.window(kind, "v", f"w{n}", start, end)
+        assert calcs.lookup("v", "l", 3).view().count() == view.count()
+    assert len(written) == 2  # as it came, and cut into blocks
+    monkeypatch.setattr(ordered, "MOST_BLOCKS", 3)
+    with large(block_rows=2):
+        blocks = ordered.lay_out(view, ["g"], ["i"])
+        assert blocks.rows.select(ordered.BLOCK).distinct().count() <= 3
+        assert rows(tc.running_value(view, "sum", "v", "o", ["g"], ["i"])) == rows(CALCS["running_sum"](view))
+
+
+def test_a_settled_table_is_not_written_again(view):
+    from viewgrain.plans.settle import settle
+
+    kept = settle(view)
+    assert settle(kept) is kept and settle(kept.where("i > 1")) is not kept

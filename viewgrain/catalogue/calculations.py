@@ -43,11 +43,10 @@ def monthly(spark, folder):
     FROM v WINDOW w AS (PARTITION BY r_name ORDER BY mn ROWS UNBOUNDED PRECEDING)
 """)
 def running_calcs(spark, folder):
-    view = monthly(spark, folder)
-    view = tc.running_value(view, "avg", "n", "run_avg", PART, ORDER)
+    calcs = tc.Calculations(monthly(spark, folder), PART, ORDER).running("avg", "n", "run_avg")
     for kind in ("sum", "count", "min", "max"):
-        view = tc.running_value(view, kind, "total", f"run_{kind}", PART, ORDER)
-    return view.withColumns({"run_sum": F.round("run_sum", 2), "run_avg": F.round("run_avg", 6)})
+        calcs.running(kind, "total", f"run_{kind}")
+    return calcs.view().withColumns({"run_sum": F.round("run_sum", 2), "run_avg": F.round("run_avg", 6)})
 
 
 @query(_VIEW + """
@@ -61,15 +60,12 @@ def running_calcs(spark, folder):
     FROM v
 """)
 def window_calcs(spark, folder):
-    view = monthly(spark, folder)
-    view = tc.window_value(view, "avg", "n", "avg_m2_0", PART, ORDER, -2, 0)
-    view = tc.window_value(view, "sum", "total", "sum_m1_2", PART, ORDER, -1, 2)
-    view = tc.window_value(view, "max", "total", "max_m3_m1", PART, ORDER, -3, -1)
-    view = tc.window_value(view, "min", "total", "min_first_1", PART, ORDER, None, 1)
-    view = tc.window_value(view, "count", "total", "count_1_last", PART, ORDER, 1, None)
-    view = tc.window_value(view, "sum", "total", "sum_all", PART, ORDER)
+    calcs = tc.Calculations(monthly(spark, folder), PART, ORDER)
+    calcs.window("avg", "n", "avg_m2_0", -2, 0).window("sum", "total", "sum_m1_2", -1, 2)
+    calcs.window("max", "total", "max_m3_m1", -3, -1).window("min", "total", "min_first_1", None, 1)
+    calcs.window("count", "total", "count_1_last", 1, None).window("sum", "total", "sum_all")
     rounded = {c: F.round(c, 2) for c in ("sum_m1_2", "sum_all")}
-    return view.withColumns({**rounded, "avg_m2_0": F.round("avg_m2_0", 6)})
+    return calcs.view().withColumns({**rounded, "avg_m2_0": F.round("avg_m2_0", 6)})
 
 
 @query(_VIEW + """
@@ -79,9 +75,8 @@ def window_calcs(spark, folder):
     FROM v WINDOW w AS (PARTITION BY r_name ORDER BY mn)
 """)
 def first_last_size(spark, folder):
-    view = tc.index(monthly(spark, folder), "idx", PART, ORDER)
-    view = tc.first_last(view, "first_offset", "last_offset", PART, ORDER)
-    return tc.size(view, "size", PART)
+    calcs = tc.Calculations(monthly(spark, folder), PART, ORDER)
+    return calcs.index("idx").first("first_offset").last("last_offset").size("size").view()
 
 
 @query("""
@@ -98,12 +93,9 @@ def rank_kinds(spark, folder):
         ["o_custkey"],
         {"n": F.count(F.lit(1)), "total": F.round(F.sum("o_totalprice"), 2)},
     )
-    view = tc.rank(view, "n", "rk")
-    view = tc.rank(view, "n", "dense", "dense")
     view = tc.rank(view, "n", "uniq", "unique", tie_break=["total", "o_custkey"])
-    view = tc.rank(view, "n", "modified", "modified")
-    view = tc.rank(view, "n", "pct", "percentile")
-    view = tc.rank(view, "n", "rk_asc", ascending=True)
+    kinds = {"rk": "rank", "dense": "dense", "modified": "modified", "pct": "percentile"}
+    view = tc.ranks(view, "n", {name: (kind, False) for name, kind in kinds.items()} | {"rk_asc": ("rank", True)})
     return view.withColumn("pct", F.round("pct", 8))
 
 
@@ -120,10 +112,9 @@ def rank_in_month(spark, folder):
     FROM v WINDOW w AS (PARTITION BY r_name ORDER BY mn)
 """)
 def lookups(spark, folder):
-    view = tc.lookup(monthly(spark, folder), "total", "before_1", -1, PART, ORDER)
-    view = tc.lookup(view, "total", "after_3", 3, PART, ORDER)
-    view = tc.lookup(view, "total", "same", 0, PART, ORDER)
-    view = tc.lookup(view, "total", "before_12", -12, PART, ORDER)
+    calcs = tc.Calculations(monthly(spark, folder), PART, ORDER)
+    calcs.lookup("total", "before_1", -1).lookup("total", "after_3", 3).lookup("total", "same", 0)
+    view = calcs.lookup("total", "before_12", -12).view()
     return view.withColumn("change_12", F.round(F.col("total") - F.col("before_12"), 2)).drop("before_12")
 
 

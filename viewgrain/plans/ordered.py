@@ -1,11 +1,12 @@
 """Ordered calculations whose partitions may be larger than one task.
 
 A Spark window puts a whole partition in one task. That is right for a small view and
-wrong for a ranking of a billion members. So every ordered calculation here first looks
-at the row count. Up to ``spark.viewgrain.blockRows`` it is one plain window. Beyond it
+wrong for a ranking of a billion members. So a view is written once and its rows counted.
+Up to ``spark.viewgrain.blockRows`` one plain window gives all values. Beyond it
 the rows are range-partitioned on (partition, order), which cuts a hot partition into
 blocks of bounded size; each block is computed alone and then shifted by what the earlier
-blocks of its partition add up to.
+blocks of its partition add up to. ``Addressing`` shares one such layout among any number of
+calculations.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from viewgrain.plans.keys import attach, group, null_safe_join
 from viewgrain.plans.settle import block_rows, is_small, settle
 
+#: Most blocks a view is cut into.
+MOST_BLOCKS = 10_000
 BLOCK = "__block"
 POSITION = "__position"
 _UNSORTABLE = (T.MapType, T.VariantType)
@@ -89,31 +92,278 @@ class Blocks:
 
 
 def lay_out(df: DataFrame, partition: Sequence[str], order: Sequence[str | Order]) -> Blocks:
-    """Decide from the true row count whether the ordered rows must be cut into blocks."""
+    """Write the view once and decide from its true row count whether it must be cut.
+
+    There are at most ``MOST_BLOCKS`` blocks, whatever the rows, so a table with a row per
+    block stays small; beyond that the blocks grow, and Spark sorts them with spilling.
+    """
     partition = list(partition)
     keys = total_order(df, partition, order)
     limit = block_rows(df.sparkSession)
-    # Files may be small and their rows many, so a low estimate is confirmed by counting.
-    if is_small(df) and df.count() <= limit:
-        return Blocks(df, partition, keys, cut=False)
     kept = settle(df)
     n = kept.count()
     if n <= limit:
         return Blocks(kept, partition, keys, cut=False)
     ranges = [F.col(_quoted(c)).asc_nulls_first() for c in partition] + [k.sort() for k in keys]
-    cut = kept.repartitionByRange(-(-n // limit), *ranges).withColumn(BLOCK, F.spark_partition_id())
+    cut = kept.repartitionByRange(min(-(-n // limit), MOST_BLOCKS), *ranges).withColumn(BLOCK, F.spark_partition_id())
     return Blocks(settle(cut), partition, keys, cut=True)
 
 
-_COMBINE = {
-    "sum": lambda inner, before: F.coalesce(inner + before, inner, before),
-    "count": lambda inner, before: inner + F.coalesce(before, F.lit(0)),
-    "min": lambda inner, before: F.least(inner, before),
-    "max": lambda inner, before: F.greatest(inner, before),
-}
 AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-#: How the per-block results of an aggregate are merged over the earlier blocks.
+#: How the results of an aggregate over several pieces are merged.
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+_COMBINE = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+}
+
+
+@dataclass(frozen=True)
+class Frame:
+    """An aggregate over the rows from ``start`` to ``end`` around each row; None is open."""
+
+    kind: str
+    value: Column
+    start: int | None
+    end: int | None
+
+    @property
+    def width(self) -> int | None:
+        return None if self.start is None or self.end is None else self.end - self.start + 1
+
+
+class Addressing:
+    """The rows of a view in one order, laid out once, and any number of values on them.
+
+    A small view takes one window that gives all values. A larger one is range-cut and
+    written once. Then
+
+    * running values, positions and totals of the partition come from one window in each
+      block and one table of block totals, shifted by the blocks before (or after) it;
+    * short frames are computed in tiles of consecutive positions, a row near an edge also
+      going to the neighbouring tile that needs it;
+    * a frame wider than a tile is the end of one tile, all of some tiles and the beginning
+      of another: aggregates from each row to the ends of its tile and a table of tile
+      totals give it, so no task ever holds the frame;
+    * values of another row, and of open frames that end there, are joined by position.
+    """
+
+    def __init__(self, view: DataFrame, partition: Sequence[str], order: Sequence[str | Order]):
+        self.columns = view.columns
+        self.blocks = lay_out(view, partition, order)
+        self.frames: dict[str, Frame] = {}
+        self.lookups: dict[str, tuple[Column, int]] = {}
+        self.positions: list[str] = []
+
+    def add(self, name: str, kind: str, value: Column, start: int | None, end: int | None) -> Addressing:
+        if kind not in AGGREGATE:
+            raise ValueError(f"unknown aggregate {kind!r}")
+        self.frames[name] = Frame(kind, value, start, end)
+        return self
+
+    def position(self, name: str) -> Addressing:
+        """Number the rows of each partition from 1, as ``row_number`` does."""
+        self.positions.append(name)
+        return self
+
+    def neighbour(self, name: str, value: Column, offset: int) -> Addressing:
+        """The value found ``offset`` rows further on (negative: further back)."""
+        self.lookups[name] = (value, offset)
+        return self
+
+    def view(self) -> DataFrame:
+        """The rows with all values asked for so far."""
+        names = [*self.frames, *self.lookups, *self.positions]
+        kept = [c for c in self.columns if c not in names]
+        rows = self._cut() if self.blocks.cut else self._plain()
+        return rows.select(*[_quoted(c) for c in [*kept, *names]])
+
+    def _plain(self) -> DataFrame:
+        window = self.blocks.window()
+        out = {
+            n: AGGREGATE[f.kind](f.value).over(window.rowsBetween(*_bounds(f.start, f.end))) for n, f in self.frames.items()
+        }
+        out |= {n: F.lead(v, offset).over(window) for n, (v, offset) in self.lookups.items()}
+        out |= {n: F.row_number().over(window).cast("long") for n in self.positions}
+        return self.blocks.rows.withColumns(out)
+
+    def _cut(self) -> DataFrame:
+        tile = block_rows(self.blocks.rows.sparkSession)
+        ids = {n: i for i, n in enumerate(self.frames)}
+        near, far, wide = {}, {}, {}
+        for n, f in self.frames.items():
+            if f.width is None:
+                continue
+            if f.width > tile:
+                wide[n] = f
+            elif max(abs(f.start), abs(f.end)) <= tile:
+                near[n] = f
+            else:
+                far[n] = f
+        rows = self._running(ids).drop(BLOCK)
+        if near or far:  # a far frame is that of the row it begins at
+            frames = {f"__near{ids[n]}": f for n, f in near.items()}
+            frames |= {f"__own{ids[n]}": Frame(f.kind, f.value, 0, f.width - 1) for n, f in far.items()}
+            rows = self._in_tiles(rows, frames, tile)
+        if wide:
+            rows = self._tile_ends(rows, wide, ids, tile)
+        rows = rows.withColumns({f"__look{i}": v for i, (v, _) in enumerate(self.lookups.values())})
+
+        # What each offset brings from the row there, fetched by one join per offset.
+        fetched: dict[int, set[str]] = {}
+        for n, f in self.frames.items():
+            i = ids[n]
+            if f.end not in (None, 0) and n not in near:
+                fetched.setdefault(f.end, set()).add(f"__to{i}")
+            if f.start not in (None, 0) and n not in near:
+                fetched.setdefault(f.start, set()).add(f"__from{i}")
+            if n in far:
+                fetched.setdefault(f.start, set()).add(f"__own{i}")
+            if n in wide:
+                fetched.setdefault(f.start, set()).update({f"__rest{i}", f"__less{i}", f"__more{i}"})
+                fetched.setdefault(f.end, set()).add(f"__begun{i}")
+        for i, (_, offset) in enumerate(self.lookups.values()):
+            fetched.setdefault(offset, set()).add(f"__look{i}")
+        partition, out = self.blocks.partition, rows
+        for offset, wanted in fetched.items():
+            if offset:
+                there = rows.select(
+                    *[_quoted(c) for c in partition], (F.col(POSITION) - offset).alias(POSITION),
+                    *[F.col(c).alias(_at(c, offset)) for c in sorted(wanted)],
+                )
+                out = null_safe_join(out, there, [*partition, POSITION])
+        values = {n: self._value(n, ids[n], n in near, n in far, n in wide, tile) for n in self.frames}
+        values |= {n: F.col(_at(f"__look{i}", offset)) for i, (n, (_, offset)) in enumerate(self.lookups.items())}
+        values |= {n: F.col(POSITION) for n in self.positions}
+        return out.withColumns(values)
+
+    def _value(self, name: str, i: int, near: bool, far: bool, wide: bool, tile: int) -> Column:
+        f = self.frames[name]
+        if near:
+            return F.col(f"__near{i}")
+        empty = F.lit(0) if f.kind == "count" else F.lit(None)
+        whole, size = F.col(f"__all{i}"), F.col(_SIZE)
+        first = F.lit(1) if f.start is None else F.col(POSITION) + f.start
+        last = size if f.end is None else F.col(POSITION) + f.end
+        to = whole if f.end is None else F.col(_at(f"__to{i}", f.end))
+        since = whole if f.start is None else F.col(_at(f"__from{i}", f.start))
+        if far:
+            inside = F.col(_at(f"__own{i}", f.start))
+        elif wide:
+            rest, begun = F.col(_at(f"__rest{i}", f.start)), F.col(_at(f"__begun{i}", f.end))
+            apart = F.floor((last - 1) / tile) - F.floor((first - 1) / tile)
+            between = F.when(apart == (f.width - 1) // tile, F.col(_at(f"__less{i}", f.start))).otherwise(
+                F.col(_at(f"__more{i}", f.start))
+            )
+            combine = _COMBINE[f.kind]
+            inside = combine(combine(rest, between), begun).cast(self._type(f))
+        else:
+            inside = since if f.end is None else to
+        return (
+            F.when((last < 1) | (first > size), empty)
+            .when((first <= 1) & (last >= size), whole)
+            .when(first <= 1, to)
+            .when(last >= size, since)
+            .otherwise(inside)
+        )
+
+    def _type(self, f: Frame) -> T.DataType:
+        return self.blocks.rows.select(AGGREGATE[f.kind](f.value)).schema[0].dataType
+
+    def _running(self, ids: dict[str, int]) -> DataFrame:
+        """Rows with their position, the size of the partition, and for each frame the
+        aggregates of the whole partition, up to the row and from the row on."""
+        blocks = self.blocks
+        names = [_quoted(c) for c in blocks.partition]
+        open_ = {n: f for n, f in self.frames.items() if not (f.width is not None and self._is_near(f))}
+        ahead = blocks.window().rowsBetween(W.unboundedPreceding, 0)
+        behind = W.partitionBy(*[_quoted(c) for c in blocks.scope]).orderBy(*[k.reversed().sort() for k in blocks.order])
+        behind = behind.rowsBetween(W.unboundedPreceding, 0)
+        inner, parts = {POSITION: F.count(F.lit(1)).over(ahead)}, [F.count(F.lit(1)).alias("__n")]
+        for n, f in open_.items():
+            i, agg = ids[n], AGGREGATE[f.kind](f.value)
+            if f.end is not None:
+                inner[f"__to{i}"] = agg.over(ahead)
+            if f.start is not None:
+                inner[f"__from{i}"] = agg.over(behind)
+            parts.append(agg.alias(f"__part{i}"))
+        rows = blocks.rows.withColumns(inner)
+        per_block = blocks.rows.groupBy(*[_quoted(c) for c in blocks.scope]).agg(*parts)
+        own = W.partitionBy(*names).orderBy(BLOCK)
+        every = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        earlier, later = own.rowsBetween(W.unboundedPreceding, -1), own.rowsBetween(1, W.unboundedFollowing)
+        sums = [F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias(_SIZE)]
+        for n, f in open_.items():
+            i, merge = ids[n], _MERGE[f.kind](f"__part{ids[n]}")
+            sums += [merge.over(w).alias(f"__{at}{i}") for w, at in ((earlier, "before"), (later, "after"))]
+            sums.append(merge.over(every).cast(self._type(f)).alias(f"__all{i}"))
+        joined = null_safe_join(rows, per_block.select(*[_quoted(c) for c in blocks.scope], *sums), blocks.scope)
+        out = {POSITION: F.col(POSITION) + F.col("__before")}
+        for n, f in open_.items():
+            i, combine, kind = ids[n], _COMBINE[f.kind], self._type(f)
+            # A sum of sums is a wider decimal than the sum that one window gives.
+            if f.end is not None:
+                out[f"__to{i}"] = combine(F.col(f"__to{i}"), F.col(f"__before{i}")).cast(kind)
+            if f.start is not None:
+                out[f"__from{i}"] = combine(F.col(f"__from{i}"), F.col(f"__after{i}")).cast(kind)
+        return joined.withColumns(out)
+
+    def _is_near(self, f: Frame) -> bool:
+        tile = block_rows(self.blocks.rows.sparkSession)
+        return f.width <= tile and max(abs(f.start), abs(f.end)) <= tile
+
+    def _tile_window(self) -> W:
+        return W.partitionBy(*[_quoted(c) for c in self.blocks.partition], TILE)
+
+    def _in_tiles(self, rows: DataFrame, frames: dict[str, Frame], tile: int) -> DataFrame:
+        """Frames no wider than a tile, whose rows are in the tile or the one beside it."""
+        ahead = max(0, *[f.end for f in frames.values()])
+        behind = min(0, *[f.start for f in frames.values()])
+        place = F.col(POSITION) - 1
+        tiles = F.sequence(F.floor((place - ahead) / tile), F.floor((place - behind) / tile))
+        spread = rows.withColumn(TILE, F.explode(tiles))
+        window = self._tile_window().orderBy(POSITION)
+        computed = spread.withColumns(
+            {n: AGGREGATE[f.kind](f.value).over(window.rowsBetween(f.start, f.end)) for n, f in frames.items()}
+        )
+        return computed.where(F.col(TILE) == F.floor(place / tile)).drop(TILE)
+
+    def _tile_ends(self, rows: DataFrame, wide: dict[str, Frame], ids: dict[str, int], tile: int) -> DataFrame:
+        """From each row to the end of its tile (rest), to it from the beginning (begun), and
+        the tiles after it that a frame from here covers whole: as few (less), or one more."""
+        partition = self.blocks.partition
+        tiled = rows.withColumn(TILE, F.floor((F.col(POSITION) - 1) / tile))
+        begun = self._tile_window().orderBy(POSITION).rowsBetween(W.unboundedPreceding, 0)
+        rest = self._tile_window().orderBy(F.desc(POSITION)).rowsBetween(W.unboundedPreceding, 0)
+        inner, parts, between = {}, [], []
+        following = W.partitionBy(*[_quoted(c) for c in partition]).orderBy(TILE)
+        for n, f in wide.items():
+            i, agg = ids[n], AGGREGATE[f.kind](f.value)
+            inner |= {f"__begun{i}": agg.over(begun), f"__rest{i}": agg.over(rest)}
+            parts.append(agg.alias(f"__tile{i}"))
+            apart = (f.width - 1) // tile
+            for name, whole in (("less", apart - 1), ("more", apart)):
+                merged = _MERGE[f.kind](f"__tile{i}")
+                value = merged.over(following.rowsBetween(1, whole)) if whole else F.lit(None).cast(self._type(f))
+                between.append(value.alias(f"__{name}{i}"))
+        # One row per tile: a million rows make one of them.
+        totals = tiled.groupBy(*[_quoted(c) for c in partition], TILE).agg(*parts)
+        totals = totals.select(*[_quoted(c) for c in partition], TILE, *between)
+        return null_safe_join(tiled.withColumns(inner), totals, [*partition, TILE]).drop(TILE)
+
+
+_SIZE, TILE = "__partition_rows", "__tile"
+
+
+def _at(column: str, offset: int) -> str:
+    """The name of a column as fetched from another row."""
+    return f"{column}_{offset}" if offset else column
+
+
+def _bounds(start: int | None, end: int | None) -> tuple[int, int]:
+    return W.unboundedPreceding if start is None else start, W.unboundedFollowing if end is None else end
 
 
 def running(
@@ -123,84 +373,29 @@ def running(
     order: Sequence[str | Order],
 ) -> DataFrame:
     """Add running ``sum`` / ``count`` / ``min`` / ``max`` columns: ``{name: (kind, value)}``."""
-    blocks = lay_out(df, partition, order)
-    if blocks.cut:
-        return _shifted(blocks, values).drop(BLOCK)
-    return blocks.rows.withColumns(_over(values, blocks.window(), W.unboundedPreceding, 0))
+    return moving(df, values, partition, order, None, 0)
 
 
-def _over(values: dict[str, tuple[str, Column]], window: W, start: int, end: int) -> dict[str, Column]:
-    frame = window.rowsBetween(start, end)
-    return {n: AGGREGATE[kind](value).over(frame) for n, (kind, value) in values.items()}
-
-
-def up_to(
+def moving(
     df: DataFrame,
     values: dict[str, tuple[str, Column]],
     partition: Sequence[str],
     order: Sequence[str | Order],
-    end: int,
+    start: int | None,
+    end: int | None,
 ) -> DataFrame:
-    """Add aggregates from the first row of the partition to ``end`` rows past this one.
-
-    In the cut case that is the running value found ``end`` rows away, the whole
-    partition past its last row, and nothing before its first.
-    """
-    blocks = lay_out(df, partition, order)
-    if not blocks.cut:
-        return blocks.rows.withColumns(_over(values, blocks.window(), W.unboundedPreceding, end))
-    so_far = {f"__so_far_{n}": v for n, v in values.items()} | {POSITION: ("count", F.lit(1))}
-    seen = settle(_shifted(blocks, so_far).drop(BLOCK))
-    source = seen.select(
-        *[_quoted(c) for c in blocks.partition],
-        (F.col(POSITION) - end).alias(POSITION),
-        *[F.struct(F.col(f"__so_far_{n}").alias("v")).alias(f"__at_{n}") for n in values],
-    )
-    joined = null_safe_join(seen, source, blocks.partition + [POSITION])
-    if end > 0:
-        whole = {f"__all_{n}": AGGREGATE[kind](v) for n, (kind, v) in values.items()}
-        joined = per_partition(joined, whole, blocks.partition)
-    out = {}
-    for n, (kind, _) in values.items():
-        empty = F.lit(0) if kind == "count" else F.lit(None)
-        beyond = F.col(f"__all_{n}") if end > 0 else empty
-        at = F.col(f"__at_{n}")
-        out[n] = F.when(at.isNull(), beyond).otherwise(at["v"])
-    helpers = [f"__{part}_{n}" for n in values for part in ("so_far", "at", "all")]
-    return joined.withColumns(out).drop(POSITION, *helpers)
-
-
-def _shifted(blocks: Blocks, values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Running values inside each block, combined with those of the earlier blocks."""
-    inner = blocks.rows.withColumns(_over(values, blocks.window(), W.unboundedPreceding, 0))
-    per_block = blocks.rows.groupBy(*[_quoted(c) for c in blocks.scope]).agg(
-        *[AGGREGATE[kind](value).alias(n) for n, (kind, value) in values.items()]
-    )
-    # One row per partition and block: at most rows / blockRows of them in a partition.
-    earlier = (
-        W.partitionBy(*[_quoted(c) for c in blocks.partition])
-        .orderBy(BLOCK)
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    before = per_block.select(
-        *[_quoted(c) for c in blocks.scope],
-        *[_MERGE[kind](n).over(earlier).alias(f"__before_{n}") for n, (kind, _) in values.items()],
-    )
-    joined = null_safe_join(inner, before, blocks.scope)
-    # A sum of sums is a wider decimal than the sum that one window gives.
-    return joined.withColumns(
-        {
-            n: _COMBINE[kind](F.col(n), F.col(f"__before_{n}")).cast(inner.schema[n].dataType)
-            for n, (kind, _) in values.items()
-        }
-    ).drop(*[f"__before_{n}" for n in values])
+    """Add aggregates over the rows from ``start`` to ``end`` around the current one."""
+    address = Addressing(df, partition, order)
+    for n, (kind, value) in values.items():
+        address.add(n, kind, value, start, end)
+    return address.view()
 
 
 def position(
     df: DataFrame, partition: Sequence[str], order: Sequence[str | Order], name: str = POSITION
 ) -> DataFrame:
     """Number the rows of each partition from 1, as ``row_number`` does."""
-    return running(df, {name: ("count", F.lit(1))}, partition, order)
+    return Addressing(df, partition, order).position(name).view()
 
 
 def per_partition(df: DataFrame, values: dict[str, Column], partition: Sequence[str]) -> DataFrame:
@@ -215,40 +410,6 @@ def per_partition(df: DataFrame, values: dict[str, Column], partition: Sequence[
     return attach(source, grouped, partition)
 
 
-def moving(
-    df: DataFrame,
-    values: dict[str, tuple[str, Column]],
-    partition: Sequence[str],
-    order: Sequence[str | Order],
-    start: int,
-    end: int,
-) -> DataFrame:
-    """Add aggregates over the rows from ``start`` to ``end`` around the current one.
-
-    In the cut case rows are numbered and dealt into tiles of consecutive positions; a row
-    near an edge also goes to the neighbouring tile that needs it.
-    """
-    blocks = lay_out(df, partition, order)
-    partition = blocks.partition
-    if not blocks.cut:
-        return blocks.rows.withColumns(_over(values, blocks.window(), start, end))
-    numbered = _number(blocks)
-    tile = max(block_rows(df.sparkSession), abs(start) + 1, abs(end) + 1)
-    ahead, behind = max(end, 0), min(start, 0)
-    tiles = F.sequence(
-        F.floor((F.col(POSITION) - ahead) / tile), F.floor((F.col(POSITION) - behind) / tile)
-    )
-    spread = numbered.withColumn("__tile", F.explode(tiles))
-    in_tile = W.partitionBy(*[_quoted(c) for c in partition], "__tile").orderBy(POSITION)
-    computed = spread.withColumns(_over(values, in_tile, start, end))
-    own = F.col("__tile") == F.floor(F.col(POSITION) / tile)
-    return computed.where(own).drop("__tile", POSITION)
-
-
-def _number(blocks: Blocks) -> DataFrame:
-    return _shifted(blocks, {POSITION: ("count", F.lit(1))}).drop(BLOCK)
-
-
 def neighbour(
     df: DataFrame,
     values: dict[str, Column],
@@ -257,18 +418,10 @@ def neighbour(
     offset: int,
 ) -> DataFrame:
     """Add the values found ``offset`` rows further on (negative: further back)."""
-    blocks = lay_out(df, partition, order)
-    if not blocks.cut:
-        w = blocks.window()
-        return blocks.rows.withColumns({n: F.lead(v, offset).over(w) for n, v in values.items()})
-    numbered = settle(_number(blocks))
-    source = numbered.select(
-        *[_quoted(c) for c in blocks.partition],
-        (F.col(POSITION) - offset).alias(POSITION),
-        *[v.alias(n) for n, v in values.items()],
-    )
-    base = numbered.drop(*values)
-    return null_safe_join(base, source, blocks.partition + [POSITION]).drop(POSITION)
+    address = Addressing(df, partition, order)
+    for n, value in values.items():
+        address.neighbour(n, value, offset)
+    return address.view()
 
 
 def fold_affine(

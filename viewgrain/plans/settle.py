@@ -21,6 +21,7 @@ BLOCK_ROWS = "spark.viewgrain.blockRows"
 _DEFAULT_SETTLE_BYTES = 16 * 1024 * 1024
 _DEFAULT_BLOCK_ROWS = 1_000_000
 
+_MARK = "_viewgrain_settled"
 _local_folders: dict[str, str] = {}
 _settled: dict[str, list[str]] = {}
 
@@ -43,13 +44,20 @@ def block_rows(spark: SparkSession) -> int:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it back."""
+    """Write ``df`` to the shared folder and return a frame that reads it back.
+
+    A frame that is such a table already is returned as it is.
+    """
+    if df.__dict__.get(_MARK):
+        return df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/viewgrain/{uuid.uuid4().hex}"
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     plain.write.parquet(path)
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    kept = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    kept.__dict__[_MARK] = True
+    return kept
 
 
 def drop_settled(spark: SparkSession) -> int:
