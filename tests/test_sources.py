@@ -28,6 +28,19 @@ def test_files_and_tables(spark, tmp_path):
     spark.sql("DROP TABLE made_once")
 
 
+def test_the_catalog_lists_all_schemas_and_temporary_views_once(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS other_schema")
+    spark.sql("CREATE TABLE other_schema.t (a BIGINT, `b c` DECIMAL(10,2) NOT NULL, d ARRAY<INT>) USING parquet")
+    spark.range(1).createOrReplaceTempView("passing")
+    got = sources.catalog_columns(spark).where("table_name IN ('t', 'passing')").drop("catalog_name")
+    spark.sql("DROP SCHEMA other_schema CASCADE")
+    spark.catalog.dropTempView("passing")
+    table = [("a", "bigint"), ("b c", "decimal(10,2)"), ("d", "array")]
+    want = [("other_schema", "t", name, kind, i) for i, (name, kind) in enumerate(table, 1)] + [(None, "passing", "id", "bigint", 1)]
+    assert rows(got.drop("nullable")) == sorted(want, key=repr)
+    assert sources.catalog_columns(spark, []).isEmpty()
+
+
 def test_safe_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["Claim CaseNumber", "claim_casenumber", "%", "_x__y_"])
     assert sources.safe_names(df).columns == ["Claim_CaseNumber", "claim_casenumber_2", "%", "x_y"]

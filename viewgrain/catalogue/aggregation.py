@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from viewgrain.catalogue import query, table
 from viewgrain.functions.dates import date_part
 from viewgrain.operators import aggregates as agg
+from viewgrain.operators import sketches
 from viewgrain.operators.metricview import Dimension, Lookup, MetricView
 from viewgrain.operators.view import worksheet
+from viewgrain.plans.settle import settle
 
 
 @query("""
@@ -243,3 +245,86 @@ def preaggregated_passthrough(spark, folder):
         table(spark, folder, "orders"), ["o_orderpriority"], {"total": F.round(F.sum("o_totalprice"), 2)}
     )
     return worksheet(view, ["o_orderpriority"], {"total": F.sum("total")}, preaggregated=True)
+
+
+def region_sales(spark, folder):
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    return (
+        orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+
+
+_REGION_SALES = """
+    j AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+
+
+@query("WITH " + _REGION_SALES + """
+    SELECT r_name, n_name, CAST(2 - grouping(r_name) - grouping(n_name) AS INTEGER) AS level, round(sum(o_totalprice), 2) AS sales,
+           count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities
+    FROM j GROUP BY ROLLUP (r_name, n_name)
+""")
+def rollup_countd(spark, folder):
+    measures = {"sales": F.round(F.sum("o_totalprice"), 2)}
+    distinct = {"customers": "o_custkey", "priorities": "o_orderpriority"}
+    return agg.rollup_distinct(region_sales(spark, folder), ["r_name", "n_name"], measures, distinct)
+
+
+@query("WITH " + _REGION_SALES + """
+    SELECT r_name, o_orderstatus, CASE WHEN grouping(r_name) = 0 AND grouping(o_orderstatus) = 0 THEN 'cell' WHEN grouping(r_name) = 0 THEN 'row_total'
+             WHEN grouping(o_orderstatus) = 0 THEN 'column_total' ELSE 'grand_total' END AS level, count(*) AS n, count(DISTINCT o_custkey) AS customers
+    FROM j GROUP BY GROUPING SETS ((r_name, o_orderstatus), (r_name), (o_orderstatus), ())
+""")
+def pivot_countd(spark, folder):
+    rows = region_sales(spark, folder)
+    return agg.pivot_distinct(rows, ["r_name"], ["o_orderstatus"], {"n": F.count(F.lit(1))}, {"customers": "o_custkey"})
+
+
+@query("WITH " + _REGION_SALES + """
+    SELECT DISTINCT 'nation' AS grain, n_name AS member, true AS distinct_near, true AS median_near, true AS p90_near FROM j
+    UNION ALL SELECT DISTINCT 'region', r_name, true, true, true FROM j UNION ALL SELECT 'all', 'all', true, true, true
+""")
+def sketches_at_three_grains(spark, folder):
+    """One stored table of sketches, merged to three grains, each within tolerance of exact."""
+    rows = region_sales(spark, folder).withColumn("every", F.lit("all"))
+    stored = settle(sketches.sketched(rows, ["every", "r_name", "n_name", "o_orderstatus"], {"u": "o_custkey"}, {"q": "o_totalprice"}))
+    out = None
+    for grain, member in (("nation", "n_name"), ("region", "r_name"), ("all", "every")):
+        near = sketches.merged(stored, [member], ["u"], ["q"]).select(
+            F.col(member).alias("member"), sketches.distinct_of("u").alias("u"),
+            *[sketches.quantile_of("q", p).alias(n) for n, p in (("q50", 0.5), ("q90", 0.9))],
+        )
+        exact = rows.join(near, F.col(member) == F.col("member")).groupBy(F.lit(grain).alias("grain"), "member").agg(
+            (F.abs(F.count_distinct("o_custkey") / F.first("u") - 1) <= 0.04).alias("distinct_near"),
+            *[
+                (F.abs(F.avg((F.col("o_totalprice") <= F.col(q)).cast("double")) - p) <= 0.03).alias(name)
+                for q, p, name in (("q50", 0.5, "median_near"), ("q90", 0.9, "p90_near"))
+            ],
+        )
+        out = exact if out is None else out.unionByName(exact)
+    return out
+
+
+@query("SELECT DISTINCT l_returnflag, true AS parts_near, true AS median_near FROM lineitem")
+def approximate_within_tolerance(spark, folder):
+    """The approximate aggregates of each flag beside the exact ones."""
+    lines = table(spark, folder, "lineitem")
+    both = worksheet(
+        lines,
+        ["l_returnflag"],
+        {
+            "near": F.approx_count_distinct("l_partkey", 0.02),
+            "exact": F.count_distinct("l_partkey"),
+            "median_near": F.percentile_approx("l_extendedprice", 0.5),
+            "low": F.percentile("l_extendedprice", 0.49),
+            "high": F.percentile("l_extendedprice", 0.51),
+        },
+    )
+    return both.select(
+        "l_returnflag",
+        (F.abs(F.col("near") / F.col("exact") - 1) <= 0.08).alias("parts_near"),
+        F.col("median_near").between(F.col("low"), F.col("high")).alias("median_near"),
+    )

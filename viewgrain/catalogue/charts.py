@@ -203,15 +203,15 @@ def chart_bullet(spark, folder):
 
 
 @query("""
-    SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS "BUILDING",
+    SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS "AUTOMOBILE", count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS "BUILDING",
+      count(*) FILTER (WHERE c_mktsegment = 'FURNITURE') AS "FURNITURE", count(*) FILTER (WHERE c_mktsegment = 'HOUSEHOLD') AS "HOUSEHOLD",
       count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "MACHINERY"
     FROM customer GROUP BY 1
 """)
 def chart_crosstab_text(spark, folder):
-    cells = shapes.crosstab_text(
-        table(spark, folder, "customer"), ["c_nationkey"], "c_mktsegment", row_count(), ["BUILDING", "MACHINERY"]
-    )
-    return cells.na.fill(0, ["BUILDING", "MACHINERY"])
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    cells = shapes.crosstab_text(table(spark, folder, "customer"), ["c_nationkey"], "c_mktsegment", row_count(), segments)
+    return cells.na.fill(0, segments)
 
 
 def yearly(spark, folder):

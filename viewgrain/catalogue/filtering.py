@@ -308,3 +308,27 @@ def table_calc_filter(spark, folder):
     view = worksheet(table(spark, folder, "customer"), ["c_mktsegment"], row_count())
     shares = percent_of_total(view, "n", "share", [])
     return shares.withColumn("share", F.round("share", 6)).where("n > 290")
+
+
+@query("""
+    WITH j AS (SELECT o_orderstatus, o_orderpriority, c_mktsegment, CAST(year(o_orderdate) AS INTEGER) AS yr,
+                      coalesce(o_orderstatus IN ('F', 'P'), false) AS a, coalesce(c_mktsegment = 'BUILDING', false) AS b, coalesce(o_totalprice > 100000, false) AS c
+               FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT 'o_orderstatus' AS control, o_orderstatus AS value, count(*) AS total_rows, count(*) FILTER (WHERE b AND c) AS associated_rows FROM j GROUP BY 2
+    UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*), count(*) FILTER (WHERE a AND c) FROM j GROUP BY 2
+    UNION ALL SELECT 'yr', CAST(yr AS VARCHAR), count(*), count(*) FILTER (WHERE a AND b) FROM j GROUP BY 2
+    UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), count(*) FILTER (WHERE a AND b AND c) FROM j GROUP BY 2
+""")
+def associativity_all(spark, folder):
+    """Four filter controls, each counted under the choices of the others."""
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).withColumn("yr", F.year("o_orderdate"))
+    return f.associativity(
+        rows,
+        {
+            "o_orderstatus": f.isin_members(F.col("o_orderstatus"), ["F", "P"]),
+            "c_mktsegment": F.col("c_mktsegment") == "BUILDING",
+            "yr": F.col("o_totalprice") > 100000,  # any predicate may stand behind a control
+            "o_orderpriority": None,
+        },
+    )

@@ -145,3 +145,44 @@ def cohort_first_year(spark, folder):
             "total": F.round(F.sum("o_totalprice"), 2),
         },
     )
+
+
+@query("""
+    WITH j AS (SELECT r_name, n_name, CAST(year(o_orderdate) AS INTEGER) AS yr, o_custkey, o_totalprice
+               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+         v AS (SELECT r_name, yr, sum(o_totalprice) AS sales, count(o_custkey) AS n FROM j GROUP BY ALL),
+         r AS (SELECT r_name AS r, avg(o_totalprice) AS region_avg FROM j GROUP BY 1), y AS (SELECT yr AS y, max(o_totalprice) AS year_max FROM j GROUP BY 1),
+         n AS (SELECT r_name AS nr, yr AS ny, max(s) AS best_nation FROM (SELECT r_name, yr, n_name, t.s FROM (SELECT DISTINCT r_name, yr, n_name FROM j) JOIN
+               (SELECT n_name AS nn, yr AS nyr, sum(o_totalprice) AS s FROM j GROUP BY ALL) t ON n_name = nn AND yr = nyr) GROUP BY ALL),
+         c AS (SELECT r_name AS cr, yr AS cy, avg(s) AS customer_avg FROM (SELECT DISTINCT r_name, yr, o_custkey FROM j) JOIN
+               (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM j GROUP BY 1) ON o_custkey = k GROUP BY ALL)
+    SELECT r_name, yr, round(sales, 2) AS sales, n, round(region_avg, 4) AS region_avg, year_max, (SELECT min(o_totalprice) FROM j) AS least,
+           round(best_nation, 2) AS best_nation, round(customer_avg, 2) AS customer_avg
+    FROM v JOIN r ON r_name = r JOIN y ON yr = y JOIN n ON r_name = nr AND yr = ny JOIN c ON r_name = cr AND yr = cy
+""")
+def many_levels(spark, folder):
+    """Seven values at six grains over one scan of the rows."""
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    rows = (
+        orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumn("yr", F.year("o_orderdate"))
+    )
+    price = "o_totalprice"
+    view = lod.levels(
+        rows,
+        ["r_name", "yr"],
+        {
+            "sales": lod.Level(("r_name", "yr"), "sum", price),
+            "n": lod.Level(("r_name", "yr"), "count", "o_custkey"),
+            "region_avg": lod.Level(("r_name",), "avg", price),
+            "year_max": lod.Level(("yr",), "max", price),
+            "least": lod.Level((), "min", price),
+            "best_nation": lod.Level(("n_name", "yr"), "sum", price, outer="max"),
+            "customer_avg": lod.Level(("o_custkey",), "sum", price, outer="avg"),
+        },
+    )
+    two = {c: F.round(c, 2) for c in ("sales", "best_nation", "customer_avg")}
+    return view.withColumns({**two, "region_avg": F.round("region_avg", 4)})

@@ -162,3 +162,25 @@ def top_in_group(spark, folder):
 def rank_filter(spark, folder):
     ranked = join_rank_back(table(spark, folder, "part"), "p_type", F.round(F.sum("p_retailprice"), 2), "type_rank")
     return worksheet(ranked, ["p_type", "type_rank"], {"n": F.count(F.lit(1))}, [F.col("type_rank") <= 3])
+
+
+@query("""
+    WITH a AS (SELECT o_orderpriority, CAST(sum(o_totalprice) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1),
+         g AS (SELECT n_name, CAST(sum(c_acctbal) AS DOUBLE) AS balance, CAST(count(*) AS DOUBLE) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+         t AS (SELECT * FROM g ORDER BY balance + n DESC, n_name LIMIT 15)
+    SELECT 'pivot' AS layout, o_orderpriority AS member, 'Total Price' AS Metric, round(total, 2) AS Value FROM a UNION ALL SELECT 'pivot', o_orderpriority, 'N', n FROM a
+    UNION ALL SELECT 'geo_bar', n_name, 'Balance', round(balance, 2) FROM t UNION ALL SELECT 'geo_bar', n_name, 'N', n FROM t
+""")
+def measure_layouts(spark, folder):
+    """Measure names on a shelf become a pivot, a map of two measures bars over its other dimension."""
+    orders, customer, nation = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
+    pivot = reshape.measures_view(
+        orders, "bar", ["o_orderpriority"], {"Total_Price": F.sum("o_totalprice"), "N": F.count(F.lit(1))}, measure_names=True
+    )
+    people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    bars = reshape.measures_view(
+        people, "map", ["n_name", "c_nationkey"], {"Balance": F.sum("c_acctbal"), "N": F.count(F.lit(1))}, geo=["c_nationkey"]
+    )
+    parts = [pivot.select(F.lit("pivot").alias("layout"), F.col("o_orderpriority").alias("member"), "Metric", F.round("Value", 2).alias("Value"))]
+    parts.append(bars.select(F.lit("geo_bar").alias("layout"), F.col("n_name").alias("member"), "Metric", F.round("Value", 2).alias("Value")))
+    return parts[0].union(parts[1])

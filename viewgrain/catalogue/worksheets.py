@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from viewgrain.catalogue import query, table
 from viewgrain.functions.dates import date_part, date_trunc
 from viewgrain.functions.numbers import bin_numeric
-from viewgrain.operators.filters import date_range, in_range, isin_members
+from viewgrain.operators.filters import date_range, entitlement_filter, in_range, isin_members, user_domain
 from viewgrain.operators.joins import (
     Model,
     blend,
@@ -20,6 +21,8 @@ from viewgrain.operators.joins import (
 )
 from viewgrain.operators.reshape import group_members, recode, recode_from, set_flag
 from viewgrain.operators.view import detail, manual_order, top_rows, with_calc, worksheet
+from viewgrain.plans.settle import settle
+from viewgrain.sources import create_table_as, custom_query, read_table
 
 
 def revenue():
@@ -131,6 +134,37 @@ def model_keep_unmatched(spark, folder):
     )
 
 
+@query("""
+    SELECT n_name, count(*) AS n, count(DISTINCT c_custkey) AS customers, round(sum(l_extendedprice), 2) AS sales
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey AND c_nationkey = n_nationkey GROUP BY 1
+""")
+def model_circle(spark, folder):
+    names = ["lineitem", "orders", "customer", "supplier", "nation"]
+    model = Model("lineitem", {name: table(spark, folder, name) for name in names})
+    model.relate("lineitem", "orders", {"l_orderkey": "o_orderkey"}).relate("orders", "customer", {"o_custkey": "c_custkey"})
+    model.relate("lineitem", "supplier", {"l_suppkey": "s_suppkey"}).relate("supplier", "nation", {"s_nationkey": "n_nationkey"})
+    model.relate("customer", "nation", {"c_nationkey": "n_nationkey"})
+    measures = {"n": F.count(F.lit(1)), "customers": F.count_distinct("c_custkey"), "sales": F.round(F.sum("l_extendedprice"), 2)}
+    return worksheet(model.view(["n_name", "c_custkey", "l_extendedprice"]), ["n_name"], measures)
+
+
+@query("""
+    SELECT p_brand, n_name, count(*) AS n, count(DISTINCT s_suppkey) AS suppliers, round(sum(l_quantity), 2) AS qty
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey AND p_size = n_nationkey GROUP BY ALL
+""")
+def model_many_to_many_circle(spark, folder):
+    """Parts of a size for each nation: many parts to a nation, many suppliers to it."""
+    names = ["lineitem", "part", "supplier", "nation"]
+    model = Model("lineitem", {name: table(spark, folder, name) for name in names})
+    model.relate("lineitem", "part", {"l_partkey": "p_partkey"}).relate("part", "nation", {"p_size": "n_nationkey"})
+    model.relate("lineitem", "supplier", {"l_suppkey": "s_suppkey"}).relate("supplier", "nation", {"s_nationkey": "n_nationkey"})
+    rows = model.view(["p_brand", "n_name", "s_suppkey", "l_quantity"])
+    measures = {"n": F.count(F.lit(1)), "suppliers": F.count_distinct("s_suppkey"), "qty": F.round(F.sum("l_quantity"), 2)}
+    return worksheet(rows, ["p_brand", "n_name"], measures)
+
+
 @query("""
     SELECT l_returnflag, count(*) AS n, CAST(sum(lines) AS BIGINT) AS lines
     FROM lineitem JOIN (SELECT l_partkey AS p, l_suppkey AS s, count(*) AS lines FROM lineitem GROUP BY ALL)
@@ -389,3 +423,50 @@ def global_aggregate(spark, folder):
             "first_date": F.min("o_orderdate"),
         },
     )
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE CAST(o_orderdate AS DATE) < current_date) AS before_today FROM orders WHERE o_orderdate <= now() GROUP BY 1")
+def today_and_now(spark, folder):
+    orders = table(spark, folder, "orders").where(F.col("o_orderdate") <= F.current_timestamp())
+    past = F.count_if(F.col("o_orderdate").cast("date") < F.current_date())
+    return worksheet(orders, ["o_orderstatus"], {"n": F.count(F.lit(1)), "before_today": past})
+
+
+@query("""
+    SELECT n_name, count(*) AS customers, 'corp.example' AS domain FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE n_name LIKE 'N%' OR n_nationkey % 5 = 1 GROUP BY 1
+""")
+def user_functions(spark, folder):
+    """Rows that a user or one of their groups may see, with the domain of the user's name."""
+    nation = table(spark, folder, "nation")
+    who = F.when(F.col("n_name").startswith("N"), "ann@corp.example").when(F.col("n_nationkey") % 5 == 1, "asia-sales").otherwise("bob@corp.example")
+    grants = nation.select(who.alias("principal"), F.col("n_name").alias("n_name"))
+    rows = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    seen = entitlement_filter(rows, "n_name", grants, "ann@corp.example", ["asia-sales"])
+    return worksheet(seen, ["n_name"], {"customers": F.count(F.lit(1))}).withColumn("domain", user_domain("ann@corp.example"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
+def table_round_trip(spark, folder):
+    """A managed table, written once and left alone the second time, read by its name."""
+    name = f"viewgrain_{uuid.uuid4().hex}"
+    customer = table(spark, folder, "customer")
+    create_table_as(customer, name)
+    create_table_as(customer.limit(0), name)
+    measures = {"n": F.count(F.lit(1)), "balance": F.round(F.sum("c_acctbal"), 2)}
+    kept = settle(worksheet(read_table(spark, name), ["c_mktsegment"], measures))
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+@query("""
+    (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+    EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT -1 - c_custkey FROM customer WHERE c_acctbal < 0
+""")
+def custom_set_operations(spark, folder):
+    sql = """
+        (SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = :one INTERSECT SELECT o_custkey FROM {orders} WHERE o_orderstatus = :other)
+        EXCEPT SELECT c_custkey FROM {customer} WHERE c_mktsegment = :segment UNION SELECT -1 - c_custkey FROM {customer} WHERE c_acctbal < 0
+    """
+    args = {"one": "F", "other": "O", "segment": "BUILDING"}
+    return custom_query(spark, sql, args, orders=table(spark, folder, "orders"), customer=table(spark, folder, "customer"))

@@ -81,42 +81,44 @@ DATE_PATTERNS = [
     r"(?:^|[_\s])start[_\s]?date$",
     r"(?:^|[_\s])end[_\s]?date$",
 ]
-# Words that mark a label or category, whole between separators.
-TEXT_WORDS = [
-    "name",
-    "description",
-    "desc",
-    "comments?",
-    "notes?",
-    "label",
-    "title",
-    "address",
-    "city",
-    "state",
-    "country",
-    "region",
+# Patterns of names that mark a label or a category.
+TEXT_PATTERNS = [
+    r"(?:^|[_\s])name(?:[_\s]|$)",
+    r"(?:^|[_\s])description(?:[_\s]|$)",
+    r"(?:^|[_\s])desc(?:[_\s]|$)",
+    r"(?:^|[_\s])comment(?:s)?(?:[_\s]|$)",
+    r"(?:^|[_\s])note(?:s)?(?:[_\s]|$)",
+    r"(?:^|[_\s])label(?:[_\s]|$)",
+    r"(?:^|[_\s])title(?:[_\s]|$)",
+    r"(?:^|[_\s])address(?:[_\s]|$)",
+    r"(?:^|[_\s])city(?:[_\s]|$)",
+    r"(?:^|[_\s])state(?:[_\s]|$)",
+    r"(?:^|[_\s])country(?:[_\s]|$)",
+    r"(?:^|[_\s])region(?:[_\s]|$)",
 ]
-DIMENSION_WORDS = [
-    "category",
-    "type",
-    "class",
-    "status",
-    "gender",
-    "segment",
-    "group",
-    "tier",
-    "level",
-    "zone",
-    "color",
-    "make",
-    "model",
-    "brand",
-    "marital",
-    "education",
-    "occupation",
-    "coverage",
-    "use",
-    "parent",
+DIMENSION_PATTERNS = [
+    r"(?:^|[_\s])category(?:[_\s]|$)",
+    r"(?:^|[_\s])type(?:[_\s]|$)",
+    r"(?:^|[_\s])class(?:[_\s]|$)",
+    r"(?:^|[_\s])status(?:[_\s]|$)",
+    r"(?:^|[_\s])gender(?:[_\s]|$)",
+    r"(?:^|[_\s])segment(?:[_\s]|$)",
+    r"(?:^|[_\s])group(?:[_\s]|$)",
+    r"(?:^|[_\s])tier(?:[_\s]|$)",
+    r"(?:^|[_\s])level(?:[_\s]|$)",
+    r"(?:^|[_\s])zone(?:[_\s]|$)",
+    r"(?:^|[_\s])color(?:[_\s]|$)",
+    r"(?:^|[_\s])make(?:[_\s]|$)",
+    r"(?:^|[_\s])model(?:[_\s]|$)",
+    r"(?:^|[_\s])brand(?:[_\s]|$)",
+    r"(?:^|[_\s])marital(?:[_\s]|$)",
+    r"(?:^|[_\s])education(?:[_\s]|$)",
+    r"(?:^|[_\s])occupation(?:[_\s]|$)",
+    r"(?:^|[_\s])coverage(?:[_\s]|$)",
+    r"(?:^|[_\s])use(?:[_\s]|$)",
+    r"(?:^|[_\s])parent(?:[_\s]|$)",
+    r"(?:^|[_\s])true$",
+    r"(?:^|[_\s])false$",
 ]
 # Datatype names per class.
 DATE_TYPES = ["date", "datetime", "timestamp", "time"]
@@ -142,10 +144,6 @@ def _any(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def _words(words: list[str]) -> str:
-    return r"(?i)(?:^|[_\s])(?:" + "|".join(words) + r")(?:[_\s]|$)"
-
-
 def semantic_class(
     field: Column, datatype: Column, role: Column, aggregation: Column, semantic_role: Column
 ) -> Column:
@@ -156,9 +154,7 @@ def semantic_class(
     side = F.lower(F.trim(F.coalesce(role, F.lit(""))))
     agg = F.upper(F.trim(F.coalesce(aggregation, F.lit(""))))
     counted = (side == "measure") & agg.isin(COUNT_AGGREGATIONS)
-    category = name.rlike(_words(TEXT_WORDS)) | name.rlike(
-        _words(DIMENSION_WORDS) + r"|(?:^|[_\s])(?:true|false)$"
-    )
+    category = name.rlike(_any(TEXT_PATTERNS + DIMENSION_PATTERNS))
     return (
         F.when(name == "", "DIMENSION")
         .when(F.coalesce(semantic_role, F.lit("")).rlike("|".join(GEO_ROLES)), "DIMENSION")

@@ -64,14 +64,15 @@ def _by_table_name(columns: DataFrame) -> DataFrame:
         F.expr("left(lower(column_name), length(column_name) - 3)").alias("ref"),
     )
     # The ways to refer to a table: its name, its plural, and its singular, in that order.
-    # They are spelled out per table, so each column needs one lookup.
+    # They are spelled out per table, so each column needs one lookup. Of tables named alike
+    # but for case, the first by name is taken.
     table = F.col("to_lower")
     singular = F.when(table.endswith("s"), F.expr("left(to_lower, length(to_lower) - 1)"))
     forms = [table, F.concat(table, F.lit("s")), singular]
     spelled = F.array(*[F.struct(F.lit(i).alias("turn"), f.alias("ref")) for i, f in enumerate(forms)])
     target = F.struct("to_table", "id_column", "own_column", "first_key")
     named = _target_columns(columns).withColumn("form", F.explode(spelled)).where("form.ref IS NOT NULL")
-    first = named.groupBy(F.col("form.ref").alias("ref")).agg(F.min_by(target, "form.turn").alias("t"))
+    first = named.groupBy(F.col("form.ref").alias("ref")).agg(F.min_by(target, F.struct("form.turn", "to_table")).alias("t"))
     referring = wanted.join(first, "ref").select("from_table", "from_column", "t.*")
     referring = referring.where("to_table <> from_table")
     same = columns.select(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewgrain.functions.logic import safe_div
-from viewgrain.plans.keys import attach, group
+from viewgrain.plans.keys import attach, group, null_safe_join
 from viewgrain.plans.ordered import Order, position, running
 from viewgrain.plans.settle import block_rows, is_small, settle
 
@@ -198,3 +199,52 @@ def pivot_sets(
         level.alias("level"), *[m.alias(n) for n, m in measures.items()]
     )
 
+
+def distinct_counts(
+    df: DataFrame, sets: Sequence[Sequence[str]], columns: Mapping[str, str], level: str = "set"
+) -> DataFrame:
+    """COUNTD at several grains: (dims, ``level``, counts), ``level`` the place in ``sets``.
+
+    A cascade: the distinct pairs of the finest grain and a value are written once, those of
+    each coarser grain come from the smallest written grain above it. So raw rows are read
+    once per column and never multiplied by the number of grains. NULL values do not count;
+    dims that a grain lacks are NULL.
+    """
+    dims = list(dict.fromkeys(d for s in sets for d in s))
+    out: DataFrame | None = None
+    for name, column in columns.items():
+        pairs: dict[frozenset[str], DataFrame] = {}
+        parts = []
+        for place, keys in sorted(enumerate(sets), key=lambda s: -len(s[1])):
+            want = frozenset(keys)
+            if want not in pairs:
+                above = min((g for g in pairs if g > want), key=len, default=None)
+                source = pairs[above] if above is not None else df.select(*dims, F.col(f"`{column}`").alias("__value"))
+                pairs[want] = settle(source.select(*[d for d in dims if d in want], "__value").distinct())
+            counted = group(pairs[want], [d for d in dims if d in want], F.count("__value").alias(name))
+            absent = {d: F.lit(None).cast(df.schema[d].dataType) for d in dims if d not in want}
+            parts.append(counted.withColumns({**absent, level: F.lit(place)}).select(*dims, level, name))
+        counts = reduce(DataFrame.unionByName, parts)
+        out = counts if out is None else null_safe_join(out, counts, [*dims, level])
+    return out
+
+
+def rollup_distinct(
+    df: DataFrame, hierarchy: Sequence[str], measures: Mapping[str, Column], distinct: Mapping[str, str]
+) -> DataFrame:
+    """``rollup_totals`` with COUNTD measures ``{name: column}`` beside the additive ones."""
+    depth = len(hierarchy)
+    sets = [list(hierarchy[: depth - i]) for i in range(depth + 1)]
+    counts = distinct_counts(df, sets, distinct).withColumn("level", F.lit(depth) - F.col("set")).drop("set")
+    return null_safe_join(rollup_totals(df, hierarchy, measures), counts, [*hierarchy, "level"])
+
+
+def pivot_distinct(
+    df: DataFrame, rows: Sequence[str], cols: Sequence[str], measures: Mapping[str, Column], distinct: Mapping[str, str]
+) -> DataFrame:
+    """``pivot_sets`` with COUNTD measures ``{name: column}`` beside the additive ones."""
+    sets = [[*rows, *cols], list(rows), list(cols), []]
+    counts = distinct_counts(df, sets, distinct)
+    names = F.array(*[F.lit(n) for n in ("cell", "row_total", "column_total", "grand_total")])
+    counts = counts.withColumn("level", F.element_at(names, F.col("set") + 1)).drop("set")
+    return null_safe_join(pivot_sets(df, rows, cols, measures), counts, [*rows, *cols, "level"])

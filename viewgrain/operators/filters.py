@@ -221,6 +221,37 @@ def filter_associativity(df: DataFrame, col: str, other: Sequence[Column]) -> Da
     )
 
 
+def associativity(df: DataFrame, controls: Mapping[str, Column | None]) -> DataFrame:
+    """(control, value, total_rows, associated_rows) for the values of every filter control.
+
+    ``controls`` gives the column of each control and its predicate, None where nothing is
+    chosen. A row counts as associated with its value of a control if it passes all *other*
+    filters. One scan: each row notes the filters it fails in a bit mask and is counted once
+    per control, map-side, so only counts are shuffled. A predicate that is NULL fails;
+    values are given as text.
+    """
+    names = list(controls)
+    if len(names) > 63:
+        raise ValueError("at most 63 controls fit a bit mask")
+    chosen = {i: controls[c] for i, c in enumerate(names) if controls[c] is not None}
+    failed = F.lit(0).cast("long")
+    for i, passes in chosen.items():
+        failed = failed + F.when(F.coalesce(passes, F.lit(False)), 0).otherwise(1 << i).cast("long")
+    marked = df.select(*[F.col(f"`{c}`").cast("string").alias(f"__c{i}") for i, c in enumerate(names)], failed.alias("__failed"))
+    seen = [
+        F.struct(
+            F.lit(c).alias("control"),
+            F.col(f"__c{i}").alias("value"),
+            (F.col("__failed").bitwiseAND(F.lit(~(1 << i)).cast("long")) == 0).alias("passes"),
+        )
+        for i, c in enumerate(names)
+    ]
+    rows = marked.select(F.explode(F.array(*seen)).alias("s")).select("s.*")
+    return rows.groupBy("control", "value").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if("passes").alias("associated_rows")
+    )
+
+
 def cross_filter(frames: Mapping[str, DataFrame], selection: Mapping[str, Iterable]) -> dict[str, DataFrame]:
     """Apply one selection to every dataset that carries the selected fields."""
     return {

@@ -18,6 +18,8 @@ from viewgrain.plans.keys import attach_constants, null_safe_join
 from viewgrain.plans.ordered import Order, position
 from viewgrain.plans.settle import settle
 
+#: Parent, child and their pairs of key columns.
+Step = tuple[str, str, list[tuple[str, str]]]
 JOIN_KINDS = ("inner", "left", "right", "full")
 _TILE_BASE = 4.0
 
@@ -49,34 +51,55 @@ class Model:
     def view(self, fields: Iterable[str]) -> DataFrame:
         """The base table joined to every table on the way to one of ``fields``.
 
-        Several relationships between the same two tables must all hold. Relationships that
-        form a circle and a field of a table that none reaches are refused. A field of the base
-        is taken from there; one that several other tables have is refused unless they are
-        related on it.
+        Several relationships between the same two tables must all hold. The relationships
+        reached first make up a tree; one more between two tables of the view closes a circle
+        and must hold as well: it joins the key of whichever table comes later, so no join
+        is wider than its result. Where there is a circle and unmatched rows go, tables are
+        first reduced to the rows that have partners all along the tree, which is what keeps
+        a many-to-many step small. A circle through a table the view does not use is not
+        asked for. A field of a table that no relationship reaches is refused. A field of the
+        base is taken from there; one that several other tables have is refused unless they
+        are related on it.
         """
         fields = list(dict.fromkeys(fields))
-        steps = self._steps()
-        needed = {self._owner(f) for f in fields} - {self.base}
+        steps, closing = self._steps()
+        owners = {f: self._owner(f) for f in fields}
+        needed = set(owners.values()) - {self.base}
         lost = needed - {child for _, child, _ in steps}
         if lost:
             raise ValueError(f"no relationship leads from {self.base!r} to {sorted(lost)}")
         for parent, child, _ in reversed(steps):
             if child in needed and parent != self.base:
                 needed.add(parent)
-        joined = self.tables[self.base]
-        for _, child, pairs in steps:
-            if child in needed:
-                joined = self._attach(joined, child, pairs)
-        return joined.select(*fields)
-
-    def _attach(self, joined: DataFrame, child: str, pairs: list[tuple[str, str]]) -> DataFrame:
+        steps = [step for step in steps if step[1] in needed]
+        met = needed | {self.base}
+        closing = [edge for edge in closing if edge[0] in met and edge[1] in met]
+        tables = {name: self.tables[name] for name in met}
+        if closing and not self.keep_unmatched:
+            tables = _reduced(tables, steps)
+        names = {(self.base, c): c for c in tables[self.base].columns}
+        joined, there = tables[self.base], {self.base}
+        for parent, child, pairs in steps:
+            there.add(child)
+            on = [(parent, l, r) for l, r in pairs]
+            for one, other, more in closing:
+                if child == other and one in there:
+                    on += [(one, l, r) for l, r in more]
+                elif child == one and other in there:
+                    on += [(other, r, l) for l, r in more]
+            joined = self._attach(joined, names, tables[child], child, on)
+        return joined.select(*[F.col(f"`{names[owners[f], f]}`").alias(f) for f in fields])
+
+    def _attach(
+        self, joined: DataFrame, names: dict[tuple[str, str], str], right: DataFrame, child: str, on: list[tuple[str, str, str]]
+    ) -> DataFrame:
         # A column name that is already there stays with the table joined before.
-        right = self.tables[child]
         taken = {c: f"__{child}_{c}" for c in right.columns if c in joined.columns}
+        names |= {(child, c): taken.get(c, c) for c in right.columns}
         right = right.withColumnsRenamed(taken)
-        on = [joined[l] == right[taken.get(r, r)] for l, r in pairs]
+        equal = [joined[names[table, l]] == right[names[child, r]] for table, l, r in on]
         how = "left" if self.keep_unmatched else "inner"
-        return joined.join(right, reduce(Column.__and__, on), how).drop(*taken.values())
+        return joined.join(right, reduce(Column.__and__, equal), how)
 
     def _owner(self, name: str) -> str:
         owners = [table for table, df in self.tables.items() if name in df.columns]
@@ -92,23 +115,50 @@ class Model:
             raise ValueError(f"{name!r} is a column of several tables: {owners}")
         return owners[0]
 
-    def _steps(self) -> list[tuple[str, str, list[tuple[str, str]]]]:
-        """(parent, child, key pairs) in an order that attaches each table to one joined before."""
+    def _steps(self) -> tuple[list[Step], list[Step]]:
+        """(parent, child, key pairs) in an order that attaches each table to one joined before,
+        and the relationships that close a circle."""
         related: dict[frozenset[str], tuple[str, str, list[tuple[str, str]]]] = {}
         for one, other, keys in self.edges:
             first, _, pairs = related.setdefault(frozenset((one, other)), (one, other, []))
             pairs.extend(keys.items() if first == one else [(r, l) for l, r in keys.items()])
-        reached, steps, waiting = {self.base}, [], list(related.values())
+        reached, steps, closing, waiting = {self.base}, [], [], list(related.values())
         while near := [e for e in waiting if e[0] in reached or e[1] in reached]:
             one, other, pairs = near[0]
             waiting.remove(near[0])
             if one in reached and other in reached:
-                raise ValueError(f"the relationship of {one!r} and {other!r} closes a circle")
+                closing.append((one, other, pairs))
+                continue
             if other in reached:
                 one, other, pairs = other, one, [(r, l) for l, r in pairs]
             steps.append((one, other, pairs))
             reached.add(other)
-        return steps
+        return steps, closing
+
+
+def _reduced(tables: dict[str, DataFrame], steps: list[Step]) -> dict[str, DataFrame]:
+    """The tables without the rows that find no partner along the tree of ``steps``.
+
+    Semi-joins on distinct keys, from the leaves to the base and back; the base itself, the
+    largest table as a rule, is only read.
+    """
+    out = dict(tables)
+
+    def keep(name: str, own: list[str], by: DataFrame, keys: list[str]) -> None:
+        marked = [f"__key_{i}" for i in range(len(keys))]
+        partners = by.select(*[F.col(f"`{k}`").alias(m) for k, m in zip(keys, marked)]).distinct()
+        equal = [out[name][c] == partners[m] for c, m in zip(own, marked)]
+        out[name] = out[name].join(partners, reduce(Column.__and__, equal), "left_semi")
+
+    parents = {parent for parent, _, _ in steps}
+    base = next((p for p, _, _ in steps if p not in {c for _, c, _ in steps}), None)
+    for parent, child, pairs in reversed(steps):
+        if parent != base:
+            keep(parent, [l for l, _ in pairs], out[child], [r for _, r in pairs])
+    for parent, child, pairs in steps:
+        if child in parents:  # a leaf meets only rows that join it anyway
+            keep(child, [r for _, r in pairs], out[parent], [l for l, _ in pairs])
+    return out
 
 
 def lookup_join(

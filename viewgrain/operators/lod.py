@@ -9,10 +9,12 @@ size, and joins a small one without shuffling the source.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewgrain.functions.logic import safe_div
 from viewgrain.operators.view import Dims, named, worksheet
 from viewgrain.plans.keys import attach, group
 from viewgrain.plans.settle import is_small, settle
@@ -71,6 +73,74 @@ def fixed_in_view(
     return group(attach(members, values, fixed_dims), view_dims, outer(F.col("__fixed")).alias(name))
 
 
+@dataclass(frozen=True)
+class Level:
+    """A value at the grain of ``dims``: sum, count, min, max or avg of ``value``.
+
+    In a view that lacks some of the dims, ``outer`` (one of the same) aggregates it again,
+    each of its members counting once per cell.
+    """
+
+    dims: tuple[str, ...]
+    kind: str
+    value: str
+    outer: str | None = None
+
+
+_PARTS = {"sum": ("sum",), "count": ("count",), "min": ("min",), "max": ("max",), "avg": ("sum", "count")}
+_AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
+_AGAIN = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def levels(df: DataFrame, view_dims: Dims, wanted: Mapping[str, Level]) -> DataFrame:
+    """The view at ``view_dims`` with any number of values at grains of their own.
+
+    The source is read once, into a settled table at the union of all grains. From there
+    every grain is rolled up from the smallest one above it that is there already, as sums,
+    counts and extremes of parts are those of the whole. COUNTD and percentiles are not, and
+    are refused. Dimensions that a level names and the view does not are columns of ``df``.
+    """
+    view = [n for n, _ in named(view_dims)]
+    unknown = {k for level in wanted.values() for k in (level.kind, level.outer) if k is not None} - set(_PARTS)
+    if unknown:
+        raise ValueError(f"not aggregates that add up: {sorted(unknown)}")
+    extra = [d for level in wanted.values() for d in level.dims if d not in view]
+    finest = [*view, *dict.fromkeys(extra)]
+    parts = {(p, level.value): i for i, (p, level) in enumerate((p, lv) for lv in wanted.values() for p in _PARTS[lv.kind])}
+    values = [F.col(f"`{v}`").alias(f"__of_{v}") for v in dict.fromkeys(v for _, v in parts)]
+    base = df.select(*[c.alias(n) for n, c in named([*view_dims, *dict.fromkeys(extra)])], *values)
+    grains = {frozenset(finest): settle(group(base, finest, *[_AGGREGATE[p](f"__of_{v}").alias(f"__p{i}") for (p, v), i in parts.items()]))}
+
+    def grain(dims: Sequence[str]) -> DataFrame:
+        want = frozenset(dims)
+        if want not in grains:
+            above = min((g for g in grains if g > want), key=len)
+            again = [_AGAIN[p](f"__p{i}").alias(f"__p{i}") for (p, _), i in parts.items()]
+            grains[want] = settle(group(grains[above], [d for d in finest if d in want], *again))
+        return grains[want]
+
+    def value(level: Level) -> Column:
+        own = [F.col(f"__p{parts[p, level.value]}") for p in _PARTS[level.kind]]
+        return safe_div(own[0].cast("double"), own[1]) if level.kind == "avg" else own[0]
+
+    # The finest first, so that each is there for those below it.
+    for level in sorted(wanted.values(), key=lambda lv: -len(lv.dims)):
+        grain(level.dims)
+    out = grain(view).select(*view)
+    for name, level in wanted.items():
+        dims = [d for d in finest if d in level.dims]
+        at = grain(dims).select(*dims, value(level).alias(name))
+        if set(dims) <= set(view):
+            out = attach(out, at, dims)
+            continue
+        if level.outer is None:
+            raise ValueError(f"{name!r} is finer than the view and needs an outer aggregate")
+        cells = grain([*view, *dims]).select(*[d for d in finest if d in {*view, *dims}])
+        again = attach(cells, at.withColumnRenamed(name, "__fixed"), dims)
+        out = attach(out, group(again, view, _AGGREGATE[level.outer]("__fixed").alias(name)), view)
+    return out
+
+
 def nested(
     df: DataFrame, steps: Sequence[tuple[Sequence[str], Mapping[str, Column]]]
 ) -> DataFrame:

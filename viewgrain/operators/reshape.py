@@ -28,6 +28,41 @@ def _long(wide: DataFrame, dims: Sequence[str], measures: Mapping[str, Column])
     return wide.unpivot([F.col(f"`{d}`") for d in dims], labels, "Metric", "Value")
 
 
+def measure_shape(chart: str, dims: Sequence[str], measures: Sequence[str], measure_names: bool, geo: Sequence[str] = ()) -> str:
+    """How a view of several measures is laid out: ``wide``, ``pivot`` or ``geo_bar``.
+
+    With the names of two or more measures on a shelf and a dimension beside them, they
+    become rows and a pivot shows them (``unpivot_measures``). A map of two or more measures
+    becomes bars over its dimensions other than ``geo``, the coordinates (``unpivot_top``).
+    All else stays as wide as it is; one measure is never unpivoted.
+    """
+    if len(measures) < 2:
+        return "wide"
+    if measure_names and dims:
+        return "pivot"
+    if chart == "map" and [d for d in dims if d not in geo]:
+        return "geo_bar"
+    return "wide"
+
+
+def measures_view(
+    df: DataFrame,
+    chart: str,
+    dims: Sequence[str],
+    measures: Mapping[str, Column],
+    measure_names: bool = False,
+    geo: Sequence[str] = (),
+    top: int = 15,
+) -> DataFrame:
+    """The rows of a view of several measures in the layout that ``measure_shape`` names."""
+    shape = measure_shape(chart, dims, list(measures), measure_names, geo)
+    if shape == "pivot":
+        return unpivot_measures(df, dims, measures)
+    if shape == "geo_bar":
+        return unpivot_top(df, [d for d in dims if d not in geo], measures, top)
+    return group(df, list(dims), *[m.alias(n) for n, m in measures.items()])
+
+
 def unpivot_measures(
     df: DataFrame, dims: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,10 @@ CATALOG_SCHEMA = T.StructType(
     ]
 )
 
+#: A column in the description of a table: name, type, nullable.
+_COLUMN_LINE = r"(?m)^ \|-- (.*): ([^:]+) \(nullable = (true|false)\)$"
+_SHORT_TYPES = {"byte": "tinyint", "short": "smallint", "integer": "int", "long": "bigint"}
+
 # Schemas that hold no user tables.
 SYSTEM_SCHEMAS = ("information_schema", "sys")
 
@@ -86,21 +91,42 @@ def safe_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def catalog_columns(spark: SparkSession) -> DataFrame:
-    """One row per column of every user table the session's catalog lists."""
-    catalog = spark.catalog.currentCatalog()
-    rows = []
-    for database in spark.catalog.listDatabases():
-        if database.name.lower() in SYSTEM_SCHEMAS:
-            continue
-        for table in spark.catalog.listTables(database.name):
-            full = table.name if table.isTemporary else f"{database.name}.{table.name}"
-            columns = spark.catalog.listColumns(full)
-            rows += [
-                (catalog, database.name, table.name, c.name, c.dataType, c.nullable, i)
-                for i, c in enumerate(columns, 1)
-            ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+def catalog_columns(spark: SparkSession, catalogs: Iterable[str] | None = None) -> DataFrame:
+    """One row per column of every user table: of all catalogs the session lists, or of some.
+
+    A schema is asked once for all its tables; their descriptions are taken apart by Spark.
+    Temporary views come without catalog and schema. A nested type is given by its kind.
+    """
+    listed = [c.name for c in spark.catalog.listCatalogs()] if catalogs is None else list(catalogs)
+    parts = []
+    for catalog in listed:
+        for schema in [r[0] for r in spark.sql(f"SHOW SCHEMAS IN {_quoted(catalog)}").collect()]:
+            if schema.lower() not in SYSTEM_SCHEMAS:
+                tables = spark.sql(f"SHOW TABLE EXTENDED IN {_quoted(catalog)}.{_quoted(schema)} LIKE '*'")
+                parts.append(tables.select(F.lit(catalog).alias("catalog"), F.lit(schema).alias("schema"), "*"))
+    if not parts:
+        return spark.createDataFrame([], CATALOG_SCHEMA)
+    tables = reduce(DataFrame.unionByName, parts)
+    own = lambda c: F.when(~F.col("isTemporary"), F.col(c))
+    columns = F.transform(
+        F.regexp_extract_all("information", F.lit(_COLUMN_LINE), 0),
+        lambda c, i: F.struct(
+            F.regexp_extract(c, _COLUMN_LINE, 1).alias("column_name"),
+            F.regexp_extract(c, _COLUMN_LINE, 2).alias("data_type"),
+            (F.regexp_extract(c, _COLUMN_LINE, 3) == "true").alias("nullable"),
+            (i + 1).alias("position"),
+        ),
+    )
+    rows = tables.select(
+        own("catalog").alias("catalog_name"), own("schema").alias("schema_name"), F.col("tableName").alias("table_name"),
+        F.explode(columns).alias("c"),
+    ).select("catalog_name", "schema_name", "table_name", "c.*").distinct()  # every schema lists the temporary views
+    short = F.create_map(*[F.lit(x) for pair in _SHORT_TYPES.items() for x in pair])
+    return rows.withColumn("data_type", F.coalesce(F.try_element_at(short, F.col("data_type")), "data_type")).select(*CATALOG_SCHEMA.names)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def frame_columns(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
