@@ -6,8 +6,9 @@ from difflib import SequenceMatcher
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from viewgrain.metadata import fields, formulas, graph, inventory, keys, names
+from viewgrain.metadata import depths, fields, formulas, graph, inventory, keys, names
 from viewgrain.operators.joins import Model, lookup_join, overlap_join
 
 
@@ -97,6 +98,83 @@ def test_levels_and_cycles_against_python(spark):
     assert {r.node for r in graph.cycles(edges_of(spark, looped)).collect()} == on_cycle
 
 
+def test_cycle_groups_against_python(spark):
+    """Rings, rings in a row, chains inside and between them, pointers at themselves, NULLs."""
+    rng = random.Random(3)
+    pairs = [(f"r{rng.randrange(30):02d}", f"r{rng.randrange(30):02d}") for _ in range(33)]
+    pairs += [(f"s{i:02d}", f"s{(i + 1) % 9:02d}") for i in range(9)] + [("s03", "r01"), ("r02", "t0"), ("t0", "t1"), ("t1", "u0")]
+    pairs += [("u0", "u1"), ("u1", "u2"), ("u2", "u0"), ("u1", "v"), ("v", "u0"), ("me", "me"), (None, "r00"), ("r00", None)]
+    nodes = {n for p in pairs for n in p if n}
+    reach = {n: {b for a, b in pairs if a == n and b} for n in nodes}
+    for _ in range(6):
+        for n in nodes:
+            reach[n] = reach[n].union(*[reach[m] for m in reach[n]])
+    want = sorted(((n, min(m for m in reach[n] if n in reach[m])) for n in nodes if n in reach[n]), key=repr)
+    assert rows(graph.cycle_groups(edges_of(spark, pairs))) == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Rounds by the logarithm of 10,000, for levels, and for a chain that is a ring."""
+    written = []
+    real = depths.settle
+    monkeypatch.setattr(depths, "settle", lambda df: written.append(1) or real(df))
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.topo_levels(chain, spark.range(10_000, 10_003))
+    assert got.where("level = node").count() == 10_001 and got.where("level = 0").count() == 3
+    assert len(written) < 40
+    ring = chain.select("src", (F.col("dst") % 10_000).alias("dst"))
+    assert graph.cycle_groups(ring).groupBy("cycle").count().collect() == [(0, 10_000)]
+    assert len(written) < 100
+
+
+def test_impact_past_the_plain_rounds(spark):
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("c05", "c30"), ("c33", "c02"), ("c40", "d"), ("x", "c20")]
+    got = dict(rows(graph.impact(edges_of(spark, chain), spark.createDataFrame([("c00",)], "n string"))))
+    want = {f"c{i:02d}": i if i < 30 else min(i, 6 + i - 30) for i in range(41)} | {"d": 17}
+    assert got == want
+
+
+def test_a_reference_is_resolved_in_its_own_source(spark):
+    def frame(data, schema):
+        return spark.createDataFrame(data, schema)
+
+    calcs = [("s1", "t", "a", "[b] + [c] + [a]"), ("s1", "t", "b", "1"), ("s2", "t", "b", "2"), ("s2", "t", "c", "3"), ("s3", "t", "c", "[b]")]
+    got = graph.lineage_edges(
+        frame([("s1", "t")], "source string, table string"),
+        frame([], "source string, table string, column string"),
+        frame(calcs, "source string, table string, calc string, formula string"),
+        frame([], "worksheet string, field string"),
+        frame([], "dashboard string, worksheet string"),
+    ).where("edge_type = 'calc_calc'")
+    assert rows(got.select("src", "dst")) == [("CF::s1::b", "CF::s1::a"), ("CF::s2::b", "CF::s3::c"), ("CF::s3::c", "CF::s1::a")]
+
+
+def test_tables_named_alike_but_for_case(spark):
+    columns = [("orders", "Cust_ID", False, 1), ("cust", "id", True, 1), ("Cust", "ID", True, 1), ("CUST", "Id", True, 1)]
+    frame = spark.createDataFrame(columns, "table_name string, column_name string, is_pk boolean, position int")
+    got = keys.infer_keys(frame).where("from_table = 'orders'").select("to_table", "to_column")
+    assert rows(got) == [("CUST", "Id")]
+
+
+def test_a_stored_diff_reads_only_what_differs(spark, tmp_path):
+    old = spark.range(500).selectExpr("IF(id = 9, NULL, id) AS k", "id % 7 AS v", "CAST(id AS string) AS s")
+    new = old.where("k IS NULL OR k <> 20").withColumn("v", F.when(F.col("k") == 30, 99).otherwise(F.col("v"))).union(
+        spark.createDataFrame([(1000, 1, "x")], "k long, v long, s string")
+    )
+    for name, df in (("old", old), ("new", new), ("wider", new.withColumn("more", F.lit(1)))):
+        inventory.store_snapshot(df, ["k"], str(tmp_path / name), 32)
+    got = inventory.stored_diff(spark, str(tmp_path / "old"), str(tmp_path / "new"), ["k"])
+    assert rows(got) == sorted([(20, "removed"), (30, "modified"), (1000, "added")], key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # Three keys, three of the thirty-two buckets at most: the scans are pruned to their folders.
+    listed = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)
+    assert len(listed) == 2 and all(len(re.findall(r"\d+", f.replace("#", "").split("IN", 1)[-1])) <= 8 and "__bucket" in f for f in listed)
+    assert rows(got) == rows(inventory.snapshot_diff(old, new, ["k"]))
+    same = inventory.stored_diff(spark, str(tmp_path / "old"), str(tmp_path / "old"), ["k"])
+    assert same.isEmpty()
+    assert inventory.stored_diff(spark, str(tmp_path / "old"), str(tmp_path / "wider"), ["k"]).count() == 501
+
+
 def test_levels_leave_out_what_a_cycle_feeds(spark):
     got = graph.topo_levels(edges_of(spark, [("a", "b"), ("x", "y"), ("y", "x"), ("y", "b")]))
     assert rows(got) == [("a", 0)]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from viewgrain import sources
 from viewgrain.catalogue import query, table
 from viewgrain.metadata import fields, formulas, graph, inventory, keys, names
 from viewgrain.operators.view import worksheet
+from viewgrain.plans.settle import shared_folder
 
 
 def row_count():
@@ -63,7 +68,7 @@ _CATALOG = """
     n AS (SELECT f, fc, coalesce(a.table_name, b.table_name) AS tt, coalesce(a.pk, b.pk) AS tc FROM r
           LEFT JOIN t a ON lower(a.table_name) = ref LEFT JOIN t b ON lower(b.table_name) = ref || 's' WHERE coalesce(a.table_name, b.table_name) IS NOT NULL),
     j AS (SELECT DISTINCT 'Vendor' || l_suppkey AS f, 'Item' || l_partkey || '_ID' AS fc, 'item' || l_partkey || CASE WHEN l_partkey % 3 = 1 THEN 's' ELSE '' END AS tt,
-          CASE WHEN l_partkey % 2 = 0 THEN 'id' ELSE 'serial' END AS tc FROM lineitem WHERE l_quantity >= 49),
+          CASE WHEN l_partkey % 2 = 0 THEN 'id' ELSE 'serial' END AS tc FROM lineitem),
     k AS (SELECT a.table_name AS f, a.column_name AS fc, b.table_name AS tt, b.column_name AS tc FROM c a JOIN c b
           ON lower(a.column_name) = lower(b.column_name) AND b.is_pk AND NOT a.is_pk AND a.table_name <> b.table_name AND lower(a.column_name) NOT LIKE '%\\_id' ESCAPE '\\'),
     u AS (SELECT *, 'table_id' AS kind, 0.6::DOUBLE AS confidence FROM n UNION ALL SELECT *, 'join', 0.9 FROM j UNION ALL SELECT *, 'same_key', 0.7 FROM k)
@@ -71,7 +76,7 @@ _CATALOG = """
     FROM u GROUP BY ALL
 """)
 def infer_keys(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_quantity >= 49")
+    lines = table(spark, folder, "lineitem")
     item_table, item_key = item_names("l_partkey")
     joins = lines.select(
         F.concat(F.lit("Vendor"), "l_suppkey").alias("from_table"),
@@ -83,15 +88,14 @@ def infer_keys(spark, folder):
 
 
 @query("""
-    WITH p AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0),
-    o AS (SELECT o_custkey, c_custkey FROM orders LEFT JOIN p ON o_custkey = c_custkey)
-    SELECT count(*) AS child_rows, count(*) FILTER (WHERE c_custkey IS NULL) AS orphan_rows,
-      count(DISTINCT o_custkey) FILTER (WHERE c_custkey IS NULL) AS orphan_keys, CAST(0 AS BIGINT) AS duplicate_parent_keys,
-      round(count(c_custkey) / count(*), 8) AS inclusion FROM o
+    WITH o AS (SELECT d.doc_id, l.doc_id AS parent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NOT NULL)
+    SELECT count(*) AS child_rows, count(*) FILTER (WHERE parent IS NULL) AS orphan_rows,
+      count(DISTINCT doc_id) FILTER (WHERE parent IS NULL) AS orphan_keys,
+      (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_parent_keys,
+      round(count(parent) / count(*), 8) AS inclusion FROM o
 """)
 def validate_key(spark, folder):
-    parent = table(spark, folder, "customer").where("c_acctbal > 0")
-    out = keys.validate_key(table(spark, folder, "orders"), parent, {"o_custkey": "c_custkey"})
+    out = keys.validate_key(table(spark, folder, "documents"), table(spark, folder, "labels"), {"doc_id": "doc_id"})
     return out.withColumn("inclusion", F.round("inclusion", 8))
 
 
@@ -113,7 +117,7 @@ def schema_mismatches(spark, folder):
 
 @query("WITH " + _CATALOG + """
     SELECT DISTINCT CAST(NULL AS VARCHAR) AS catalog_name, CAST(NULL AS VARCHAR) AS schema_name, table_name FROM c
-    WHERE contains(lower(table_name), 'dor1') ORDER BY table_name LIMIT 20
+    WHERE contains(lower(table_name), 'dor1')
 """)
 def search_tables(spark, folder):
     none = F.lit(None).cast("string")
@@ -201,8 +205,9 @@ def function_coverage(spark, folder):
       SELECT 'DS::' || source AS src, 'TBL::' || source || '::' || "table" AS dst, 'source_table' AS edge_type FROM f
       UNION SELECT 'TBL::' || source || '::' || "table", 'COL::' || source || '::' || p_name, 'table_column' FROM f
       UNION SELECT 'TBL::' || source || '::' || "table", 'CF::' || source || '::' || field, 'table_calc' FROM f
-      UNION SELECT 'CF::' || b.source || '::' || b.field, 'CF::' || a.source || '::' || a.field, 'calc_calc' FROM
-        (SELECT *, unnest(regexp_extract_all(formula, '\\[([^\\]]+)\\]', 1)) AS ref FROM f) a JOIN f b ON a.ref = b.field AND a.field <> b.field
+      UNION SELECT 'CF::' || coalesce(o.source, m.source) || '::' || a.ref, 'CF::' || a.source || '::' || a.field, 'calc_calc' FROM
+        (SELECT *, unnest(regexp_extract_all(formula, '\\[([^\\]]+)\\]', 1)) AS ref FROM f) a JOIN (SELECT field, max(source) AS source FROM f GROUP BY 1) m ON a.ref = m.field
+        LEFT JOIN (SELECT DISTINCT source, field FROM f) o ON a.ref = o.field AND a.source = o.source WHERE coalesce(o.source, m.source) <> a.source OR a.ref <> a.field
       UNION SELECT 'CF::' || f.source || '::' || f.field, 'WS::' || worksheet, 'calc_worksheet' FROM s JOIN f ON s.field = f.field
       UNION SELECT 'COL::' || f.source || '::' || f.p_name, 'WS::' || worksheet, 'column_worksheet' FROM s JOIN (SELECT DISTINCT source, p_name FROM f) f ON s.field = f.p_name
       UNION SELECT 'WS::' || worksheet, 'DB::' || dashboard, 'worksheet_dashboard' FROM s)
@@ -302,20 +307,96 @@ def cycles(spark, folder):
 
 
 @query("""
-    SELECT 'P' || p_partkey AS id, 'column' AS type FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)
-    UNION ALL SELECT 'C' || c_custkey, 'calculated_field' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+    WITH p AS (SELECT p_partkey, p_brand, min(p_partkey) OVER w AS low, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand))
+    SELECT p_partkey AS node, low AS cycle FROM p WHERE n > 1 OR p_partkey % 97 = 0
+    UNION ALL SELECT -1 - n_nationkey, -1 - n_nationkey FROM nation WHERE n_nationkey % 3 = 0
+""")
+def cycle_groups(spark, folder):
+    """The parts of a brand in a ring, a bridge from one ring to another, and nations that point
+    at themselves."""
+    part = table(spark, folder, "part")
+    ring = W.partitionBy("p_brand").orderBy("p_partkey")
+    low = F.min("p_partkey").over(W.partitionBy("p_brand"))
+    rings = part.select(F.col("p_partkey").alias("src"), F.coalesce(F.lead("p_partkey").over(ring), low).alias("dst"))
+    rings = rings.where("src <> dst OR src % 97 = 0")
+    lows = part.groupBy("p_brand").agg(F.min("p_partkey").alias("low"))
+    ends = lows.agg(F.min("low").alias("low"), F.max("low").alias("next"))
+    bridge = F.col("low") + 10**12
+    bridges = ends.select(F.col("low").alias("src"), bridge.alias("dst")).union(ends.select(bridge, F.col("next")))
+    nation = table(spark, folder, "nation").where("n_nationkey % 3 = 0").select((-1 - F.col("n_nationkey")).cast("long").alias("src"))
+    selves = nation.select("src", F.col("src").alias("dst"))
+    edges = reduce(DataFrame.union, [rings, bridges, selves])
+    return graph.cycle_groups(edges)
+
+
+@query("""
+    SELECT p_partkey AS node, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS level FROM part
+    UNION ALL SELECT -1 - s_suppkey, 0 FROM supplier
+""")
+def chain_levels(spark, folder):
+    """All parts in one chain, and suppliers that no edge names."""
+    part = table(spark, folder, "part")
+    chain = part.select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(W.orderBy("p_partkey")).alias("dst"))
+    nodes = part.select("p_partkey").union(table(spark, folder, "supplier").select(-1 - F.col("s_suppkey")))
+    return graph.topo_levels(chain.where("dst IS NOT NULL"), nodes)
+
+
+@query("SELECT p_partkey AS node, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS depth FROM part")
+def chain_impact(spark, folder):
+    part = table(spark, folder, "part")
+    chain = part.select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(W.orderBy("p_partkey")).alias("dst"))
+    return graph.impact(chain.where("dst IS NOT NULL"), part.agg(F.min("p_partkey").alias("p_partkey")))
+
+
+@query("""
+    WITH a AS (SELECT * FROM customer WHERE c_custkey % 7 > 0), b AS (SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal) FROM customer WHERE c_custkey % 11 > 0)
+    SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'modified' END AS change
+    FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.c_acctbal <> b.c_acctbal
+""")
+def stored_snapshots(spark, folder):
+    """Two stored snapshots, of which only the key buckets that differ are read again."""
+    customer = table(spark, folder, "customer")
+    balance = F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("c_acctbal"))
+    kept = {"old": customer.where("c_custkey % 7 > 0"), "new": customer.where("c_custkey % 11 > 0").withColumn("c_acctbal", balance)}
+    at = f"{shared_folder(spark)}/viewgrain/snapshots-{uuid.uuid4().hex}"
+    for name, rows in kept.items():
+        inventory.store_snapshot(rows, ["c_custkey"], f"{at}/{name}", 16)
+    return inventory.stored_diff(spark, f"{at}/old", f"{at}/new", ["c_custkey"])
+
+
+@query(r"""
+    WITH c AS (SELECT DISTINCT p_name || ' ' || p_type || '$A1:Z100' AS l, lower(p_name || ' ' || p_type) AS c FROM part),
+         d AS (SELECT DISTINCT upper(p_name) || '/' || p_type AS r, lower(p_name || ' ' || p_type) AS c FROM part),
+         k AS (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY r) AS k FROM c JOIN d USING (c))
+    SELECT l AS left_name, r AS right_name, CAST(1.0 AS DOUBLE) AS score, 'strong' AS label FROM k WHERE k <= 5
+""")
+def match_names_exact(spark, folder):
+    """Names that are the same once cleaned: a confidence of one."""
+    part = table(spark, folder, "part")
+    left = part.select(F.concat("p_name", F.lit(" "), "p_type", F.lit("$A1:Z100")))
+    right = part.select(F.concat(F.upper("p_name"), F.lit("/"), "p_type"))
+    return names.match_names(left, right, min_conf=1.0)
+
+
+@query("""
+    SELECT 'P' || p_partkey AS id, 'column' AS type FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+    UNION ALL SELECT 'D' || doc_id, 'column' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'C' || c_custkey, 'calculated_field' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
 """)
 def orphans(spark, folder):
-    nodes = (
-        table(spark, folder, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.lit("column").alias("type"))
-        .union(table(spark, folder, "customer").select(F.concat(F.lit("C"), "c_custkey"), F.lit("calculated_field")))
-        .union(table(spark, folder, "supplier").select(F.concat(F.lit("S"), "s_suppkey"), F.lit("table")))
-    )
-    edges = (
-        table(spark, folder, "lineitem").where("l_quantity > 20").select(F.concat(F.lit("P"), "l_partkey").alias("src"))
-        .union(table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("C"), "o_custkey")))
-    )
-    return graph.orphans(nodes, edges)
+    kinds = {
+        "column": [("part", "P", "p_partkey"), ("documents", "D", "doc_id")],
+        "calculated_field": [("customer", "C", "c_custkey")],
+        "table": [("supplier", "S", "s_suppkey")],
+    }
+    used = [("lineitem", "P", "l_partkey"), ("orders", "C", "o_custkey"), ("labels", "D", "doc_id")]
+
+    def named(source, prefix, key):
+        return table(spark, folder, source).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"))
+
+    nodes = [named(*n).withColumn("type", F.lit(kind)) for kind, of in kinds.items() for n in of]
+    edges = [named(*n).withColumnRenamed("id", "src") for n in used]
+    return graph.orphans(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges))
 
 
 def datasets_and_widgets(spark, folder):
@@ -350,7 +431,7 @@ _DATASETS = """
 """
 
 
-@query("WITH " + _DATASETS + """
+_BROKEN = """
     SELECT 'empty_query' AS rule, 'ERROR' AS severity, dataset AS key, 'query is empty' AS message FROM d WHERE query = ''
     UNION ALL SELECT 'pseudo_field', 'ERROR', dataset, 'query uses a pseudo-field' FROM d WHERE query LIKE '%Measure Names%'
     UNION ALL SELECT 'internal_id', 'ERROR', dataset, 'query uses an internal id' FROM d WHERE query LIKE '%excel-direct.%'
@@ -363,7 +444,10 @@ _DATASETS = """
     UNION ALL SELECT 'widget_type', 'WARNING', widget, 'chart type is not supported' FROM w WHERE type = 'sankey'
     UNION ALL SELECT 'duplicate_dataset', 'ERROR', dataset, 'dataset name is used twice' FROM d GROUP BY dataset HAVING count(*) > 1
     UNION ALL SELECT 'duplicate_widget', 'ERROR', widget, 'widget id is used twice' FROM w GROUP BY widget HAVING count(*) > 1
-""")
+"""
+
+
+@query("WITH " + _DATASETS + _BROKEN)
 def check_rules(spark, folder):
     return inventory.check_rules(*datasets_and_widgets(spark, folder))
 
@@ -503,14 +587,9 @@ def auto_aggregation(spark, folder):
     )
 
 
-@query("WITH " + _DATASETS + """
-    SELECT 'ERROR' AS severity, 'bounds_right' AS rule, count(*) AS n FROM w WHERE x + width > 6
-    UNION ALL SELECT 'ERROR', 'bounds_height', count(*) FROM w WHERE height < 1
-    UNION ALL SELECT 'WARNING', 'widget_type', count(*) FROM w WHERE type = 'sankey'
-""")
+@query("WITH " + _DATASETS + f"SELECT severity, rule, count(*) AS n FROM ({_BROKEN}) GROUP BY ALL")
 def rule_summary(spark, folder):
-    summary = inventory.rule_summary(inventory.check_rules(*datasets_and_widgets(spark, folder)))
-    return summary.where(F.col("rule").isin("bounds_right", "bounds_height", "widget_type"))
+    return inventory.rule_summary(inventory.check_rules(*datasets_and_widgets(spark, folder)))
 
 
 @query("""

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewgrain.metadata import depths
 from viewgrain.metadata.formulas import formula_refs
 from viewgrain.plans.settle import settle
 
@@ -31,8 +32,9 @@ def lineage_edges(
     tables(source, table); columns(source, table, column); calcs(source, table, calc,
     formula) with the table optional per row; worksheet_fields(worksheet, field);
     dashboard_sheets(dashboard, worksheet). A calculation depends on its tables and on
-    the calculations it names in brackets; a worksheet takes a calculation before a column
-    of the same name, source by source.
+    the calculations it names in brackets: on that of its own source, or where that has none
+    of the name on the last source's, by name, that does. A worksheet takes a calculation
+    before a column of the same name, source by source.
     """
     # Each of these is read by several kinds of edges.
     calcs = settle(calcs.select("source", "table", "calc", "formula"))
@@ -49,10 +51,15 @@ def lineage_edges(
         table.alias("src"), calc.alias("dst")
     )
     calc_nodes = calcs.select("source", "calc").distinct()
-    by_name = calc_nodes.select(F.col("calc").alias("ref"), calc.alias("src"))
-    refs = formula_refs(calcs.select("source", "calc", "formula").distinct(), "formula")
-    calc_calc = refs.select("ref", calc.alias("dst")).join(by_name, "ref")
-    calc_calc = calc_calc.where("src <> dst").select("src", "dst")
+    refs = formula_refs(calcs.select("source", "calc", "formula").distinct(), "formula").select("source", "calc", "ref")
+    own = calc_nodes.select("source", F.col("calc").alias("ref"), F.lit(True).alias("own"))
+    # One row per name: however many sources have it, a reference is resolved to one of them.
+    elsewhere = calc_nodes.groupBy(F.col("calc").alias("ref")).agg(F.max("source").alias("other"))
+    resolved = refs.join(own, ["source", "ref"], "left").join(elsewhere, "ref")
+    named = resolved.select(
+        F.when(F.col("own"), F.col("source")).otherwise(F.col("other")).alias("of"), "ref", calc.alias("dst")
+    )
+    calc_calc = named.select(node_id("CF", "of", "ref").alias("src"), "dst").where("src <> dst")
     sheet = node_id("WS", "worksheet")
     column_nodes = columns.select("source", F.col("column").alias("field")).distinct()
     calc_fields = calc_nodes.select("source", F.col("calc").alias("field"))
@@ -84,16 +91,22 @@ def typed_edges(kinds: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+#: Rounds a closure goes step by step before it contracts the chains that are left.
+PLAIN_ROUNDS = 16
+
+
 def impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node downstream of the roots with its least number of steps; roots are 0.
 
-    Each round follows only the nodes first reached in the round before, so cycles end.
+    Each round follows only the nodes first reached in the round before, so cycles end. What
+    is still open after ``PLAIN_ROUNDS`` is contracted first (``depths.hang``), so a long
+    chain takes rounds by the logarithm of its length.
     """
     links = settle(edges.select("src", "dst").where("src <> dst").distinct())
     frontier = settle(roots.select(F.col(roots.columns[0]).alias("node")).distinct())
     rounds, depth = [frontier.withColumn("depth", F.lit(0))], 0
     reached = frontier
-    while True:
+    while depth < PLAIN_ROUNDS:
         depth += 1
         step = links.join(frontier, links["src"] == frontier["node"], "left_semi")
         found = step.select(F.col("dst").alias("node")).distinct()
@@ -103,6 +116,10 @@ def impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
         rounds.append(frontier.withColumn("depth", F.lit(depth)))
         # Every few rounds the pieces are rewritten as one table to keep the plan short.
         reached = reached.union(frontier) if depth % 8 else settle(reached.union(frontier))
+    closed = reached.join(frontier, "node", "left_anti").select(F.col("node").alias("src"))
+    ahead = links.join(reached.select(F.col("node").alias("dst")), "dst", "left_anti").join(closed, "src", "left_anti")
+    further = depths.nearest(ahead, frontier).where("depth > 0").select("node", (F.col("depth") + depth).cast("int").alias("depth"))
+    return reduce(DataFrame.union, [*rounds, further])
 
 
 def lineage(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -117,27 +134,28 @@ def lineage_bases(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return lineage(edges, targets).join(fed, "node", "left_anti")
 
 
-def topo_levels(edges: DataFrame) -> DataFrame:
+def topo_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, level) by the longest path from a node nothing feeds.
 
-    Nodes on a cycle, or fed by one, have no level and are left out. One round per level;
-    each round writes only the edges still open.
+    Nodes on a cycle, or fed by one, have no level and are left out. ``nodes`` (first column)
+    may name more nodes than the edges do; those without an edge have level 0. Chains take
+    rounds by the logarithm of their length, see ``depths.longest``.
+    """
+    found = depths.longest(edges).select("node", F.col("level").cast("int").alias("level"))
+    if nodes is None:
+        return found
+    met = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
+    alone = nodes.select(F.col(nodes.columns[0]).alias("node")).where("node IS NOT NULL").distinct().join(met, "node", "left_anti")
+    return found.unionByName(alone.withColumn("level", F.lit(0)))
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(node, cycle): the nodes on a cycle, with the smallest node that shares cycles with them.
+
+    These are the strongly connected components of more than one node, and the nodes that
+    point at themselves. Nodes between two cycles are on none and left out.
     """
-    open_edges = settle(edges.select("src", "dst").distinct())
-    fed = open_edges.select(F.col("dst").alias("node"))
-    feeding = open_edges.select(F.col("src").alias("node"))
-    ready = settle(feeding.join(fed, "node", "left_anti").distinct())
-    levels = [ready.withColumn("level", F.lit(0))]
-    while not ready.isEmpty():
-        from_ready = open_edges["src"] == ready["node"]
-        closed = open_edges.join(ready, from_ready, "left_semi")
-        still_open = settle(open_edges.join(ready, from_ready, "left_anti"))
-        freed = closed.select(F.col("dst").alias("node")).distinct()
-        waiting = still_open.select(F.col("dst").alias("node"))
-        ready = settle(freed.join(waiting, "node", "left_anti"))
-        open_edges = still_open
-        levels.append(ready.withColumn("level", F.lit(len(levels))))
-    return reduce(DataFrame.union, levels)
+    return depths.strong_components(edges)
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewgrain.metadata.formulas import classify_formula
@@ -125,6 +125,48 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return states.select(*keys, change.alias("change")).where("change IS NOT NULL")
 
 
+#: Key buckets of a stored snapshot.
+SNAPSHOT_BUCKETS = 256
+
+
+def store_snapshot(df: DataFrame, keys: Sequence[str], path: str, buckets: int = SNAPSHOT_BUCKETS) -> None:
+    """Write a snapshot in folders by key bucket, with a digest of each bucket beside it.
+
+    A digest adds up hashes of rows, so it does not depend on their order.
+    """
+    keys = list(keys)
+    hashed = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    bucketed = df.withColumn(_BUCKET, F.pmod(hashed, F.lit(buckets)).cast("int"))
+    # By ranges of (bucket, hash): a large bucket is written by several tasks, none by all.
+    bucketed.repartitionByRange(_BUCKET, hashed).write.partitionBy(_BUCKET).parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    digest = F.sum(_row_hash(sorted(df.columns)).cast("decimal(20,0)")).cast("string")
+    stored.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n"), digest.alias("digest")).withColumn(
+        "layout", F.lit(f"{buckets}: {', '.join(keys)}: {', '.join(sorted(df.columns))}")
+    ).write.parquet(f"{path}/digests")
+
+
+_BUCKET = "__bucket"
+
+
+def stored_diff(spark: SparkSession, old: str, new: str, keys: Sequence[str]) -> DataFrame:
+    """``snapshot_diff`` of two stored snapshots that reads only the buckets that differ.
+
+    Digests are compared first, a row per bucket; the unequal ones become a filter on the
+    folders. Snapshots of other columns, keys or numbers of buckets are compared whole.
+    """
+    sides = [(spark.read.parquet(f"{p}/digests"), spark.read.parquet(f"{p}/rows")) for p in (old, new)]
+    (a, old_rows), (b, new_rows) = sides
+    layouts = a.select("layout").union(b.select("layout")).distinct()
+    if layouts.count() > 1:
+        return snapshot_diff(old_rows.drop(_BUCKET), new_rows.drop(_BUCKET), keys)
+    other = b.withColumnsRenamed({"n": "m", "digest": "other"}).drop("layout")
+    unequal = a.join(other, _BUCKET, "full").where("NOT (n <=> m AND digest <=> other)").select(_BUCKET)
+    differing = sorted(r[0] for r in unequal.collect())  # as many as there are buckets, at most
+    read = [rows.where(F.col(_BUCKET).isin(differing)).drop(_BUCKET) for rows in (old_rows, new_rows)]
+    return snapshot_diff(*read, keys)
+
+
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     """(item, a, b, equal): row counts, then order-free column and row fingerprints.
 
