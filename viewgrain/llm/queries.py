@@ -116,8 +116,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
          s AS (SELECT DISTINCT r, CASE WHEN len(t) < 3 THEN array_to_string(t, ' ') ELSE t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] END AS s
                FROM (SELECT r, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM w WHERE len(t) > 0)),
          n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-         p AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
-         l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+         p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+         l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
          c AS (SELECT r AS a, r AS b FROM w UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
          k AS (SELECT c.a AS r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.b GROUP BY c.a)
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
