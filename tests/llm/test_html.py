@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 
 from viewgrain.llm import html
@@ -83,3 +87,56 @@ def test_sections_of_a_host_have_templates_of_their_own(session):
     got = texts(session, rows)
     assert all(got[i] == f"Text number {i}." for i in range(80))
     assert all(got[100 + i] == f"Notice of section {min(i, 76)}\nText number {i}." for i in range(80))
+
+
+COMMENT = "<article class='{}'><p>A comment.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<article><p>Text.</p></article>" + COMMENT.format("comment"),
+        "<main><p>Text.</p>" + COMMENT.format("comment-body") * 3 + "</main>",
+        "<div><p>Text.</p></div><ol class='commentlist'><li>" + COMMENT.format("") + "</ol>",
+        "<div><p>Text.</p></div>" + COMMENT.format("comment even") * 2,
+        "<article><p>Text.</p>" + COMMENT.format("") + "</article>",
+        "<article class='shell'><article><p>Text.</p>" + COMMENT.format("") + "</article></article>",
+        "<main class='comments-open'><article class='comments-open'><p>Text.</p></article></main>",
+        "<article><section class='reply'>Text.</section></article>",
+        "<article><div class='notice'>Text.</div></article>",
+        "<main><p class='share'>Text.</p><div class='share'>Tell all</div><p class='ad'>Buy</p></main>",
+        "<main><div class='search-results'>Text.</div><form>Find</form></main>",
+    ],
+)
+def test_comments_go_and_parts_of_the_article_stay(session, source):
+    assert texts(session, [(1, "x", source)]) == {1: "Text."}
+
+
+def test_open_tags_and_pieces_take_linear_time():
+    began = time.monotonic()
+    page = html.parse("<span>x</span><font>" * 100_000 + "<p>y" * 1000)
+    assert len(page.names) == 201_000 and page.texts[-1] == "y"
+    assert html.parse("<p>" + "a<!-- b -->" * 200_000).texts == ["a" * 200_000]
+    assert len(html.subtree_hashes(html.parse("<div>x" * 50_000))) == 50_000
+    assert time.monotonic() - began < 30
+
+
+def test_templates_against_brute_force(session):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        host, n = f"k{i % 3}.example", rng.randint(2, 5)
+        blocks = [f"<div><p>block {rng.randint(0, 9)} of {host}</p></div>" for _ in range(n)]
+        rows.append((i, f"http://{host}/{i}", "<body>" + "".join(blocks) + "</body>"))
+    on: dict[tuple[str, str], set[str]] = {}
+    pages: dict[str, set[str]] = {}
+    split = {i: re.findall(r"block \d+ of \S+?(?=<)", source) for i, _, source in rows}
+    for i, url, source in rows:
+        pages.setdefault(url.split("/")[2], set()).add(source)
+        for block in split[i]:
+            on.setdefault((url.split("/")[2], block), set()).add(source)
+    asked = {h: max(html.LEAST_PAGES, min(len(p) * html.LEAST_SHARE, (len(p) * html.LEAST_PAGES * html.LEAST_SHARE) ** 0.5)) for h, p in pages.items()}
+    want = {
+        i: "\n".join(b for b in split[i] if len(on[url.split("/")[2], b]) < asked[url.split("/")[2]]) for i, url, _ in rows
+    }
+    assert texts(session, rows) == want

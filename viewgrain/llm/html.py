@@ -33,7 +33,6 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.3
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = RAW | {"head", "nav", "menu", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "canvas", "audio", "video", "object", "map", "label", "fieldset"}
-MAIN = {"article", "main"}
 BLOCKS = {
     *("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption").split(),
     *("figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option").split(),
@@ -57,6 +56,19 @@ MARKED = {
     *("sidebar sidebars aside related recommended share sharing social newsletter subscribe subscription").split(),
     *("footer masthead comment comments commentlist disqus respond reply replies contentinfo complementary search").split(),
 }
+#: Words that also drop an element inside an article: adverts and comments any element, the
+#: others containers only, so that a paragraph of the text never goes for its class. What may
+#: be part of a text there (a reply, a notice, a search, a related part) stays.
+MARKED_INSIDE = {
+    *("ad ads advert advertisement advertisements adverts adsense sponsor sponsored").split(),
+    *("comment comments commentlist disqus").split(),
+}
+CONTAINERS_INSIDE = {
+    *("cookie cookies consent gdpr nav navbar navigation navigations menu menus breadcrumb breadcrumbs pagination pager").split(),
+    *("sidebar sidebars share sharing newsletter footer").split(),
+}
+#: Words that mark an article as a reader's comment.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 #: Marked only outside the article, where it is the head of the page rather than of the text.
 PAGE_HEADS = {"header", "topbar"}
 #: A class, id or role is marked as a whole, or by its first part (``sidebar-left``), past parts
@@ -96,31 +108,63 @@ class Page:
     in_main: list[bool] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
     nodes: list[int] = field(default_factory=list)
+    pieces: list[list[str]] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
     marked: list[bool] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
     heads: list[bool] = field(default_factory=list)
+    comments: list[bool] = field(default_factory=list)
 
     def add(self, name: str, parent: int, attrs: str) -> int:
+        among = MARKED_INSIDE | CONTAINERS_INSIDE if name in CONTAINERS else MARKED_INSIDE
         self.names.append(name)
         self.parents.append(parent)
         self.marked.append(_marks(attrs, MARKED))
+        self.inside.append(self.marked[-1] and _marks(attrs, among))
         self.heads.append(name in PAGE_HEADS or _marks(attrs, PAGE_HEADS))
+        self.comments.append(_marks(attrs, COMMENTS))
         return len(self.names) - 1
 
+    def _main(self) -> list[bool]:
+        """Which elements are articles or mains, and no reader's comment.
+
+        An article is a comment if it is marked so, stands in an element marked so that holds no
+        main, or stands in an article that has text of its own.
+        """
+        holds_main = [name == "main" for name in self.names]
+        article: list[int] = []  # the innermost article at or above an element
+        for n, up in enumerate(self.parents):
+            article.append(n if self.names[n] == "article" else article[up] if up >= 0 else -1)
+        own_text = {article[n] for n, text in zip(self.nodes, self.texts) if text.strip()}
+        for n in range(len(self.names) - 1, -1, -1):  # children come after their parents
+            if holds_main[n] and self.parents[n] >= 0:
+                holds_main[self.parents[n]] = True
+        main, said = [], []  # said: at or below what is marked as comments, or an article with text
+        for n, (name, up) in enumerate(zip(self.names, self.parents)):
+            above = up >= 0 and said[up]
+            comment = name == "article" and (above or self.comments[n])
+            main.append(name == "main" or (name == "article" and not comment))
+            marked = self.comments[n] and not holds_main[n] and name not in ("html", "body")
+            said.append(above or marked or (name == "article" and n in own_text))
+        return main
+
     def settle(self) -> Page:
         """Decide what is dropped, once it is known which elements hold an article."""
-        holds = [name in MAIN for name in self.names]
+        self.texts = ["".join(parts) for parts in self.pieces]
+        main = self._main()
+        holds = list(main)
         for n in range(len(holds) - 1, -1, -1):  # children come after their parents
             if holds[n] and self.parents[n] >= 0:
                 holds[self.parents[n]] = True
         for n, name in enumerate(self.names):
             up = self.parents[n]
             up_main = up >= 0 and self.in_main[up]
-            out = name in NEVER or (not holds[n] and (self.marked[n] or (not up_main and self.heads[n])))
+            marked = self.inside[n] if up_main else self.marked[n] or self.heads[n]
+            out = name in NEVER or (name == "article" and not main[n]) or (not holds[n] and marked)
             if name in ("html", "body"):
                 out = False
             self.dropped.append(out or (up >= 0 and self.dropped[up]))
-            self.in_main.append(up_main or (name in MAIN and not self.dropped[-1]))
+            self.in_main.append(up_main or (main[n] and not self.dropped[-1]))
         return self
 
 
@@ -152,40 +196,48 @@ def parse(source: str) -> Page:
     """A page's elements and text, however its tags are nested or left open."""
     page, block = Page(), 0
     stack: list[int] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack by name, so that no tag has to look through it
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            open_at[page.names[stack.pop()]].pop()
+
+    def last(names: set[str]) -> int:
+        return max((open_at[name][-1] for name in names if open_at.get(name)), default=-1)
+
+    def piece(text: str) -> None:
+        node = stack[-1] if stack else opened("body", "")
+        if page.nodes and page.nodes[-1] == node and page.blocks[-1] == block:
+            page.pieces[-1].append(text)
+        else:
+            page.blocks.append(block)
+            page.nodes.append(node)
+            page.pieces.append([text])
+
+    def opened(name: str, attrs: str) -> int:
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(page.add(name, stack[-1] if stack else -1, attrs))
+        return stack[-1]
+
     for kind, what, attrs in _parts(source):
         if kind == "text":
-            if not stack:
-                stack.append(page.add("body", -1, ""))
-            node = stack[-1]
-            if page.nodes and page.nodes[-1] == node and page.blocks[-1] == block:
-                page.texts[-1] += what
-            else:
-                page.blocks.append(block)
-                page.nodes.append(node)
-                page.texts.append(what)
+            piece(what)
             continue
         if what in BLOCKS:
             block += 1
         if kind == "end":
-            names = [page.names[n] for n in stack]
-            if what in names:
-                del stack[len(names) - 1 - names[::-1].index(what) :]
+            if open_at.get(what):
+                cut(open_at[what][-1])
             continue
         if what == "br":
-            page.blocks.append(block)
-            page.nodes.append(stack[-1] if stack else page.add("body", -1, ""))
-            page.texts.append(" ")
+            piece(" ")
         if what in VOID:
             continue
         closes = CLOSES.get(what, {"p"} if what in BLOCKS else set())
-        for i in range(len(stack) - 1, -1, -1):
-            name = page.names[stack[i]]
-            if name in closes:
-                del stack[i:]
-                break
-            if name in FENCES:
-                break
-        stack.append(page.add(what, stack[-1] if stack else -1, attrs))
+        ended = last(closes)
+        if ended >= 0 and ended >= last(FENCES):
+            cut(ended)
+        opened(what, attrs)
     return page.settle()
 
 
@@ -236,7 +288,7 @@ def _read(batches):
             order = sorted(wanted)
             place = {n: k for k, n in enumerate(order)}
             exempt = [
-                page.names[n] in MAIN | {"body", "html"} or (page.in_main[n] and page.names[n] not in CONTAINERS)
+                page.names[n] in ("article", "main", "body", "html") or (page.in_main[n] and page.names[n] not in CONTAINERS)
                 for n in order
             ]
             rows["hashes"].append([0 if free else hashes[n] for n, free in zip(order, exempt)])
@@ -279,7 +331,8 @@ def main_text(
 
     Pages of one content count once, so copies of a page make no template. Where a page has
     an article or main element with text, only what is in it counts; running text there is
-    never a template. NULL html and pages without main text give the empty text. A URL
+    never a template. Articles that are marked as comments, stand in what is marked so, or in
+    an article with text of its own are comments. NULL html and pages without main text give the empty text. A URL
     without a host belongs to the host NULL. Rows that repeat get a row each; an empty table
     gives an empty one.
     """
