@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 from llm.conftest import WORD, odd_rows
@@ -53,3 +54,13 @@ def test_lines_and_rejections(session):
 def test_no_python_in_the_plan(odd, capsys):
     quality.cleaned(odd).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_many_failing_lines_take_linear_time(session):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(8000))
+    text = prose + "\n" + "\n".join(f"*** {i} ***" for i in range(50_000))
+    docs = session.createDataFrame([(1, text), (2, "\n".join(f"## {i}" for i in range(200_000)))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert got[1].kept and got[1].clean_text == prose and not got[2].kept
+    assert time.monotonic() - began < 60

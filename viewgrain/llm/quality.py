@@ -121,17 +121,27 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """All columns of ``docs`` under ``doc``, and doc_id, the measures, clean_text and kept.
 
     A NULL text has no words and is rejected for it, as an empty one is. Lines without a word
-    are neither judged nor lost. Rows that repeat are judged each; an empty table gives an
+    are neither judged nor lost. The phrases of boilerplate are English ones, so lines in other
+    languages are judged by their marks and separators alone. Rows that repeat are judged each; an empty table gives an
     empty one. The input's columns are kept in one struct, so names of its own cannot clash.
     """
     body = text_of(text)
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("doc_id"), body.alias("text"))
-    split = named.select("doc", "doc_id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
-    has_word = F.filter(F.col("lines"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE[1:-1]}]")))
-    parted = split.select("*", has_word.alias("worded")).select(
-        "*", F.filter("worded", lambda x: bad_line(x)).alias("bad")
+
+    def decided(line: Column) -> Column:
+        """The line, whether it has a word, and whether it fails: each line is judged once."""
+        has_word = F.regexp_like(line, F.lit(f"[^{SPACE[1:-1]}]"))
+        return F.struct(line.alias("line"), has_word.alias("worded"), (has_word & bad_line(line)).alias("bad"))
+
+    split = named.select(
+        *["doc", "doc_id", "text", words_of(F.col("text")).alias("words")], F.transform(F.split("text", "\n"), decided).alias("lines")
+    )
+    parted = split.select(
+        "*",
+        F.transform(F.filter("lines", lambda x: x["worded"]), lambda x: x["line"]).alias("worded"),
+        F.transform(F.filter("lines", lambda x: x["bad"]), lambda x: x["line"]).alias("bad"),
     )
-    left = F.array_join(F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), x)), "\n")
+    left = F.array_join(F.transform(F.filter("lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
     solid = lambda c: F.length(F.regexp_replace(c, f"{SPACE}+", "")).cast("long")
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))
     # An explode of one element: a filter on the measures must not be pushed below them, where
