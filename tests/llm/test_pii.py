@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 from llm.conftest import odd_rows
@@ -95,3 +97,45 @@ def test_documents(session, odd, none):
     learned = pii.train(pii.labelled(session.createDataFrame([(i, x) for i, x in enumerate(LINES)], "doc_id long, text string")))
     assert len(learned.index) > 10
     assert pii.train(pii.labelled(none)).weights.shape[0] == 1
+
+
+def test_long_lines_are_decoded_as_one_chain():
+    field, _ = model()
+    decoder = pii.Decoder(field)
+    rng = random.Random(9)
+    pool = ["call", "me", "at", "+1", "(777)", "555-9999", "4111111111111111", "626-555-1234", "from", "10.1.2.3", "a@b.co", "12", "x" * 70 + "9@b.co"]
+    lines = [rng.choices(pool, [rng.random() ** 3 for _ in pool], k=rng.choice([1, 3, 40, 700])) for _ in range(60)] + [[]]
+    for words, got in zip(lines, decoder.labels(lines)):
+        if not words:
+            assert len(got) == 0
+            continue
+        score = decoder.table[decoder.ids(words)]
+        emit = score[:, 1].copy()
+        emit[:-1] += score[1:, 0]
+        emit[1:] += score[:-1, 2]
+        assert list(pii.viterbi(emit[None], np.array([len(words)]), decoder.moves)[0]) == list(got)
+
+
+def test_added_spans_meet_no_other():
+    rng = random.Random(4)
+    for _ in range(300):
+        base = sorted((a, a + rng.randint(1, 30), "ip") for a in (rng.randint(0, 80) for _ in range(rng.randint(0, 6))))
+        taken = pii._Taken(base)
+        for start in range(90):
+            end = start + rng.randint(1, 9)
+            assert taken.meets(start, end) == any(a < end and start < b for a, b, _ in base)
+
+
+def test_very_many_spans_in_one_text_take_linear_time():
+    decoder = pii.Decoder(model()[0])
+    text = "\n".join(["or +1 (222) 555-1000 then", "or 4111111111111111 then"] * 50_000) + "\n" + "10.1.2.3 a@b.co so " * 50_000
+    began = time.monotonic()
+    ((base, added),) = pii.all_spans([text], decoder)
+    assert len(base) >= 200_000 and time.monotonic() - began < 120
+
+
+def test_long_lines_train_too(session):
+    words = "plain words all the way "
+    rows = [(i, words * 60 + line + " " + words * 60) for i, line in enumerate(LINES)]
+    table = pii.labelled(session.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(any(labels) for _, labels in table) >= 30

@@ -10,8 +10,10 @@ once, in numpy.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,12 @@ MOST_LABELLED, EPOCHS = 600, 15
 BATCH, RATE = 64, 0.3
 #: Words kept on both sides of the data in a labelled line.
 AROUND = 8
-#: Longest line, in words, that is decoded as one chain; longer ones are cut, with so many
-#: words of context on both sides of a cut.
-CHAIN, CONTEXT = 128, 8
+#: Longest piece of a line, in characters, that the training table is drawn from.
+PIECE = 599
+#: Chains decoded together, and words these may hold with their padding.
+CHAINS_AT_ONCE, CHAIN_WORDS = 256, 1 << 17
+#: Words and characters whose shapes a worker keeps.
+WORDS_KEPT, CHARS_KEPT = 200_000, 1 << 24
 #: Words scored at a time, so that a worker's arrays stay small.
 WORDS_AT_ONCE = 1 << 15
 SEED = 7
@@ -107,7 +112,7 @@ def shape(word: str) -> str:
     Runs of digits keep their length up to 17; letters are as many as one or several; marks at
     the end of a sentence are left off.
     """
-    word = word.strip(".,;:!?\"'")[:64]
+    word = word.strip(".,;:!?\"'")
     out: list[str] = []
     at = 0
     while at < len(word):
@@ -119,7 +124,7 @@ def shape(word: str) -> str:
         n = end - at
         out.append(f"d{min(n, 17)}" if kind == "d" else kind + ("+" if n > 1 and kind in "Xx" else ""))
         at = end
-    return "".join(out)[:48]
+    return "".join(out)
 
 
 def _same(kind: str, c: str) -> bool:
@@ -275,11 +280,12 @@ class Decoder:
         self.model, self.moves = model, _moves_allowed(model.moves)
         self.shapes: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((0, 3, len(LABELS)))
 
     def ids(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > 200_000:  # bound what a worker keeps
-            self.shapes, self.words, self.table = {}, {}, self.table[:0]
+        if len(self.words) > WORDS_KEPT or self.chars > CHARS_KEPT:
+            self.shapes, self.words, self.chars, self.table = {}, {}, 0, self.table[:0]
         known = self.words
         new = [w for w in set(words) if w not in known]
         rows = []
@@ -289,6 +295,7 @@ class Decoder:
                 self.shapes[s] = len(self.shapes)
                 rows.append(self.model.scores_of(s))
             known[w] = self.shapes[s]
+            self.chars += len(w)
         if rows:
             self.table = np.concatenate([self.table, np.array(rows)])
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
@@ -307,11 +314,12 @@ class Decoder:
         return out + self._labels(part)
 
     def _labels(self, lines: list[list[str]]) -> list[np.ndarray]:
-        """The same for some lines: those that may hold data are decoded, like lengths together.
+        """The same for some lines: the parts that may hold data are decoded, like lengths together.
 
-        A path that leaves O at some words scores against the path that never does: what these
-        words gain, and at most two moves each. Where no word gains enough for that, the line
-        has no other label than O, and needs no decoding.
+        A path that leaves O for a run of words scores against the one that stays there: what
+        these words gain, and at most two moves each. A word that is in no run whose gains add
+        up to nothing or more is O on the best path, so a chain is cut there without a change:
+        each part is decoded between two words held at O.
         """
         sizes = np.array([len(words) for words in lines], dtype=np.int64)
         out = [np.zeros(n, dtype=np.int8) for n in sizes]
@@ -329,25 +337,64 @@ class Decoder:
         allowed = self.moves[self.moves > -1e8]
         gain = (emit[:, 1:] - emit[:, :1]).max(1) + 2 * max(allowed.max() - self.moves[0, 0], 0.0)
         line_of = np.repeat(np.arange(len(lines)), sizes)
-        jobs = []  # (line, from, to, keep from, keep to)
-        for i in np.unique(line_of[gain >= 0]):
-            n = int(sizes[i])
-            for at in range(0, n, CHAIN):
-                stop = min(at + CHAIN, n)
-                jobs.append((i, max(at - CONTEXT, 0), min(stop + CONTEXT, n), at, stop))
-        jobs.sort(key=lambda j: j[2] - j[1])
-        for first in range(0, len(jobs), 256):
-            part = jobs[first : first + 256]
-            lengths = np.array([b - a for _, a, b, _, _ in part])
+        may = np.flatnonzero(_in_a_run(gain, starts[sizes > 0], line_of))
+        if not len(may):
+            return out
+        new = np.flatnonzero((np.diff(may) > 1) | (np.diff(line_of[may]) > 0)) + 1
+        firsts, lasts = may[np.r_[0, new]], may[np.r_[new - 1, len(may) - 1]] + 1
+        for part in _batches(lasts - firsts):
+            before = (firsts[part] > starts[line_of[firsts[part]]]).astype(np.int64)  # a word held at O goes ahead
+            lengths = lasts[part] - firsts[part] + before + 1
             chains = np.zeros((len(part), int(lengths.max()), len(LABELS)))
-            for row, (i, a, b, _, _) in enumerate(part):
-                chains[row, : b - a] = emit[starts[i] + a : starts[i] + b]
+            for row, (i, ahead) in enumerate(zip(part, before)):
+                chains[row, ahead : lengths[row] - 1] = emit[firsts[i] : lasts[i]]
+                if ahead:
+                    chains[row, 0, 1:] = HELD
+                chains[row, lengths[row] - 1, 1:] = HELD
+                if lasts[i] == starts[line_of[firsts[i]]] + sizes[line_of[firsts[i]]]:
+                    lengths[row] -= 1  # the line ends here
             best = viterbi(chains, lengths, self.moves)
-            for row, (i, a, _, at, stop) in enumerate(part):
-                out[i][at:stop] = best[row, at - a : stop - a]
+            for row, (i, ahead) in enumerate(zip(part, before)):
+                line = line_of[firsts[i]]
+                n = lasts[i] - firsts[i]
+                out[line][firsts[i] - starts[line] : lasts[i] - starts[line]] = best[row, ahead : ahead + n]
         return out
 
 
+#: The score of a label that a word held at O must not take.
+HELD = -1e9
+
+
+def _in_a_run(gain: np.ndarray, starts: np.ndarray, line_of: np.ndarray) -> np.ndarray:
+    """Whether each word is in a run of words of its line whose gains add up to nothing or more.
+
+    The best sum that ends at a word and the best that starts there, by prefix sums less their
+    least so far. Lines are walked one by one only where a word of theirs gains anything.
+    """
+    may = np.zeros(len(gain), dtype=bool)
+    ends = np.append(starts[1:], len(gain))
+    place = np.searchsorted(starts, np.flatnonzero(gain >= 0), side="right") - 1
+    for i in np.unique(place):
+        own = gain[starts[i] : ends[i]]
+        sums = np.concatenate([np.zeros(1), np.cumsum(own)])
+        ending = sums[1:] - np.minimum.accumulate(sums[:-1])
+        starting = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+        may[starts[i] : ends[i]] = ending + starting - own >= -1e-6
+    return may
+
+
+def _batches(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Chains by length, few enough at a time for ``CHAIN_WORDS``, however long one is."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and stop - at < CHAINS_AT_ONCE and (stop + 1 - at) * (lengths[order[stop]] + 2) <= CHAIN_WORDS:
+            stop += 1
+        yield order[at:stop]
+        at = stop
+
+
 def _runs(labels: np.ndarray) -> Iterator[tuple[int, int, str]]:
     """(first word, past the last, kind) of each labelled run."""
     at = 0
@@ -363,7 +410,7 @@ def _runs(labels: np.ndarray) -> Iterator[tuple[int, int, str]]:
 _EDGES = " \t.,;:!?\"'()[]<>"
 
 
-def _added(text: str, start: int, end: int, kind: str, taken: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+def _added(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
     while start < end and text[start] in _EDGES and text[start] != "(":
         start += 1
     while end > start and text[end - 1] in _EDGES and text[end - 1] != ")":
@@ -376,9 +423,19 @@ def _added(text: str, start: int, end: int, kind: str, taken: list[tuple[int, in
         "card": 13 <= len(digits) <= 19 and luhn(digits),
         "phone": 10 <= len(digits) <= 15 and len(re.findall(r"\d+", found)) >= 3,
     }[kind]
-    if not fits or any(a < end and start < b for a, b, _ in taken):
-        return None
-    return start, end, kind
+    return (start, end, kind) if fits else None
+
+
+class _Taken:
+    """Whether a span meets a base span, by the furthest end of those that begin before it."""
+
+    def __init__(self, base: list[tuple[int, int, str]]):
+        self.starts = [start for start, _, _ in base]
+        self.ends = list(accumulate((end for _, end, _ in base), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
 
 
 def all_spans(texts: list[str], decoder: Decoder) -> list[tuple[list, list]]:
@@ -391,16 +448,20 @@ def all_spans(texts: list[str], decoder: Decoder) -> list[tuple[list, list]]:
             lines.append(WORD.findall(line))
             at += len(line) + 1
     found = [(base_spans(text), []) for text in texts]
+    taken: dict[int, _Taken] = {}
     for (t, at), words, labels in zip(where, lines, decoder.labels(lines)):
         if not labels.any():
             continue
         base, added = found[t]
+        if t not in taken:
+            taken[t] = _Taken(base)
         line_end = texts[t].find("\n", at)
         line = texts[t][at : line_end if line_end >= 0 else None]
         places = [(at + m.start(), at + m.end()) for m in WORD.finditer(line)]
         for a, b, kind in _runs(labels):
-            span = _added(texts[t], places[a][0], places[b - 1][1], kind, base + added)
-            if span:
+            span = _added(texts[t], places[a][0], places[b - 1][1], kind)
+            # Runs come in order, so of the added spans only the last can reach into this one.
+            if span and not taken[t].meets(span[0], span[1]) and not (added and added[-1][1] > span[0]):
                 added.append(span)
     return found
 
@@ -447,14 +508,18 @@ def variants(line: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str
         yield line[:start] + other + line[end:], [(start, start + len(other), kind)]
 
 
+_PIECE = rf"[^\n]{{1,{PIECE}}}(?=\n|\z)|[^\n]{{1,{PIECE}}}(?<=\p{{L}})(?=[ \t]\p{{L}})|[^\n]{{1,{PIECE}}}"
+
+
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> list[tuple[list[str], list[int]]]:
-    """The training table, from the documents: at most ``most`` short lines that hold digits or @.
+    """The training table, from the documents: at most ``most`` lines that hold digits or @.
 
-    Lines are drawn by hash, so the same documents always give the same table; the base
+    Lines of over ``PIECE`` characters are drawn in pieces, cut between two letters where they
+    have such a place. Lines are drawn by hash, so the same documents always give the same table; the base
     patterns label them, and ``variants`` adds other forms. It is the one thing collected,
     and its size is this bound.
     """
-    line = docs.select(F.explode(F.split(text_of(text), "\n")).alias("line")).where(F.col("line").rlike("[0-9@]") & (F.length("line") < 600))
+    line = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(_PIECE), 0)).alias("line")).where(F.col("line").rlike("[0-9@]"))
     # Half of the table for lines that look like data, half for any with a digit.
     likely = F.col("line").rlike(r"@|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]")
     drawn = F.xxhash64("line", F.lit(SEED))
