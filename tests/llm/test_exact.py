@@ -52,3 +52,18 @@ def test_clashing_identifiers_are_found_and_replaced(session, odd):
 def test_no_python_in_the_plan(odd, capsys):
     exact.duplicates(odd).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_rows_that_stay_are_the_same_on_a_rerun(session):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "x"), (None, "a b", "z"), (None, "c", "p"), (None, "c", "q"), (0, None, "r"), (2, "", "s")]
+    docs = session.createDataFrame(rows, "doc_id long, text string, `Row` string").repartition(3).cache()
+    got = [sorted(tuple(r) for r in exact.deduplicated(docs).collect() if r.doc_id is not None) for _ in range(2)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [0, 1] and exact.deduplicated(docs).count() == 3
+    names = session.createDataFrame([(str(i % 3), f"t{i % 5}") for i in range(40)], "doc_id string, text string")
+    assert exact.deduplicated(names).count() == 5
+
+
+def test_no_text_is_joined(odd, capsys):
+    exact.deduplicated(odd).explain()
+    plan = capsys.readouterr().out
+    assert "LeftAnti" in plan and "sha2" not in plan

@@ -55,6 +55,12 @@ def verified(texts: DataFrame, ways: Sequence[Identifier] | None = None) -> Iden
     raise RuntimeError("chunks clash under every way of naming them")
 
 
+def recipe_of(texts: DataFrame, ways: Sequence[Identifier] | None = None) -> Column:
+    """The verified identifiers of the chunks of the column ``normal``, in order."""
+    identify = verified(texts, ways)
+    return F.flatten(F.transform(chunks(F.col("normal")), lambda c: F.array(*identify(c))))
+
+
 def duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", ways: Sequence[Identifier] | None = None
 ) -> DataFrame:
@@ -66,10 +72,8 @@ def duplicates(
     table gives an empty one; other columns are not read.
     """
     texts = docs.select(F.col(key).alias("doc_id"), normalised(text_of(text)).alias("normal"))
-    identify = verified(texts, ways)
-    recipe = F.flatten(F.transform(chunks(F.col("normal")), lambda c: F.array(*identify(c))))
     rows = with_row_key(
-        texts.select("doc_id", recipe.alias("recipe"), F.sha2(F.encode("normal", "UTF-8"), 256).alias("text_sha256"))
+        texts.select("doc_id", recipe_of(texts, ways).alias("recipe"), F.sha2(F.encode("normal", "UTF-8"), 256).alias("text_sha256"))
     )
     grouped = rows.groupBy("recipe").agg(
         F.count(F.lit(1)).alias("group_size"),
@@ -84,15 +88,23 @@ def duplicates(
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: one of each class of equal texts.
+
+    It is the one with the smallest doc_id, NULL last, and of rows that repeat that id the first
+    as they were read, so a rerun over the same files keeps the same rows. NULL is the empty
+    text; an empty table gives an empty one. Rows get a key, recipes are grouped, and the keys of
+    the rows that go are taken out: no text is moved but for the chunks that are verified.
+    """
     names = docs.columns
-    decided = settle(duplicates(docs, key, text).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))))
-    stay = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__stay_sha")).agg(
-        F.count(F.lit(1)).alias("__rows")
-    )
-    marked = docs.withColumn("__sha", F.sha2(F.encode(normalised(text_of(text)), "UTF-8"), 256))
-    found = marked.join(stay, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__stay_sha")))
-    once = found.where("__rows = 1")
-    if not stay.where("__rows > 1").isEmpty():
-        once = once.unionByName(found.where("__rows > 1").dropDuplicates(["__id", "__sha"]))
-    return once.select(*[F.col(f"`{c}`") for c in names])
+    row = "row"
+    while row in {n.lower() for n in names}:
+        row += "_"
+    keyed = with_row_key(docs, row)
+    texts = keyed.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("doc_id"), normalised(text_of(text)).alias("normal"))
+    recipes = settle(texts.select("row", "doc_id", recipe_of(texts).alias("recipe")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    several = recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), first.alias("keep_row")).where("n > 1")
+    # Settled, so that a side known to be small needs no shuffle and a large one can be split.
+    gone = recipes.join(settle(several), "recipe").where("row <> keep_row")
+    removed = settle(gone.select(F.col("row").alias(row)))
+    return keyed.join(removed, row, "left_anti").select(*[F.col(f"`{c}`") for c in names])
