@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 from viewgrain.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, position int, depth string"
@@ -70,3 +73,85 @@ def test_another_conversation_is_found_past_the_own(session):
     ]
     got = run(session, rows)
     assert {(r.turn, r.reply_conv_id, r.reply_turn) for (conv, _), r in got.items() if conv == 1} == {(0, 2, 4), (1, None, None)}
+
+
+def even(lines):
+    return " ".join(" ".join(lines).lower().split())
+
+
+def brute(messages):
+    """{(conv, turn): (conv, turn) of its original} of messages (conv, turn, quoted lines, own lines)."""
+
+    def paragraphs(lines):
+        out = [[]]
+        for line in lines:
+            out = out + [[]] if not line else out[:-1] + [[*out[-1], line]]
+        return [p for p in out if p]
+
+    def pieces(lines):
+        said = [line for line in lines if line]
+        covers = frozenset(even([line]) for line in said)
+        yield even(said), covers
+        for p in paragraphs(lines):
+            yield even(p), frozenset(even([line]) for line in p)
+        for pair in zip(said, said[1:]):
+            yield even(pair), frozenset()
+        for line in said:
+            yield even([line]), frozenset()
+
+    keys = {(conv, turn): {key for key, _ in pieces(own)} for conv, turn, _, own in messages}
+    own_lines = {(conv, turn): {even([line]) for line in own if line} for conv, turn, _, own in messages}
+    found = {}
+    for conv, turn, quoted, _ in messages:
+        covered = {}
+        for key, covers in pieces(quoted) if quoted else ():
+            near = min((m for m in keys if m[0] == conv and key in keys[m]), default=None)
+            away = min((m for m in keys if m[0] != conv and key in keys[m]), default=None)
+            for m in [m for m in (near if near and near[1] < turn else None, away) if m]:
+                covered.setdefault(m, set()).update(covers)
+        lines = {even([line]) for line in quoted if line}
+        rank = lambda m: (-len(covered[m] | (lines & own_lines[m])), m[0] != conv, m)
+        found[conv, turn] = min(covered, key=rank, default=None)
+    return found
+
+
+def test_originals_against_brute_force(session):
+    rng = random.Random(5)
+    pool = [f"Line {i} of the pool" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]  # said by one message up to nearly all
+    messages = []
+    for conv in range(12):
+        for turn in range(20):
+            own = rng.choices(pool, weights, k=rng.randint(1, 6))
+            if len(own) > 3 and rng.random() < 0.5:
+                own.insert(2, "")
+            quoted = []
+            if messages and rng.random() < 0.6:
+                source = rng.choice(messages)[3]
+                at = rng.randrange(len(source))
+                quoted = source[at : at + rng.randint(1, 4)]
+                quoted = quoted[1:] if not quoted[0] else quoted
+                quoted = quoted[:-1] if quoted and not quoted[-1] else quoted
+                if rng.random() < 0.3:
+                    quoted = [*quoted, rng.choice(pool)]
+            messages.append((conv, turn, quoted, own))
+    rows = [(c, t, "user", "\n".join([*("> " + line.upper() for line in q), *o])) for c, t, q, o in messages]
+    want = brute(messages)
+    got = {(c, r.turn): (r.reply_conv_id, r.reply_turn) for (c, _), r in run(session, rows).items()}
+    assert {m: (None, None) if o is None else o for m, o in want.items()} == got
+    assert sum(o is not None for o in want.values()) > 60
+
+
+def test_a_piece_that_many_say_hides_no_original(session):
+    rows = [(1, i, "user", ("One line.", "Another line.")[i % 2]) for i in range(20)]
+    rows += [(1, 20, "user", "One line.\nAnother line."), (1, 21, "user", "> One line.\n> Another line.\nYes.")]
+    assert run(session, rows)[1, 21].reply_turn == 20
+
+
+def test_very_long_messages_end(session):
+    long = "\n".join(f"line {i} of a long message" for i in range(100_000))
+    quote = "\n".join(f"> {line}" for line in long.split("\n"))
+    began = time.monotonic()
+    got = run(session, [(1, 0, "user", long), (1, 1, "user", quote + "\nAnswer."), (1, 2, "user", "\n".join(["> a", "b"] * 20_000))])
+    assert got[1, 1].reply_turn == 0 and got[1, 1].text == "Answer." and got[1, 2].n_quotes == 20_000
+    assert time.monotonic() - began < 120

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewgrain.llm.common import SPACE, running_totals, text_of, with_row_key
+from viewgrain.llm.quality import let
 from viewgrain.plans.settle import settle
 
 #: Quote marks at the start of a line: each ``>`` is one level, with spaces between or not.
@@ -14,9 +15,6 @@ QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
 ANNOUNCES = r"(?i)^[ \t]*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}a écrit|el\b.{0,200}escribió)[ \t]*:[ \t]*$"
 #: Rounds of pointer doubling that cover any chain of replies (2 to this power).
 MOST_ROUNDS = 40
-#: A piece of a quotation said by up to so many messages leads to each of them; one said by
-#: more leads to the first of the own conversation and of the first two conversations.
-MOST_SAYERS = 8
 
 
 def level(line: Column) -> Column:
@@ -32,8 +30,12 @@ def _even(lines: Column) -> Column:
 
 
 def passage_hash(lines: Column) -> Column:
-    """A passage's key: lower case, white space and line breaks evened out."""
-    return F.unhex(F.md5(_even(lines)))
+    """A passage's key: lower case, white space and line breaks evened out.
+
+    Written as hex digits, as an array of strings is made distinct by hash, one of bytes by
+    comparing all of it.
+    """
+    return F.md5(_even(lines))
 
 
 def _said(lines: Column) -> Column:
@@ -64,13 +66,11 @@ def pieces(lines: Column) -> Column:
     whole = lambda x: F.struct(passage_hash(x).alias("key"), line_hashes(x).alias("covers"))
     part = lambda x: F.struct(passage_hash(x).alias("key"), none.alias("covers"))
     joined = F.filter(pairs(lines), lambda x: x[1].isNotNull())
-    return F.array_distinct(
-        F.concat(
-            F.array(whole(lines)),
-            F.transform(paragraphs(lines), whole),
-            F.transform(joined, part),
-            F.transform(_said(lines), lambda x: part(F.array(x))),
-        )
+    return F.concat(
+        F.array(whole(lines)),
+        F.transform(paragraphs(lines), whole),
+        F.transform(joined, part),
+        F.transform(_said(lines), lambda x: part(F.array(x))),
     )
 
 
@@ -79,29 +79,25 @@ def _passages(lines: Column) -> Column:
 
     Between two lines of a run, lines without a word are left as one empty line.
     """
-    start = F.struct(
-        F.array().cast("array<struct<level:int,at:int,lines:array<string>>>").alias("done"),
-        F.lit(-1).alias("level"),
-        F.lit(0).alias("at"),
-        F.array().cast("array<string>").alias("lines"),
-        F.lit(False).alias("gap"),
-    )
 
-    def closed(s: Column) -> Column:
-        last = F.struct(s["level"].alias("level"), s["at"].alias("at"), s["lines"].alias("lines"))
-        return F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(last))).otherwise(s["done"])
+    def placed(line: Column, i: Column) -> Column:
+        blank = F.trim(F.regexp_replace(line, "[>\\s]", "")) == ""
+        return F.struct(i.alias("i"), level(line).alias("level"), unquoted(line).alias("text"), blank.alias("blank"))
+
+    def runs(said: Column) -> Column:
+        """Where the level changes a run begins; its lines are a slice, so no list grows line by line."""
+        begins = F.filter(F.transform(said, lambda x, k: k), lambda k: (k == 0) | (said[k]["level"] != F.get(said, k - 1)["level"]))
+        return let(begins, lambda b: F.transform(b, lambda k, n: run(said, k, n, F.coalesce(F.get(b, n + 1), F.size(said)))))
 
-    def step(s: Column, line: Column) -> Column:
-        own = level(line)
-        text = F.array(unquoted(line))
-        gap = F.when(s["gap"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        more = F.struct(s["done"], s["level"], s["at"], F.concat(s["lines"], gap, text).alias("lines"), F.lit(False).alias("gap"))
-        new = F.struct(closed(s).alias("done"), own.alias("level"), (s["at"] + 1).alias("at"), text.alias("lines"), F.lit(False).alias("gap"))
-        after = F.struct(s["done"], s["level"], s["at"], s["lines"], F.lit(True).alias("gap"))
-        blank = F.trim(F.regexp_replace(line, f"[>\\s]", "")) == ""
-        return F.when(blank, after).when(own == s["level"], more).otherwise(new)
+    def run(said: Column, k: Column, n: Column, end: Column) -> Column:
+        def line(x: Column, j: Column) -> Column:
+            gap = (j > 0) & (x["i"] > F.get(said, k + j - 1)["i"] + 1)
+            return F.when(gap, F.array(F.lit(""), x["text"])).otherwise(F.array(x["text"]))
 
-    return F.aggregate(lines, start, step, closed)
+        lines = F.flatten(F.transform(F.slice(said, k + 1, end - k), line))
+        return F.struct(said[k]["level"].alias("level"), (n + 1).alias("at"), lines.alias("lines"))
+
+    return let(F.filter(F.transform(lines, placed), lambda x: ~x["blank"]), runs)
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -151,12 +147,13 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def replies(rows: DataFrame) -> DataFrame:
     """row, parent: the message each quoting message replies to.
 
-    Of the shallowest quotations that have an original, the last one decides. The original is
-    the message that shares most lines with the quotation, of those an earlier one of the same
-    conversation before one of another conversation, then the first. What is compared are the
-    messages that say a piece of it (see ``MOST_SAYERS``): per piece the first of its own and
-    of two conversations, so that one other than its own is among them, and all where few say
-    it. So a piece that many messages share joins to a bounded number for each quotation.
+    Of the shallowest quotations that have an original, the last one decides. A piece of a
+    quotation (all of it, a paragraph, two lines in a row, a line) names at most two messages:
+    the first to say it in the own conversation, if that is an earlier turn, and the first of
+    another conversation to say it. The original is, of the messages its pieces name, the one
+    that shares most lines with the quotation, then one of the own conversation, then the first
+    by conversation, turn and row. A quotation so meets no more messages than twice its pieces,
+    however many say them, and no message is left out but by this rule.
     """
     runs = settle(
         rows.select("row", "conv_id", "turn", F.explode("passages").alias("p")).select(
@@ -175,12 +172,12 @@ def replies(rows: DataFrame) -> DataFrame:
     message = F.struct("turn", "row")
     per_conv = settle(
         said.groupBy("conv_id", "key").agg(
-            F.min(F.when(F.col("turn").isNotNull(), message)).alias("near"), F.min(message).alias("one"), F.count(F.lit(1)).alias("n")
+            F.min(F.when(F.col("turn").isNotNull(), message)).alias("near"), F.min(message).alias("one")
         )
     )
     first = settle(
         per_conv.groupBy("key").agg(
-            F.min(F.struct("conv_id", "one.turn", "one.row")).alias("far"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("convs")
+            F.min(F.struct("conv_id", "one.turn", "one.row")).alias("far"), F.count(F.lit(1)).alias("convs")
         )
     )
     others = per_conv.join(first.where("convs > 1").select("key", F.col("far.conv_id").alias("__first")), "key")
@@ -194,19 +191,18 @@ def replies(rows: DataFrame) -> DataFrame:
             "key", F.col(conv).alias("__conv"), F.col(turn).alias("__turn"), F.col(row).alias("parent")
         )
 
-    few_in_conv = per_conv.where(F.col("n").between(2, MOST_SAYERS)).select(F.col("key").alias("__k"), F.col("conv_id").alias("__c"))
-    same = (F.col("key") == F.col("__k")) & F.col("conv_id").eqNullSafe(F.col("__c"))
-    few = first.where(F.col("n").between(2, MOST_SAYERS)).select("key")
-    near = found(per_conv.where("near IS NOT NULL"), "conv_id", "near.turn", "near.row").unionByName(
-        found(said.join(few_in_conv, same, "left_semi"), "conv_id", "turn", "row")
-    )
-    away = found(far, "far.conv_id", "far.turn", "far.row").unionByName(
-        found(said.join(few, "key", "left_semi"), "conv_id", "turn", "row")
-    )
+    near = found(per_conv.where("near IS NOT NULL"), "conv_id", "near.turn", "near.row")
+    away = found(far, "far.conv_id", "far.turn", "far.row")
     near = near.withColumnRenamed("key", "__key")
     own = F.col("__conv").eqNullSafe(F.col("conv_id"))
     inside = wanted.join(near, own & (F.col("key") == F.col("__key"))).where(F.col("__turn") < F.col("turn")).withColumn("other", F.lit(False))
-    outside = wanted.join(away, "key").where(~own).withColumn("other", F.lit(True))
+    # Of the two conversations an outside piece knows, the first that is not the own one.
+    elsewhere = F.struct("__conv", "__turn", "parent")
+    outside = (
+        wanted.join(away, "key").where(~own)
+        .groupBy("row", "at", "key").agg(F.min(elsewhere).alias("one"), F.max("covers").alias("covers"))
+        .select("row", "at", "key", "covers", "one.*", F.lit(True).alias("other"))
+    )
     named = ["row", "at", "parent", "other", "__conv", "__turn"]
     met = settle(
         inside.select(*named, "covers").unionByName(outside.select(*named, "covers"))
