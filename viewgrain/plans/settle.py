@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +57,29 @@ def settle(df: DataFrame) -> DataFrame:
     plain.write.parquet(path)
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     kept = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
-    kept.__dict__[_MARK] = True
+    kept.__dict__[_MARK] = path
     return kept
 
 
-def drop_settled(spark: SparkSession) -> int:
-    """Delete the tables this application has settled; call it when their readers are done."""
-    paths = _settled.pop(spark.sparkContext.applicationId, [])
+def settled_paths(spark: SparkSession) -> list[str]:
+    """The tables this application has settled and not deleted, in order."""
+    return list(_settled.get(spark.sparkContext.applicationId, []))
+
+
+def settled_path(df: DataFrame) -> str | None:
+    """Where a settled frame is stored; None for any other frame."""
+    return df.__dict__.get(_MARK)
+
+
+def drop_settled(spark: SparkSession, keep: Iterable[str] = ()) -> int:
+    """Delete the tables this application has settled, but for those to keep.
+
+    Call it when their readers are done, and not while another thread settles tables.
+    """
+    keep = set(keep)
+    all_paths = settled_paths(spark)
+    paths = [path for path in all_paths if path not in keep]
+    _settled[spark.sparkContext.applicationId] = [path for path in all_paths if path in keep]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
