@@ -9,6 +9,7 @@ from llm.test_mixing import brute_targets
 from llm.test_simhash import brute_components, brute_print
 
 from viewgrain.llm import quality
+from viewgrain.plans.settle import settled_path, settled_paths
 
 
 def documents():
@@ -53,7 +54,9 @@ def test_stages_on_their_own_input(session):
 
 def test_run_reads_and_writes(session, tmp_path):
     session.createDataFrame(documents(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    assert corpus_pipeline.run(session, str(tmp_path)).count() > 0
+    before = settled_paths(session)
+    out = corpus_pipeline.run(session, str(tmp_path))
+    assert out.count() > 0 and settled_paths(session) == [*before, settled_path(out)]
     empty = tmp_path / "empty"
     session.createDataFrame([], SCHEMA).write.parquet(str(empty / "documents.parquet"))
     assert corpus_pipeline.run(session, str(empty)).count() == 0
@@ -63,3 +66,19 @@ def test_rejected_documents_are_those_the_rules_reject(session):
     docs = session.createDataFrame(documents(), SCHEMA)
     kept = {r.doc_id for r in quality.judged(docs).where("kept").collect()}
     assert kept == {r.doc_id for r in corpus_pipeline.quality_rules(session, docs, "").collect()}
+
+
+def test_odd_names_repeated_rows_and_empty_tables(session):
+    odd = ["__row", "__size", "__id", "__sha", "__text", "__gone", "key", "size", "doc", "row", "fp", "c0"]
+    text = " ".join(f"w{i}" for i in range(80)) + "."
+    rows = [(1, text, "s"), (1, text, "s"), (None, text, None), (2, text + " And more.", None), (None, None, "s"), (3, "", "t")]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in odd)
+    named = [(*r, *(f"{c}{i}" for c in odd)) for i, r in enumerate(rows)]
+    kept = {"quality_rules": 4, "exact_dedup": 3, "packed": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(session, session.createDataFrame(named, schema).coalesce(1), "")
+        assert name == "packed" or out.columns == ["doc_id", "text", "source", *odd]
+        got = out.collect()
+        assert len(got) == kept.get(name, len(got)), name
+        assert name == "packed" or set(map(tuple, got)) <= set(named) and got
+        assert stage(session, session.createDataFrame([], schema), "").count() == 0

@@ -49,6 +49,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def spare(names: list[str], name: str) -> str:
+    """``name``, or a longer form of it that no column has."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "row") -> DataFrame:
     """A settled copy with a number of its own on every row.
 

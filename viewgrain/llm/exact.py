@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import text_of, with_row_key
+from viewgrain.llm.common import spare, text_of, with_row_key
 from viewgrain.plans.settle import settle
 
 LEAST, MOST = 512, 4096
@@ -96,9 +96,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     the rows that go are taken out: no text is moved but for the chunks that are verified.
     """
     names = docs.columns
-    row = "row"
-    while row in {n.lower() for n in names}:
-        row += "_"
+    row = spare(names, "row")
     keyed = with_row_key(docs, row)
     texts = keyed.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("doc_id"), normalised(text_of(text)).alias("normal"))
     recipes = settle(texts.select("row", "doc_id", recipe_of(texts).alias("recipe")))

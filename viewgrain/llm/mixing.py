@@ -212,14 +212,21 @@ def copied(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "
     """The documents of the mix: each row as many times as ``mixed`` takes it.
 
     Only rows that repeat another's key, source and size are numbered among each other; all
-    others are joined to their copies directly.
+    others are joined to their copies directly. NULL keys and sources are values like any other,
+    a NULL text has no words and is never taken; an empty table gives an empty one. The input's
+    columns are kept in one struct, so names of its own cannot clash.
     """
     names = docs.columns
-    mine = docs.withColumns({"__size": n_words(text_of(text))})
+    mine = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
+        F.col(f"`{key}`").alias("key"),
+        F.col(f"`{source}`").alias("source"),
+        n_words(text_of(text)).alias("size"),
+    )
     on = (
-        F.col(key).eqNullSafe(F.col("__k"))
-        & F.col(source).eqNullSafe(F.col("__s"))
-        & (F.col("__size") == F.col("__n"))
+        F.col("key").eqNullSafe(F.col("__k"))
+        & F.col("source").eqNullSafe(F.col("__s"))
+        & (F.col("size") == F.col("__n"))
     )
     wanted = mixed.where("copies > 0").select(
         F.col("doc_id").alias("__k"),
@@ -241,4 +248,4 @@ def copied(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "
         share = F.floor(c / n) + (F.col("__i") < c % n).cast("long")
         single = single.unionByName(numbered.withColumn("__own", share).select(*single.columns))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))
-    return single.where("__own > 0").withColumn("__time", times).select(*[F.col(f"`{c}`") for c in names])
+    return single.where("__own > 0").withColumn("__time", times).select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewgrain.llm.common import text_of, with_row_key
+from viewgrain.llm.common import spare, text_of, with_row_key
 from viewgrain.llm.components import components
 from viewgrain.plans.settle import settle
 
@@ -271,16 +271,18 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The row of ``docs`` that stays of each component: the one with the smallest doc_id, NULL last.
 
     Rows are told apart by a key of their own, so ids that repeat or are NULL neither remove
-    other documents nor keep copies.
+    other documents nor keep copies. A NULL text is an empty one and alike to other empty ones; an
+    empty table gives an empty one. Columns may have any names.
     """
     names = docs.columns
-    rows = with_row_key(docs, "__row")
+    row = spare(names, "row")
+    rows = with_row_key(docs, row)
     # Id and row together are the key that goes with a fingerprint.
-    keyed = rows.select(F.struct(F.col(f"`{key}`").alias("id"), "__row").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    keyed = rows.select(F.struct(F.col(f"`{key}`").alias("id"), F.col(row).alias("row")).alias("__key"), F.col(f"`{text}`").alias("__text"))
     prints = settle(fingerprints(keyed, "__key", "__text"))
     owner = _owners(prints, BUDGET).select(F.col("fp").alias("__fp"), "component")
-    own = settle(prints.join(owner, F.col("fp") == F.col("__fp")).select("doc_id.id", "doc_id.__row", "component"))
-    first = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("__stays"))
-    gone = settle(own.join(first, F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone")))
-    left = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    own = settle(prints.join(owner, F.col("fp") == F.col("__fp")).select("doc_id.id", "doc_id.row", "component"))
+    first = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("__stays"))
+    gone = settle(own.join(first, F.col("row") == F.col("__stays"), "left_anti").select(F.col("row").alias(row)))
+    left = rows.join(gone, row, "left_anti")
     return left.select(*[F.col(f"`{c}`") for c in names])
