@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
+from contextlib import nullcontext
 from statistics import mean
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from viewgrain.catalogue import all_queries
 from viewgrain.operators import aggregates, filters, reshape, sketches
 from viewgrain.operators.lod import Level, levels
 
@@ -97,6 +100,23 @@ def test_sketches_merge_to_any_grain(spark):
             assert r.n == pytest.approx(distinct, rel=0.03) and r.q == pytest.approx(15_000, abs=1200)
 
 
+def test_approximate_aggregates_are_not_kept_per_distinct_value(spark, large, tmp_path):
+    """No sketch and no percentile is grouped by the column whose distinct values are counted."""
+    lines = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, NULL, CAST(id % 3 AS string)) AS l_returnflag", "id % 400 AS l_partkey", "CAST(id AS double) AS l_extendedprice"
+    )
+    # Flags whose prices are all missing, and all infinite.
+    odd = spark.sql("SELECT 'none' AS l_returnflag, 1L AS l_partkey, CAST(NULL AS double) AS l_extendedprice UNION ALL SELECT 'inf', 2L, double('inf') FROM range(3)")
+    lines.union(odd).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = [(None, True, True), ("1", True, True), ("2", True, True), ("inf", True, True), ("none", True, None)]
+    for limits in (nullcontext, large):
+        with limits():
+            got = all_queries()["approximate_within_tolerance"](spark, str(tmp_path))
+            assert rows(got) == sorted(want, key=repr)
+            plan = got._jdf.queryExecution().sparkPlan().toString()
+            assert "ObjectHashAggregate" in plan and not re.search(r"ObjectHashAggregate\(keys=\[[^\]]*l_partkey", plan)
+
+
 def test_all_controls_at_once_equal_one_at_a_time(df):
     controls = {"a": F.col("a") == "x", "b": F.col("v") > 0, "c": None}
     got = filters.associativity(df, controls)

@@ -10,6 +10,7 @@ from viewgrain.operators import aggregates as agg
 from viewgrain.operators import sketches
 from viewgrain.operators.metricview import Dimension, Lookup, MetricView
 from viewgrain.operators.view import worksheet
+from viewgrain.plans.keys import attach
 from viewgrain.plans.settle import settle
 
 
@@ -310,19 +311,18 @@ def sketches_at_three_grains(spark, folder):
 
 @query("SELECT DISTINCT l_returnflag, true AS parts_near, true AS median_near FROM lineitem")
 def approximate_within_tolerance(spark, folder):
-    """The approximate aggregates of each flag beside the exact ones."""
-    lines = table(spark, folder, "lineitem")
-    both = worksheet(
-        lines,
-        ["l_returnflag"],
-        {
-            "near": F.approx_count_distinct("l_partkey", 0.02),
-            "exact": F.count_distinct("l_partkey"),
-            "median_near": F.percentile_approx("l_extendedprice", 0.5),
-            "low": F.percentile("l_extendedprice", 0.49),
-            "high": F.percentile("l_extendedprice", 0.51),
-        },
+    """The approximate aggregates of each flag beside the exact ones.
+
+    Each has a grouping of its own: beside a distinct count in one grouping, Spark keeps the
+    sketches and the values of a percentile for every part of a flag.
+    """
+    lines, flag = table(spark, folder, "lineitem"), ["l_returnflag"]
+    near = worksheet(
+        lines, flag, {"near": F.approx_count_distinct("l_partkey", 0.02), "median_near": F.percentile_approx("l_extendedprice", 0.5)}
     )
+    exact = worksheet(lines, flag, {"exact": F.count_distinct("l_partkey")})
+    spread = agg.percentiles(lines, flag, {"low": ("l_extendedprice", 0.49), "high": ("l_extendedprice", 0.51)})
+    both = attach(attach(near, exact, flag), spread, flag)
     return both.select(
         "l_returnflag",
         (F.abs(F.col("near") / F.col("exact") - 1) <= 0.08).alias("parts_near"),

@@ -112,10 +112,10 @@ def percentiles_of_counts(
     return picked.select(
         *dims,
         *[
-            (
-                F.col(f"__low_{n}")
-                + F.col(f"__part_{n}") * (F.col(f"__high_{n}") - F.col(f"__low_{n}"))
-            ).alias(n)
+            # Between equal values there is nothing to interpolate, and infinity less itself is no number.
+            F.when(F.col(f"__low_{n}") == F.col(f"__high_{n}"), F.col(f"__low_{n}"))
+            .otherwise(F.col(f"__low_{n}") + F.col(f"__part_{n}") * (F.col(f"__high_{n}") - F.col(f"__low_{n}")))
+            .alias(n)
             for n in wanted
         ],
     )
