@@ -180,6 +180,23 @@ def test_levels_leave_out_what_a_cycle_feeds(spark):
     assert rows(got) == [("a", 0)]
 
 
+def test_orphans_are_joined_in_parts_of_bounded_rows(spark, large):
+    """Nodes that repeat or have no id, edges that name a node many times."""
+    nodes = [(f"n{i % 40}", "column" if i % 2 else "table") for i in range(60)] + [(None, "column"), (None, "column"), ("n1", None)]
+    edges = [(f"n{i % 25}",) for i in range(200)] + [(None,)]
+    schema = "id string, type string"
+    of, used = spark.createDataFrame(nodes[:30], schema).union(spark.createDataFrame(nodes[30:], schema)), spark.createDataFrame(edges, "src string")
+    want = sorted([n for n in nodes if n[1] == "column" and (n[0] is None or (n[0],) not in edges)], key=repr)
+    assert rows(graph.orphans(of, used)) == want
+    with large():
+        got = graph.orphans(of, used)
+        assert rows(got) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # 32 nodes of the types and 201 edges, seven rows a part: it is not left to the shuffled bytes.
+    # One join, not one for each part of the union.
+    assert plan.count("Join ") == 1 and plan.count("RepartitionByExpression [id") == 2 and set(re.findall(r"RepartitionByExpression \[id#\d+\], (\d+)", plan)) == {"34"}
+
+
 def test_formulas(spark):
     df = spark.createDataFrame(
         [("{FIXED [Region] : SUM([Sales])}",), ("RANK(SUM([Sales]))",), ("[Price (net)] / Len([Name])",), ("FINDNTH([a], 'b', 2)",)],
