@@ -149,6 +149,38 @@ def test_a_reference_is_resolved_in_its_own_source(spark):
     assert rows(got.select("src", "dst")) == [("CF::s1::b", "CF::s1::a"), ("CF::s2::b", "CF::s3::c"), ("CF::s3::c", "CF::s1::a")]
 
 
+def test_uses_are_distinct_without_being_compared(spark):
+    """Ids that two fields share, sources and worksheets without a name, rows that repeat."""
+    columns = [("a", "t", "b::c"), ("a::b", "t", "c"), ("a", "t", "x"), ("b", "t", "x"), (None, "t", "n"), (None, "t", "m")]
+    calcs = [("a", "t", "d::e", "1"), ("a::d", "t", "e", "1"), ("b", "t", "x", "[e]"), (None, "t", "k", "1"), (None, "t", "l", "1")]
+    uses = [(w, f) for w in ("w1", "w2", None) for f in ("b::c", "c", "x", "n", "m", "d::e", "e", "k", "l", "gone", None)] + [("w3", "x"), ("w4", "c")]
+    boards = [("d1", "w1"), ("d1", "w1"), ("d2", "w1"), (None, "w2"), (None, "w2"), ("d1", None), ("d1", "gone")]
+
+    def graph_of(columns, calcs):
+        return graph.lineage_edges(
+            spark.createDataFrame([("a", "t"), ("b", "t")], "source string, table string"),
+            spark.createDataFrame(columns * 2, "source string, table string, column string"),
+            spark.createDataFrame(calcs * 2, "source string, table string, calc string, formula string"),
+            spark.createDataFrame(uses * 2, "worksheet string, field string"),
+            spark.createDataFrame(boards, "dashboard string, worksheet string"),
+        )
+
+    def made(prefix, *parts):
+        return None if None in parts else "::".join((prefix, *parts))
+
+    got = graph_of(columns, calcs)
+    kind = lambda name: rows(got.where(F.col("edge_type") == name).select("src", "dst"))
+    named = {c[::2] for c in columns} - {c[::2] for c in calcs}
+    assert kind("column_worksheet") == sorted({(made("COL", s, c), made("WS", w)) for s, c in named for w, f in uses if f == c}, key=repr)
+    assert kind("calc_worksheet") == sorted({(made("CF", c[0], c[2]), made("WS", w)) for c in calcs for w, f in uses if f == c[2]}, key=repr)
+    assert kind("worksheet_dashboard") == sorted([("WS::w1", "DB::d1"), ("WS::w1", "DB::d2"), ("WS::w2", None)], key=repr)
+    assert got.count() == got.distinct().count()
+    # Where no two fields share an id, no aggregate stands over the joins that make the uses.
+    plain = graph_of(columns[1:4], calcs[1:4])
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and not re.search(r"Aggregate \[[^\n]*(column|calc)_worksheet", plan)
+
+
 def test_tables_named_alike_but_for_case(spark):
     columns = [("orders", "Cust_ID", False, 1), ("cust", "id", True, 1), ("Cust", "ID", True, 1), ("CUST", "Id", True, 1)]
     frame = spark.createDataFrame(columns, "table_name string, column_name string, is_pk boolean, position int")
