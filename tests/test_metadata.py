@@ -127,6 +127,20 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(written) < 100
 
 
+def test_levels_send_no_table_through_the_driver(spark, monkeypatch):
+    """Tables of a graph that are small as files are joined without a broadcast, round after round."""
+    plans = []
+    real = depths.settle
+    monkeypatch.setattr(depths, "settle", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    key = F.col("id")
+    halves = spark.range(1, 200).select(F.floor(key / 2).alias("src"), key.alias("dst"))
+    thirds = spark.range(1, 200).select(F.floor(key / 3).alias("src"), key.alias("dst"))
+    got = graph.topo_levels(halves.union(thirds), spark.range(500, 503))
+    assert {r.node: r.level for r in got.collect()} == {n: n.bit_length() for n in range(200)} | {n: 0 for n in range(500, 503)}
+    plans.append(got._jdf.queryExecution().sparkPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_impact_past_the_plain_rounds(spark):
     chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("c05", "c30"), ("c33", "c02"), ("c40", "d"), ("x", "c20")]
     got = dict(rows(graph.impact(edges_of(spark, chain), spark.createDataFrame([("c00",)], "n string"))))

@@ -4,6 +4,9 @@ A step per round is right for a shallow graph and hopeless for a chain. So nodes
 single way in are hung on the nearest node above them that has none or several: pointers are
 doubled, so a chain of any length takes rounds by its logarithm, and what is left to walk
 are the nodes where ways meet.
+
+The joins of these rounds are merged: a table packed into a few megabytes of Parquet would be
+broadcast, unpacked, in round after round, and all of that goes through the driver.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ def _doubled(at: DataFrame) -> DataFrame:
     )
     # Past n steps a pointer is in a loop, where distances mean nothing and would overflow.
     further = F.when(F.col("dist") <= 1 << 60, F.col("dist") + F.coalesce("more", F.lit(0))).otherwise(F.col("dist"))
-    return at.join(above, "up", "left").select(
+    return at.join(above.hint("merge"), "up", "left").select(
         "node",
         F.coalesce("next", "up").alias("up"),
         further.alias("dist"),
@@ -63,7 +66,7 @@ def _doubled(at: DataFrame) -> DataFrame:
 def _moved(links: DataFrame, hung: DataFrame, best: str) -> DataFrame:
     """The links into nodes that do not hang, coming from the nodes others hang on."""
     tops = hung.select(F.col("node").alias("src"), "up", "dist")
-    inner = links.join(hung.select(F.col("node").alias("dst")), "dst", "left_anti").join(tops, "src", "left")
+    inner = links.join(hung.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").join(tops.hint("merge"), "src", "left")
     ends = inner.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w"))
     return settle(ends.groupBy("src", "dst").agg(getattr(F, best)("w").alias("w")))
 
@@ -100,12 +103,12 @@ def longest(edges: DataFrame) -> DataFrame:
         hung = settle(hung)
         if hung.count() * WORTHWHILE <= links.count():
             break
-        starts = links.join(links.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("node"))
+        starts = links.join(links.select(F.col("dst").alias("src")).hint("merge"), "src", "left_anti").select(F.col("src").alias("node"))
         layers.append((hung, settle(starts.distinct())))
         links = _moved(links, hung, "max")
     known = _by_freed_links(links, [starts for _, starts in layers])
     for hung, _ in reversed(layers):
-        below = hung.join(known.select(F.col("node").alias("up"), "level"), "up")
+        below = hung.join(known.select(F.col("node").alias("up"), "level").hint("merge"), "up")
         known = settle(known.unionByName(below.select("node", (F.col("level") + F.col("dist")).alias("level"))))
     return known
 
@@ -119,15 +122,15 @@ def _by_freed_links(links: DataFrame, starts: list[DataFrame]) -> DataFrame:
     first = links.select(F.col("src").alias("node"))
     for more in starts:
         first = first.union(more)
-    ready = settle(first.distinct().join(asked, "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    ready = settle(first.distinct().join(asked.hint("merge"), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
     done, pending, rounds = ready, None, 0
     while True:
-        freed = links.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
+        freed = links.join(ready.withColumnRenamed("node", "src").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(
             F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("w")).alias("level")
         )
         if pending is not None:
             freed = freed.unionByName(pending).groupBy("node").agg(F.sum("got").alias("got"), F.max("level").alias("level"))
-        counted = settle(freed.join(asked, "node"))
+        counted = settle(freed.join(asked.hint("merge"), "node"))
         ready = counted.where("got = ways").select("node", "level")
         if ready.isEmpty():
             return done
